@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 # Fixed value: the exact split address covers this many leading code points plus the length.
@@ -35,7 +36,7 @@ def hash_bucket(digest: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def _blake_fraction(prefixes: pa.Array, lengths: pa.Array) -> pa.Array:
     out = []
     for text, length in zip(prefixes.to_pylist(), lengths.to_pylist()):

@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 # White space as Python's str.strip()/str.split() see it (Java spelling).
@@ -78,7 +79,7 @@ def chunks(text: Column | str, size: int) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     return pa.array(
         [None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()],
@@ -86,7 +87,7 @@ def _nfc(texts: pa.Array) -> pa.Array:
     )
 
 
-@arrow_udf("array<string>")
+@arrow_udf(T.ArrayType(T.StringType()))
 def _nfc_each(slices: pa.Array) -> pa.Array:
     return pa.array(
         [

@@ -6,13 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 TOKEN_BYTES = 2
 MAX_VOCAB = 65_535
 
 
-@arrow_udf("array<int>")
+@arrow_udf(T.ArrayType(T.IntegerType()))
 def unpack_ids(packed: pa.Array) -> pa.Array:
     """Packed binary to an array of ids."""
     rows = packed.to_pylist()
@@ -24,7 +25,7 @@ def unpack_ids(packed: pa.Array) -> pa.Array:
     )
 
 
-@arrow_udf("binary")
+@arrow_udf(T.BinaryType())
 def pack_ids(ids: pa.Array) -> pa.Array:
     """Array of ids to packed binary; an id that does not fit raises."""
     out = []

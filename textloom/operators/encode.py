@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from textloom.functions.text import SPECIAL_TOKENS, nfc, nfc_chunks, pretokens
@@ -64,7 +65,7 @@ def _piece_encoder(model: BpeModel, specials: bool):
             cache[word] = found
         return found
 
-    @arrow_udf("binary")
+    @arrow_udf(T.BinaryType())
     def encode(pieces: pa.Array) -> pa.Array:
         flat = pieces.flatten().dictionary_encode()
         encoded = [word_ids(w) for w in flat.dictionary.to_pylist()]
@@ -138,7 +139,7 @@ def decode_tokens(packed: Column, model: BpeModel) -> Column:
     """Bytes of a packed sequence, as binary."""
     table = model.token_bytes()
 
-    @arrow_udf("binary")
+    @arrow_udf(T.BinaryType())
     def decode(rows: pa.Array) -> pa.Array:
         return pa.array(
             [

@@ -17,6 +17,13 @@ def closes_window(step: Column, every: int) -> Column:
     return (step == 1) | (step % every == 0)
 
 
+def _seconds(interval: Column) -> Column:
+    """A day-time interval in seconds; the same for timestamps with and without time zone."""
+    part = lambda name: F.extract(F.lit(name), interval)
+    whole = part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60
+    return whole + part("SECOND").cast("double")
+
+
 def interval_rollup(
     log: DataFrame,
     step: str,
@@ -34,7 +41,6 @@ def interval_rollup(
     first step. Steps after the last closed window are not reported.
     """
     s = F.col(step)
-    seconds = F.unix_micros(F.col(time)) / F.lit(1e6)
     own = F.struct(window_id(s, every).alias("w"), F.lit(True).alias("own"))
     opens_next = closes_window(s, every) | (s == start_step)
     following = F.struct(window_id(s + 1, every).alias("w"), F.lit(False).alias("own"))
@@ -43,7 +49,7 @@ def interval_rollup(
         .select(
             s.alias("_s"),
             F.col(loss).alias("_l"),
-            seconds.alias("_t"),
+            F.col(time).alias("_t"),
             F.inline(
                 F.filter(
                     F.array(
@@ -59,7 +65,7 @@ def interval_rollup(
         F.max(F.when(F.col("own"), F.col("_s"))).alias("step"),
         F.count_if(F.col("own")).alias("steps"),
         F.avg(F.when(F.col("own"), F.col("_l"))).alias("loss"),
-        (F.max("_t") - F.min("_t")).alias("elapsed_seconds"),
+        _seconds(F.max("_t") - F.min("_t")).alias("elapsed_seconds"),
     )
     closed = grouped.filter(closes_window(F.col("step"), every))
     return closed.select(

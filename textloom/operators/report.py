@@ -63,11 +63,11 @@ def exact_percentiles(
         ["_x"],
         F.col("_n"),
         F.lit(0).cast("bigint"),
-        "_local",
+        "_at",
     )
     found = targets.withColumnRenamed("_b", "_vb").join(inside, [group, "_vb"]).filter(
-        (F.col("rank") - F.col("bucket_base") >= F.col("_local"))
-        & (F.col("rank") - F.col("bucket_base") < F.col("_local") + F.col("_n"))
+        (F.col("rank") - F.col("bucket_base") >= F.col("_at"))
+        & (F.col("rank") - F.col("bucket_base") < F.col("_at") + F.col("_n"))
     )
     ends = found.groupBy(group, "name", "position").agg(
         F.min_by("_x", "rank").alias("lo"), F.max_by("_x", "rank").alias("hi")

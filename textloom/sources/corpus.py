@@ -9,7 +9,6 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VALIDATION_NAMES = ("test", "validation", "eval")
 
@@ -75,12 +74,8 @@ def corpus_scan(
     ``columns`` maps names to types, ``text string`` by default. ``on_missing`` decides about files
     without ``text``: ``"error"`` raises, ``"skip"`` reads nothing from them (their text is null).
     """
-    schema = T.StructType(
-        [
-            T.StructField(n, T._parse_datatype_string(t))
-            for n, t in (columns or {"text": "string"}).items()
-        ]
-    )
+    columns = columns or {"text": "string"}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
     listing = file_listing(spark, root, pattern)
     if not listing.limit(1).collect():
         raise FileNotFoundError(f"no files match {pattern} below {root}")
@@ -97,7 +92,7 @@ def corpus_scan(
         .option("pathGlobFilter", pattern)
         .parquet(root)
         .select(
-            *schema.fieldNames(),
+            *columns,
             F.col("_metadata.file_path").alias("shard"),
             F.col("_metadata.row_index").alias("row_index"),
         )
@@ -125,4 +120,4 @@ def split_by_filename(listing: DataFrame, path: str = "path", disjoint: bool = F
     if disjoint:
         to_train = to_train & ~is_validation
     sides = F.array(F.when(to_train, F.lit("train")), F.when(is_validation, F.lit("validation")))
-    return listing.withColumn("split", F.explode(F.filter(sides, lambda s: s.isNotNull())))
+    return listing.withColumn("split", F.explode(sides)).filter(F.col("split").isNotNull())

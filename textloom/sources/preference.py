@@ -16,13 +16,25 @@ PREFERENCE_SCHEMA = (
 
 def preference_file(spark: SparkSession, root: str) -> str:
     """First non-empty ``preference*.jsonl*`` in path order, else any ``*.jsonl*`` whose path says
-    ``preference``; nothing below a ``.cache…`` folder."""
-    files = file_listing(spark, root, "*.jsonl*").filter(
-        (F.col("bytes") > 0) & ~F.col("path").rlike(r"/\.cache[^/]*/")
+    ``preference``; nothing below a ``.cache…`` folder.
+
+    A folder written by Spark whose name has ``.jsonl`` in it counts as one file.
+    """
+    parts = F.split("path", "/")
+    parent, last = F.element_at(parts, -2), file_name(F.col("path"))
+    in_dataset = F.contains(parent, F.lit(".jsonl"))
+    files = (
+        file_listing(spark, root, "*.json*")
+        .filter((F.col("bytes") > 0) & ~F.col("path").rlike(r"/\.cache[^/]*/"))
+        .filter(in_dataset | F.contains(last, F.lit(".jsonl")))
+        .select(
+            F.when(in_dataset, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("path"),
+            F.when(in_dataset, parent).otherwise(last).alias("name"),
+        )
     )
-    named = file_name(F.col("path")).startswith("preference")
+    named = F.startswith(F.col("name"), F.lit("preference"))
     found = (
-        files.filter(named | F.contains("path", F.lit("preference")))
+        files.filter(named | F.contains(F.col("path"), F.lit("preference")))
         .select("path", (~named).alias("second_choice"))
         .orderBy("second_choice", "path")
         .first()
