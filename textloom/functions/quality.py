@@ -21,12 +21,15 @@ def completion_text(messages: Column) -> Column:
 
 def completion_health(text: Column) -> Column:
     """0 for healthy text, down to -1 for repeated trigrams, one less for fewer than two words."""
-    spoken = words(F.lower(text))
+    # One-element transform: the words are cut once, not again for every trigram.
+    return F.transform(F.array(words(F.lower(text))), _health)[0]
+
+
+def _health(spoken: Column) -> Column:
     n = F.size(spoken)
-    trigrams = F.when(
-        n >= 3,
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.slice(spoken, i, 3)),
-    ).otherwise(F.expr("cast(array() as array<array<string>>)"))
+    starts = F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), 1, F.greatest(n - 2, F.lit(0)))
+    # Words hold no blank, so the joined string stands for the triple.
+    trigrams = F.transform(starts, lambda i: F.array_join(F.slice(spoken, i, 3), " "))
     total = F.size(trigrams)
     repeated = total - F.size(F.array_distinct(trigrams))
     penalty = F.least(

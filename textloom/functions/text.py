@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-# White space as Python's str.strip()/str.split() see it (Java spelling).
-SPACE_CLASS = r"[\s\x{1c}-\x{1f}]"
+# White space as Python's str.strip()/str.split() see it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 NOT_SPACE_CLASS = r"[^\s\x{1c}-\x{1f}]"
 
 # The published GPT-2 split pattern and the seven special tokens, in id order.
@@ -44,28 +46,25 @@ def _col(c: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Python ``str.strip``: Unicode white space off both ends."""
-    return F.regexp_replace(_col(text), rf"(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
-
-
-def stripped_length(text: Column | str) -> Column:
-    """Code points left after :func:`strip`, without building the stripped string twice."""
-    return F.length(strip(text))
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def is_blank(text: Column | str) -> Column:
     """Null counts as blank."""
-    return F.coalesce(~_col(text).rlike(rf"(?U){NOT_SPACE_CLASS}"), F.lit(True))
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
 def has_min_chars(text: Column | str, minimum: int = 64) -> Column:
     """True when the stripped text has at least ``minimum`` code points; null text is False.
 
-    ``length`` alone settles short texts, so the regular expression only runs on the rest.
+    ``length`` alone settles short texts and texts without white space at the ends; only the rest
+    is stripped.
     """
     text = _col(text)
+    long = F.length(text) >= minimum
+    ragged = F.substring(text, 1, 1).isin(*SPACES) | F.substring(text, -1, 1).isin(*SPACES)
     return F.coalesce(
-        F.when(F.length(text) < minimum, F.lit(False)).otherwise(stripped_length(text) >= minimum),
-        F.lit(False),
+        F.when(long & ragged, F.length(strip(text)) >= minimum).otherwise(long), F.lit(False)
     )
 
 

@@ -20,9 +20,10 @@ from textloom.session import materialize
 
 # Plane 1 and up: clear of surrogates, and code point order equals id order.
 SYMBOL_BASE = 0x10000
-# Pairs looked at in one round, and replacements chained before the word table is rewritten.
+SYMBOL_BYTES = 4
+# Pairs looked at in one round, and rounds between two rewrites of the word table.
 ROUND_PAIRS = 500
-CHAIN_LIMIT = 64
+LINEAGE_ROUNDS = 32
 
 
 def symbol(token_id: int) -> str:
@@ -53,16 +54,27 @@ def word_table(counts: DataFrame) -> DataFrame:
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """Weighted counts of adjacent symbol pairs: ``left, right, n``."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2))
-    )
-    return (
-        words.filter(F.length("s") > 1)
-        .select(F.explode(pairs).alias("pair"), "n")
-        .groupBy("pair")
-        .agg(F.sum("n").cast("bigint").alias("n"))
-        .select(F.substring("pair", 1, 1).alias("left"), F.substring("pair", 2, 1).alias("right"), "n")
+    """Weighted counts of adjacent symbol pairs: ``pair, n``.
+
+    Positions are exploded and the pair is cut from the bytes (four a symbol), so the whole step is
+    one generated-code stage with sums before the shuffle.
+    """
+    # A slice instead of a filter: a filter would be pushed below the replacements of a round and
+    # make them run twice.
+    size = F.length("s")
+    starts = F.slice(F.sequence(F.lit(1), size), F.lit(1), size - 1)
+    placed = words.select(F.col("s").cast("binary").alias("b"), "n", F.explode(starts).alias("i"))
+    pair = F.col("b").substr((F.col("i") - 1) * SYMBOL_BYTES + 1, F.lit(2 * SYMBOL_BYTES))
+    return placed.groupBy(pair.alias("pair")).agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def pair_ids(pairs: DataFrame) -> DataFrame:
+    """``pair, n`` with readable ids: ``left_id, right_id, n``."""
+    text = F.decode("pair", "UTF-8")
+    return pairs.select(
+        symbol_id(F.substring(text, 1, 1)).alias("left_id"),
+        symbol_id(F.substring(text, 2, 1)).alias("right_id"),
+        "n",
     )
 
 
@@ -128,27 +140,33 @@ def train_bpe(
     model = BpeModel()
     table = model.token_bytes()
     ids = {text: i for i, text in enumerate(table)}
-    chained = 0
+    rounds = 0
+    cached: DataFrame | None = None
+    retired: list[DataFrame] = []
     while len(table) < vocab_size:
-        ranked = (
-            pair_counts(words)
-            .select(symbol_id(F.col("left")).alias("l"), symbol_id(F.col("right")).alias("r"), "n")
-            .orderBy(F.desc("n"), "l", "r")
-            .limit(ROUND_PAIRS)
-            .collect()
-        )
-        step = _choose(
-            [tuple(r) for r in ranked], table, ids, vocab_size - len(table), min_frequency
-        )
+        # The bytes of a pair sort like its two ids.
+        ranked = pair_counts(words).orderBy(F.desc("n"), "pair").limit(ROUND_PAIRS).collect()
+        while retired:
+            retired.pop().unpersist()
+        pairs = [(*(ord(c) - SYMBOL_BASE for c in bytes(r.pair).decode()), r.n) for r in ranked]
+        step = _choose(pairs, table, ids, vocab_size - len(table), min_frequency)
         model.merges.extend(step.merges)
         if step.finished or not step.merges:
             break
         s = F.col("s")
         for left, right, new, _ in step.merges:
             s = F.replace(s, F.lit(symbol(left) + symbol(right)), F.lit(symbol(new)))
-        words = words.select(s.alias("s"), "n")
-        chained += len(step.merges)
-        if chained >= CHAIN_LIMIT:
-            words = materialize(words.filter(F.length("s") > 1), "words")
-            chained = 0
+        merged = words.select(s.alias("s"), "n")
+        rounds += 1
+        if rounds % LINEAGE_ROUNDS == 0:
+            merged, kept = materialize(merged.filter(F.length("s") > 1), "words"), None
+        else:
+            # Filled by the next count, which reads every word anyway; a lost block is rebuilt from
+            # the last rewrite.
+            kept = merged = merged.persist()
+        previous, cached, words = cached, kept, merged
+        if previous is not None:
+            retired.append(previous)
+    for frame in [*retired, *([cached] if cached is not None else [])]:
+        frame.unpersist()
     return model

@@ -41,6 +41,28 @@ def merge_word(word: bytes, ranks: dict[tuple[int, int], tuple[int, int]]) -> li
     return ids
 
 
+def _gather(parts: list, which: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenation of ``parts[i]`` for all ``i`` in ``which``, and where each of them ends."""
+    arrays = [np.frombuffer(p, dtype=dtype) for p in parts]
+    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    lengths = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    if not ends[-1]:
+        return np.zeros(0, dtype=dtype), ends
+    take = np.repeat(begins[which] - ends[:-1], lengths) + np.arange(ends[-1])
+    return np.concatenate(arrays)[take], ends
+
+
+def _binary_array(data: bytes, offsets: np.ndarray, like: pa.Array) -> pa.Array:
+    """Binary rows cut from one buffer; null where ``like`` is null."""
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("batch too large; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)]
+    rows = pa.Array.from_buffers(pa.binary(), len(like), buffers)
+    return pc.if_else(like.is_valid(), rows, pa.scalar(None, pa.binary()))
+
+
 def _piece_encoder(model: BpeModel, specials: bool):
     """Arrow function from pre-token lists to packed ids.
 
@@ -69,23 +91,11 @@ def _piece_encoder(model: BpeModel, specials: bool):
     def encode(pieces: pa.Array) -> pa.Array:
         flat = pieces.flatten().dictionary_encode()
         encoded = [word_ids(w) for w in flat.dictionary.to_pylist()]
-        sizes = np.array([len(e) for e in encoded], dtype=np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        pool = np.concatenate(encoded) if encoded else np.array([], dtype="<u2")
-        which = flat.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[which] if len(which) else np.array([], dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(begins[which] - ends[:-1], lengths) if len(which) else np.array([], int)
-        ids = pool[take + np.arange(ends[-1])] if len(which) else pool[:0]
-        counts = pc.fill_null(pc.list_value_length(pieces), 0)
-        rows = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))])
-        offsets = (ends[rows.astype(np.int64)] * 2).astype(np.int32)
-        packed = pa.Array.from_buffers(
-            pa.binary(),
-            len(pieces),
-            [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())],
-        )
-        return pc.if_else(pieces.is_valid(), packed, pa.scalar(None, pa.binary()))
+        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, ends = _gather(encoded, which, "<u2")
+        counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+        rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return _binary_array(ids.astype("<u2").tobytes(), ends[rows] * 2, pieces)
 
     return encode
 
@@ -141,13 +151,11 @@ def decode_tokens(packed: Column, model: BpeModel) -> Column:
 
     @arrow_udf(T.BinaryType())
     def decode(rows: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                None if r is None else b"".join(table[i] for i in np.frombuffer(r, dtype="<u2"))
-                for r in rows.to_pylist()
-            ],
-            pa.binary(),
-        )
+        packed_rows = [r or b"" for r in rows.to_pylist()]
+        ids = np.frombuffer(b"".join(packed_rows), dtype="<u2").astype(np.int64)
+        data, ends = _gather(table, ids, "u1")
+        tokens = np.concatenate([[0], np.cumsum([len(r) // 2 for r in packed_rows])])
+        return _binary_array(data.tobytes(), ends[tokens.astype(np.int64)], rows)
 
     return decode(packed)
 

@@ -16,7 +16,7 @@ LOCATE_WIDTH = 4096
 
 
 def pack_blocks(
-    tokens: DataFrame, shard: str, row: str, packed: str, length: int
+    tokens: DataFrame, shard: str, row: str, packed: str, length: int, count: str | None = None
 ) -> DataFrame:
     """Concatenate the documents of a shard in row order and cut blocks of ``length`` tokens.
 
@@ -25,11 +25,11 @@ def pack_blocks(
 
     A document knows its first token's position from the running offset, so it cuts itself into
     the pieces that belong to each block. Pieces meet by ``(shard, block)``: a group never holds
-    more than ``length`` tokens, whatever the size of the shard.
+    more than ``length`` tokens, whatever the size of the shard. With the ``count`` column of
+    written token shards, the offsets are found without reading the tokens.
     """
-    docs = tokens.select(shard, row, F.col(packed).alias("_p")).withColumn(
-        "_n", token_count(F.col("_p"))
-    )
+    n = F.col(count) if count else token_count(F.col(packed))
+    docs = tokens.select(shard, row, F.col(packed).alias("_p"), n.alias("_n"))
     docs = docs.filter(F.col("_n") > 0)
     placed = running_offsets(
         docs, [shard], [row], F.col("_n"), row_bucket(F.col(row), BUCKET_DOCUMENTS), "_start"

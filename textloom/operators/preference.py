@@ -123,9 +123,9 @@ def unique_prompts(df: DataFrame, key: str, across_splits: bool = False) -> Data
     validation prompts that occur in train.
     """
     keyed = df.withColumn("_json", F.to_json(F.col("prompt")))
-    unique = keyed.groupBy("split", "_json").agg(
-        F.min(F.col(key)).alias(key), F.first("prompt").alias("prompt")
-    )
+    unique = keyed.groupBy("split", "_json").agg(F.min(F.col(key)).alias(key))
+    # Parsing the JSON back keeps the aggregation to a number per group: no sort, no arrays.
+    unique = unique.withColumn("prompt", F.from_json("_json", df.schema["prompt"].dataType))
     if across_splits:
         train = unique.filter(F.col("split") == "train").select("_json")
         held = unique.filter(F.col("split") != "train").join(train, "_json", "left_anti")

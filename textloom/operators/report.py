@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import text_stats
 from textloom.functions.tokens import unpack_ids
 from textloom.operators.ranking import bucket_bases, running_offsets
+from textloom.session import materialize
 
 CONTEXT_TOKENS = 2048
 # Steps per unit of the value axis; buckets of the exact percentile.
@@ -30,6 +31,8 @@ def exact_percentiles(
         .agg(F.count("*").alias("_n"))
         .withColumn("_b", F.floor(F.col("_x") * steps).cast("bigint"))
     )
+    # Read several times below; the source is scanned once.
+    counted = materialize(counted, "values")
     bases = bucket_bases(counted, [group], "_b", F.col("_n"))
     sizes = bases.groupBy(group).agg(F.sum("bucket_total").alias("_size"))
     wanted = sizes.select(

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from textloom.functions.arith import whole_div
 from textloom.functions.hashing import hash_bucket, is_validation, seeded_hash
 from textloom.operators.ranking import bucket_bases
+from textloom.session import materialize
 
 VALIDATION_SOURCES = ("validation", "test")
 # 4 hex digits: the bucket table has at most 65,536 rows, whatever the size of the data.
 BUCKET_DIGITS = 4
+# Validation sizes up to here are found by a plain top-k.
+TOP_K_ROWS = 10_000
 
 
 def hash_split(df: DataFrame, text: str, fraction: float, method: str = "md5") -> DataFrame:
@@ -26,9 +29,21 @@ def validation_size(rows: Column, validation_rows: int, divisor: int = 100) -> C
     return F.least(F.lit(validation_rows), F.greatest(F.lit(1), share)).cast("bigint")
 
 
-def _cut(df: DataFrame, key: str, seed: int, validation_rows: int, divisor: int) -> Column:
+def _keys(df: DataFrame, key: str, *more: Column) -> DataFrame:
+    """The keys of a frame, written once: deciding the cut reads them several times."""
+    return materialize(df.select(F.col(key).alias("_k"), *more), "keys")
+
+
+def _cut(keys: DataFrame, seed: int, validation_rows: int, divisor: int) -> Column:
     """The digest and key of the last validation row, as a scalar subquery."""
-    hashed = df.select(seeded_hash(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
+    hashed = keys.select(seeded_hash(seed, F.col("_k")).alias("_h"), "_k")
+    if validation_rows <= TOP_K_ROWS:
+        rows = keys.agg(F.count("*").alias("n")).scalar()
+        first = hashed.orderBy("_h", "_k").limit(validation_rows)
+        # At most TOP_K_ROWS rows are numbered.
+        numbered = first.withColumn("_n", F.row_number().over(Window.orderBy("_h", "_k")))
+        last = numbered.filter(F.col("_n") == validation_size(rows, validation_rows, divisor))
+        return last.agg(F.max(F.struct("_h", "_k")).alias("cut")).scalar()
     hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_h"), BUCKET_DIGITS))
     bases = bucket_bases(hashed, [], "_bucket", F.lit(1), fan_out=256)
     # At most 65,536 rows here: a window without partitions is bounded.
@@ -49,6 +64,12 @@ def _cut(df: DataFrame, key: str, seed: int, validation_rows: int, divisor: int)
     return last.agg(F.max(F.struct("_h", "_k")).alias("cut")).scalar()
 
 
+def _before_cut(keys: DataFrame, key: str, seed: int, validation_rows: int, divisor: int) -> Column:
+    cut = _cut(keys, seed, validation_rows, divisor)
+    mine = F.struct(seeded_hash(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
+    return F.coalesce(mine <= cut, F.lit(False))
+
+
 def exact_validation_flag(
     df: DataFrame, key: str, seed: int, validation_rows: int, divisor: int = 100
 ) -> Column:
@@ -58,9 +79,7 @@ def exact_validation_flag(
     counts per digest prefix locate the cut, and each row compares itself with it. ``key`` must be
     unique.
     """
-    cut = _cut(df, key, seed, validation_rows, divisor)
-    mine = F.struct(seeded_hash(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
-    return F.coalesce(mine <= cut, F.lit(False))
+    return _before_cut(_keys(df, key), key, seed, validation_rows, divisor)
 
 
 def exact_split(
@@ -85,8 +104,9 @@ def source_split(
     """
     named = F.coalesce(F.col(source), F.lit("train"))
     side = F.when(named.isin(*VALIDATION_SOURCES), "validation").when(named == "train", "train")
-    both = df.agg((F.count_distinct(side) == 2).alias("both")).scalar()
-    flag = exact_validation_flag(df, key, seed, validation_rows, divisor)
+    keys = _keys(df, key, side.alias("_side"))
+    both = keys.agg((F.count_distinct("_side") == 2).alias("both")).scalar()
+    flag = _before_cut(keys, key, seed, validation_rows, divisor)
     fallback = F.when(flag, "validation").otherwise("train")
     return df.withColumn("split", F.when(both, side).otherwise(fallback)).filter(
         F.col("split").isNotNull()

@@ -13,6 +13,7 @@ from textloom.functions.vocabulary import BpeModel
 from textloom.operators.encode import MAX_CHUNK_CHARS, encode_documents
 from textloom.operators.manifest import shard_build_stats, split_manifest
 from textloom.operators.split import hash_split
+from textloom.sources.corpus import spread
 from textloom.sources.sinks import token_sink
 
 
@@ -54,8 +55,8 @@ def prepare_corpus(
 ) -> PreparedCorpus:
     """Filter, split, encode and write once; statistics are read off the written shards."""
     spark: SparkSession = docs.sparkSession
-    usable = docs.filter(has_min_chars(text, min_chars))
-    split = hash_split(usable.select(shard, row, text), text, fraction, method)
+    usable = spread(docs.select(shard, row, text)).filter(has_min_chars(text, min_chars))
+    split = hash_split(usable, text, fraction, method)
     encoded = encode_documents(split, text, model, chunk_chars=max_chunk_chars).drop(text)
     token_sink(encoded, path, "split", shard, row)
     kinds = dict(encoded.dtypes)

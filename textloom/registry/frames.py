@@ -12,6 +12,7 @@ from textloom.functions.text import has_min_chars
 from textloom.functions.vocabulary import BpeModel
 from textloom.operators.encode import encode_documents
 from textloom.operators.packing import block_offsets
+from textloom.sources.corpus import spread
 
 FRACTION = 0.05
 BLOCK = 512
@@ -29,6 +30,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def spread_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents over all cores, for work that is heavy per row."""
+    return spread(documents(spark, sf))
+
+
 def usable_documents(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).filter(has_min_chars("text"))
 
@@ -104,7 +110,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def byte_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Usable documents encoded without any merge."""
-    return encode_documents(usable_documents(spark, sf), "text", BpeModel())
+    return encode_documents(spread(usable_documents(spark, sf)), "text", BpeModel())
 
 
 def source_number() -> Column:

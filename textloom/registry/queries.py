@@ -319,7 +319,7 @@ def block_locate(spark, sf):
 
 @query
 def paired_compare(spark, sf):
-    docs = documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
+    docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
     docs = docs.filter("domain is not null").withColumn("chars", F.length("text").cast("bigint"))
     a = docs.select("doc_id", "domain", "chars", F.size(text.pretokens("text")).alias("tokens"))
     b = docs.select("doc_id", (F.octet_length("text") - F.length("text") + 
@@ -353,7 +353,7 @@ def manifest_upsert(spark, sf):
 
 def _stats(spark, sf):
     return manifest.shard_build_stats(
-        documents(spark, sf),
+        frames.spread_documents(spark, sf),
         "source",
         text.has_min_chars("text"),
         hashing.is_validation(F.col("text"), FRACTION),
@@ -389,21 +389,17 @@ def collection_counts(spark, sf):
 
 @query
 def pretoken_counts(spark, sf):
-    return bpe.pretoken_counts(documents(spark, sf), "text")
+    return bpe.pretoken_counts(frames.spread_documents(spark, sf), "text")
 
 
 @query
 def bpe_pair_counts(spark, sf):
-    words = bpe.word_table(bpe.pretoken_counts(documents(spark, sf), "text"))
-    return bpe.pair_counts(words).select(
-        bpe.symbol_id(F.col("left")).alias("left_id"),
-        bpe.symbol_id(F.col("right")).alias("right_id"),
-        "n",
-    )
+    words = bpe.word_table(bpe.pretoken_counts(frames.spread_documents(spark, sf), "text"))
+    return bpe.pair_ids(bpe.pair_counts(words))
 
 
 def _trained(spark, sf, merges=MERGES):
-    counts = bpe.pretoken_counts(documents(spark, sf), "text")
+    counts = bpe.pretoken_counts(frames.spread_documents(spark, sf), "text")
     return bpe.train_bpe(counts, FIRST_MERGE_ID + merges)
 
 
@@ -414,7 +410,7 @@ def bpe_train(spark, sf):
 
 def _domain_tokens(spark, sf):
     """Documents of the known domains with byte ids, written once."""
-    docs = documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
+    docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
     docs = docs.filter("domain is not null")
     encoded = encode.encode_documents(docs, "text", BpeModel(), boundaries=False)
     return encoded.withColumn("n_tokens", token_count(F.col("tokens")))
@@ -422,7 +418,7 @@ def _domain_tokens(spark, sf):
 
 @query
 def domain_summary(spark, sf):
-    docs = documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
+    docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
     encoded = encode.encode_documents(
         docs.filter("domain is not null"), "text", BpeModel(), boundaries=False
     )
@@ -443,7 +439,7 @@ def domain_summary(spark, sf):
 
 @query
 def fertility_percentiles(spark, sf):
-    docs = documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
+    docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
     docs = docs.filter("domain is not null").select(
         "domain", F.size(text.pretokens("text")).alias("tokens"), F.length("text").alias("chars")
     )
@@ -551,9 +547,11 @@ def tail_sample(spark, sf):
 
 @query
 def pack_blocks(spark, sf):
-    tokens = frames.byte_tokens(spark, sf).select("source", "doc_id", "tokens")
+    tokens = frames.byte_tokens(spark, sf).select(
+        "source", "doc_id", "tokens", token_count(F.col("tokens")).alias("n_tokens")
+    )
     packed = packing.pack_blocks(
-        materialize(tokens, "encoded"), "source", "doc_id", "tokens", BLOCK
+        materialize(tokens, "encoded"), "source", "doc_id", "tokens", BLOCK, "n_tokens"
     )
     return packed.select("source", "block", F.md5(F.hex("tokens")).alias("digest"))
 
@@ -643,7 +641,7 @@ def pretokenize(spark, sf):
 
 @query
 def bpe_encode(spark, sf):
-    encoded = encode.encode_documents(documents(spark, sf), "text", _trained(spark, sf))
+    encoded = encode.encode_documents(frames.spread_documents(spark, sf), "text", _trained(spark, sf))
     return encoded.select(
         "doc_id",
         token_count(F.col("tokens")).alias("n_tokens"),
@@ -654,7 +652,7 @@ def bpe_encode(spark, sf):
 @query
 def bpe_roundtrip(spark, sf):
     model = _trained(spark, sf)
-    encoded = encode.encode_documents(documents(spark, sf), "text", model, boundaries=False)
+    encoded = encode.encode_documents(frames.spread_documents(spark, sf), "text", model, boundaries=False)
     checked = encode.roundtrip(encoded, "text", "tokens", model)
     return checked.groupBy("source").agg(
         F.count("*").alias("documents"),

@@ -20,6 +20,15 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"missing columns {missing}")
 
 
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread the rows when the scan has fewer splits than there are cores.
+
+    A file with one row group is one split. A corpus of many files is left as it is.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def file_listing(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """``path, bytes, modified`` of all files below ``root``; contents are not read."""
     files = (
