@@ -97,7 +97,7 @@ def fertility_percentiles(df: DataFrame, group: str, tokens: Column, chars: Colu
 def approximate_fertility(df: DataFrame, group: str, tokens: Column, chars: Column) -> DataFrame:
     """One pass with a sketch; for a first look at very large samples."""
     sketch = F.percentile_approx(
-        fertility(tokens, chars), [F.lit(p) for p in FERTILITY.values()], 10_000
+        fertility(tokens, chars), list(FERTILITY.values()), 10_000
     )
     sketched = df.groupBy(group).agg(sketch.alias("_q"))
     return sketched.select(group, *[F.col("_q")[i].alias(n) for i, n in enumerate(FERTILITY)])
