@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.arith import whole_div
-from textloom.session import checkpointed
+from textloom.session import checkpointed, materialize
 
 BUCKET_ROWS = 1024
 FAN_OUT = 1024
@@ -78,6 +78,12 @@ def running_offsets(
     )
 
 
+def bucket_counts(df: DataFrame, group: list[str], bucket: Column) -> DataFrame:
+    """Rows per ``group + _bucket``, written once: a small table that is read several times."""
+    counted = df.select(*group, bucket.alias("_bucket")).groupBy(*group, "_bucket")
+    return materialize(counted.agg(F.count("*").alias("_rows")), "counts")
+
+
 def first_in_group(
     df: DataFrame,
     group: list[str],
@@ -86,22 +92,29 @@ def first_in_group(
     quota: DataFrame | int | Column,
     rank: str = "rank",
     fan_out: int = FAN_OUT,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``quota`` rows of every group, ranked from 0.
 
-    ``quota`` is a number, a scalar column, or a frame ``group + quota``. Buckets that lie wholly
-    past the quota are dropped before any row is sorted.
+    ``quota`` is a number, a scalar column, or a frame ``group + quota``. ``counts`` is the result
+    of :func:`bucket_counts`, for callers that need it themselves. So the rows are read twice: once
+    to be counted, once to be picked. The second time, buckets that lie wholly past the quota are
+    dropped before any row is moved or sorted.
     """
     bucketed = df.withColumn("_bucket", bucket)
-    bases = bucket_bases(bucketed, group, "_bucket", F.lit(1), fan_out)
+    if counts is None:
+        counts = bucket_counts(df, group, bucket)
+    bases = bucket_bases(counts, group, "_bucket", F.col("_rows"), fan_out)
     if isinstance(quota, DataFrame):
         bases = bases.join(quota.select(*group, F.col("quota").alias("_quota")), group)
     else:
         bases = bases.withColumn("_quota", quota if isinstance(quota, Column) else F.lit(quota))
     wanted = bases.filter(F.col("bucket_base") < F.col("_quota")).drop("bucket_total")
+    last_bucket = wanted.agg(F.max("_bucket").alias("b")).scalar()
     window = Window.partitionBy(*group, "_bucket").orderBy(*order)
     return (
-        bucketed.join(wanted, [*group, "_bucket"])
+        bucketed.filter(F.col("_bucket") <= last_bucket)
+        .join(wanted, [*group, "_bucket"])
         .withColumn(rank, (F.row_number().over(window) - 1 + F.col("bucket_base")).cast("bigint"))
         .filter(F.col(rank) < F.col("_quota"))
         .drop("_bucket", "_quota", "bucket_base")

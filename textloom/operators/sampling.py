@@ -9,7 +9,7 @@ from textloom.functions.arith import whole_div
 from textloom.functions.hashing import hash_bucket, is_validation, seeded_hash
 from textloom.functions.text import cap_chars, has_min_chars, nfc
 from textloom.operators.ranking import (
-    bucket_bases,
+    bucket_counts,
     first_in_group,
     global_offsets,
     row_bucket,
@@ -87,11 +87,11 @@ def per_shard_quota(
     """
     n_shards = df.agg(F.count_distinct(shard).alias("n")).scalar()
     quota = F.ceil(F.lit(max_documents) / n_shards)
-    usable = df.filter(has_min_chars(text, min_chars)).withColumn("_rb", row_bucket(F.col(row)))
-    counts = bucket_bases(usable, [shard], "_rb", F.lit(1))
+    usable = df.filter(has_min_chars(text, min_chars))
+    counts = bucket_counts(usable, [shard], row_bucket(F.col(row)))
 
     # One row per shard from here on.
-    shards = counts.groupBy(shard).agg(F.sum("bucket_total").alias("_usable"))
+    shards = counts.groupBy(shard).agg(F.sum("_rows").alias("_usable"))
     shards = shards.withColumn("_taken", F.least(F.col("_usable"), quota).cast("bigint"))
     one_pass = shards.agg(F.sum("_taken").alias("s")).scalar()
     full = whole_div(F.lit(max_documents), one_pass)
@@ -107,7 +107,7 @@ def per_shard_quota(
     bound = F.when(F.col("_full") > 0, F.col("_taken")).otherwise(F.col("_last"))
     limits = shards.select(shard, bound.alias("quota"), "_full", "_last")
     picked = first_in_group(
-        usable.drop("_rb"), [shard], [row], row_bucket(F.col(row)), limits, rank="_rank"
+        usable, [shard], [row], row_bucket(F.col(row)), limits, rank="_rank", counts=counts
     )
     plan = picked.join(limits.drop("quota"), shard)
     copies = F.col("_full") + (F.col("_rank") < F.col("_last")).cast("bigint")

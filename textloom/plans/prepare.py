@@ -52,13 +52,14 @@ def prepare_corpus(
     min_chars: int = 64,
     max_chunk_chars: int = MAX_CHUNK_CHARS,
     method: str = "md5",
+    shards_are_files: bool = False,
 ) -> PreparedCorpus:
     """Filter, split, encode and write once; statistics are read off the written shards."""
     spark: SparkSession = docs.sparkSession
     usable = spread(docs.select(shard, row, text)).filter(has_min_chars(text, min_chars))
     split = hash_split(usable, text, fraction, method)
     encoded = encode_documents(split, text, model, chunk_chars=max_chunk_chars).drop(text)
-    token_sink(encoded, path, "split", shard, row)
+    token_sink(encoded, path, "split", shard, row, shards_are_files=shards_are_files)
     kinds = dict(encoded.dtypes)
     schema = f"`{row}` {kinds[row]}, n_tokens bigint, tokens binary, split string, `{shard}` {kinds[shard]}"
     written = spark.read.schema(schema).parquet(path)

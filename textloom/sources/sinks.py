@@ -13,19 +13,25 @@ ROWS_PER_TASK = 100_000
 
 
 def token_sink(
-    tokens: DataFrame, path: str, split: str, shard: str, row: str, packed: str = "tokens"
+    tokens: DataFrame,
+    path: str,
+    split: str,
+    shard: str,
+    row: str,
+    packed: str = "tokens",
+    shards_are_files: bool = False,
 ) -> None:
     """Parquet data set partitioned by split and shard; the commit protocol publishes it whole.
 
     Rows meet by ``(split, shard, block of rows)``: few files per shard, and none of the writers
-    holds a whole hot shard.
+    holds a whole hot shard. Where a shard is an input file, a task has the rows of few shards as it
+    is, and ``shards_are_files`` writes without a shuffle.
     """
-    spread = tokens.select(
-        split, shard, row, token_count(F.col(packed)).alias("n_tokens"), packed
-    ).repartition(split, shard, whole_div(F.col(row), ROWS_PER_TASK))
-    spread.sortWithinPartitions(split, shard, row).write.mode("overwrite").partitionBy(
-        split, shard
-    ).parquet(path)
+    rows = tokens.select(split, shard, row, token_count(F.col(packed)).alias("n_tokens"), packed)
+    if not shards_are_files:
+        rows = rows.repartition(split, shard, whole_div(F.col(row), ROWS_PER_TASK))
+        rows = rows.sortWithinPartitions(split, shard, row)
+    rows.write.mode("overwrite").partitionBy(split, shard).parquet(path)
 
 
 def normalized_sink(collections: dict[str, DataFrame], path: str) -> None:
