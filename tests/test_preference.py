@@ -140,3 +140,41 @@ def test_collections(spark):
     assert counts["reward"] == {"train": 54, "validation": 6}
     assert counts["rlhf"]["train"] == 7
     assert made["sft"].filter(F.col("split").isNull()).count() == 0
+
+
+def test_from_files_to_one_data_set(spark, tmp_path):
+    talks = spark.createDataFrame(
+        [([U, ("assistant", f"a{i}")],) for i in range(120)] + [([U],)], f"messages {MESSAGES_TYPE}"
+    )
+    pairs = spark.createDataFrame(
+        [([U, ("assistant", "x")], [U, ("assistant", f"y{i}")]) for i in range(40)],
+        f"chosen {MESSAGES_TYPE}, rejected {MESSAGES_TYPE}",
+    )
+    ratings = scored(spark, [(i, f"p{i % 5}", "a", "b", 1, "train" if i else "test") for i in range(30)])
+    talks.write.parquet(str(tmp_path / "talks"))
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    ratings.drop("i").write.json(str(tmp_path / "scored" / "preference.jsonl"))
+    inputs = [str(tmp_path / p) for p in ("talks", "pairs", "scored")]
+    counts = posttrain.prepare_posttrain(spark, *inputs, str(tmp_path / "out"))
+    assert {(r.collection, r.split): r.rows for r in counts.collect()} == {
+        ("sft", "train"): 119,
+        ("sft", "validation"): 1,
+        ("dpo", "train"): 39,
+        ("dpo", "validation"): 1,
+        ("reward", "train"): 29,
+        ("reward", "validation"): 1,
+        ("rlhf", "train"): 5,
+        ("rlhf", "validation"): 1,
+    }
+
+
+def test_conversation_files_are_routed_by_name(spark, tmp_path):
+    for name, n in (("train-0", 5), ("test-0", 3)):
+        frame = spark.createDataFrame([([U, ("assistant", "a")],)] * n, f"messages {MESSAGES_TYPE}")
+        folder = tmp_path / f"tmp-{name}"
+        frame.coalesce(1).write.parquet(str(folder))
+        (tmp_path / "raw").mkdir(exist_ok=True)
+        part = next(folder.glob("*.parquet"))
+        (tmp_path / "raw" / f"{name}.parquet").write_bytes(part.read_bytes())
+    rows = posttrain.load_conversations(spark, str(tmp_path / "raw"))
+    assert dict(rows.groupBy("split").count().collect()) == {"train": 5, "validation": 3}

@@ -104,3 +104,32 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
         got = {tuple(r) for r in spark.table(f"rolled{start}").collect()}
         batch = logs.interval_rollup(frame, "step", "loss", "t", 10, 4, start)
         assert got == {tuple(r) for r in batch.select("step", "tokens", "steps", "loss").collect()}
+
+
+def test_only_changed_files_are_prepared_again(spark, tmp_path):
+    rows, df = documents(spark)
+    root, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    one, two = df.filter("row < 200").select("text", "row"), df.filter("row >= 200").select("text", "row")
+    one.coalesce(1).write.parquet(root + "/a")
+    two.coalesce(1).write.parquet(root + "/b with space")
+
+    def run(model=BpeModel()):
+        return len(prepare.prepare_changed(spark, root, model, out, 0.09))
+
+    def bytes_kept():
+        total = prepare.current_manifest(spark, out).filter("level = 'all'").first().tokens
+        stored = prepare.current_tokens(spark, out).agg(F.sum(F.octet_length("tokens"))).first()[0]
+        assert stored == 2 * total
+        return total
+
+    whole = sum(len(t.encode()) + 2 for _, _, t in rows if len(t) >= 64)
+    assert run() == 2 and bytes_kept() == whole
+    assert run() == 0 and bytes_kept() == whole
+    # A changed file and a new one; then another tokenizer.
+    one.limit(50).coalesce(1).write.mode("overwrite").parquet(root + "/a")
+    df.filter("row < 20").select("text").coalesce(1).write.parquet(root + "/c")
+    assert run() == 2
+    shards = prepare.current_tokens(spark, out).select("shard").distinct().count()
+    assert shards == 3 and bytes_kept() < whole + sum(len(t.encode()) + 2 for _, _, t in rows[:20])
+    assert run(BpeModel([(7, 8, 263, 2)])) == 3
+    assert run(BpeModel([(7, 8, 263, 2)])) == 0

@@ -50,7 +50,8 @@ def word_symbols(word: Column) -> Column:
 
 def word_table(counts: DataFrame) -> DataFrame:
     """``s, n`` for all words that can still be merged."""
-    return counts.select(word_symbols(F.col("word")).alias("s"), "n").filter(F.length("s") > 1)
+    longer = counts.filter(F.octet_length("word") > 1)
+    return longer.select(word_symbols(F.col("word")).alias("s"), "n")
 
 
 def pair_counts(words: DataFrame) -> DataFrame:

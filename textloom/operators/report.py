@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import text_stats
 from textloom.functions.tokens import unpack_ids
-from textloom.operators.ranking import bucket_bases, running_offsets
+from textloom.operators.ranking import bucket_bases
 from textloom.session import materialize
 
 CONTEXT_TOKENS = 2048
@@ -21,8 +21,9 @@ def exact_percentiles(
     """Percentiles with linear interpolation between the two nearest ranks, per group.
 
     Equal values are counted first (map-side). Buckets of the value axis then locate the ranks
-    that are needed, and only the buckets that hold one are looked at row by row. No group is ever
-    sorted as a whole, unlike the built-in ``percentile``.
+    that are needed, and only the distinct values of the buckets that hold one are sorted. No group
+    is ever sorted as a whole, unlike the built-in ``percentile``; ``steps`` sets how fine the
+    buckets are.
     """
     counted = (
         df.select(group, value.cast("double").alias("_x"))
@@ -60,15 +61,13 @@ def exact_percentiles(
         & (F.col("rank") < F.col("bucket_base") + F.col("bucket_total"))
     )
     hit = targets.select(group, "_b").distinct()
-    inside = running_offsets(
-        counted.join(hit, [group, "_b"], "left_semi").withColumnRenamed("_b", "_vb"),
-        [group, "_vb"],
-        ["_x"],
-        F.col("_n"),
-        F.lit(0).cast("bigint"),
-        "_at",
-    )
-    found = targets.withColumnRenamed("_b", "_vb").join(inside, [group, "_vb"]).filter(
+    before = Window.partitionBy(group, "_b").orderBy("_x").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    inside = counted.join(hit, [group, "_b"], "left_semi").withColumn(
+        "_at", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    )
+    found = targets.join(inside, [group, "_b"]).filter(
         (F.col("rank") - F.col("bucket_base") >= F.col("_at"))
         & (F.col("rank") - F.col("bucket_base") < F.col("_at") + F.col("_n"))
     )

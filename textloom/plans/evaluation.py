@@ -14,6 +14,11 @@ from textloom.operators.report import (
     paired_compare,
     vocab_coverage,
 )
+from textloom.operators.sampling import (
+    require_full_quotas,
+    tail_sample,
+    tail_shortages,
+)
 from textloom.session import materialize
 
 
@@ -53,3 +58,29 @@ def compare_tokenizers(
         .unionByName(tokenizer_report(right, domain, text, b).withColumn("tokenizer", F.lit("b")))
     )
     return report, paired_compare(left, right, key, domain, tokens="n_tokens")
+
+
+def heldout_comparison(
+    docs: DataFrame,
+    shard: str,
+    row: str,
+    text: str,
+    source: str,
+    a: BpeModel,
+    b: BpeModel,
+    samples_per_domain: int = 50_000,
+    tail_start: int = 90_000,
+    max_chars: int = 16_384,
+    seed: int = 120,
+    domains: dict[str, tuple[str, ...]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Draw the held-out sample, insist on full quotas, and compare both tokenizers on it."""
+    sample = materialize(
+        tail_sample(
+            docs, shard, row, text, source, samples_per_domain, tail_start, seed, max_chars,
+            domains=domains,
+        ).withColumn("key", F.concat_ws(":", shard, F.col(row).cast("string"))),
+        "heldout",
+    )
+    require_full_quotas(tail_shortages(sample, docs, shard, samples_per_domain, domains))
+    return compare_tokenizers(sample, "key", "domain", text, a, b)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.functions.messages import MESSAGES_TYPE
+from textloom.operators.manifest import collection_counts
 from textloom.operators.preference import (
     explicit_pairs,
     normalize_scored,
@@ -12,6 +15,10 @@ from textloom.operators.preference import (
     valid_conversations,
 )
 from textloom.operators.split import exact_split, source_split
+from textloom.session import materialize
+from textloom.sources.corpus import file_listing, names_validation, read_files, split_by_filename
+from textloom.sources.preference import preference_file, preference_scan
+from textloom.sources.sinks import normalized_sink
 
 
 def sft_collection(
@@ -67,3 +74,60 @@ def collections(
         "reward": reward,
         "rlhf": rlhf_collection(reward, key),
     }
+
+
+KEY = "row_key"
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """File and position as one key, in place of the two."""
+    key = F.concat_ws(":", "shard", F.lpad(F.col("row_index").cast("string"), 19, "0"))
+    return rows.withColumn(KEY, key).drop("shard", "row_index")
+
+
+def load_conversations(spark: SparkSession, root: str) -> DataFrame:
+    """Conversation files routed by their names; without validation files there is no ``split``
+    column yet, and the exact split makes it."""
+    rows = read_files(spark, [root], {"messages": MESSAGES_TYPE})
+    listing = file_listing(spark, root)
+    if listing.filter(names_validation(F.col("path"))).limit(1).collect():
+        return _keyed(split_by_filename(rows, "shard", listing=listing.drop("path")))
+    routed = split_by_filename(rows, "shard", listing=listing.drop("path"))
+    return _keyed(routed.drop("split"))
+
+
+def load_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return _keyed(
+        read_files(spark, [root], {"chosen": MESSAGES_TYPE, "rejected": MESSAGES_TYPE})
+    )
+
+
+def load_scored(spark: SparkSession, root: str) -> DataFrame:
+    """Scored JSON lines; the content is the key, with a number for equal rows."""
+    rows = preference_scan(spark, preference_file(spark, root))
+    content = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
+    return rows.withColumn(KEY, F.concat_ws(":", content, F.monotonically_increasing_id()))
+
+
+def prepare_posttrain(
+    spark: SparkSession,
+    conversations: str,
+    pairs: str,
+    scored: str,
+    output: str,
+    seed: int = 42,
+    validation_rows: int = 2_000,
+    on_no_prompt: str = "fail",
+) -> DataFrame:
+    """Read the three inputs, normalize them, write one data set; returns its row counts."""
+    made = collections(
+        load_conversations(spark, conversations),
+        load_pairs(spark, pairs),
+        materialize(load_scored(spark, scored), "scored"),
+        KEY,
+        seed,
+        validation_rows,
+        on_no_prompt,
+    )
+    normalized_sink(made, output)
+    return collection_counts(spark.read.parquet(output))

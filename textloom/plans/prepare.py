@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import is_validation
 from textloom.functions.text import has_min_chars, nfc, pretokens
+from textloom.functions.tokens import TOKEN_BYTES, token_count
 from textloom.functions.vocabulary import BpeModel
 from textloom.operators.encode import MAX_CHUNK_CHARS, encode_documents
-from textloom.operators.manifest import shard_build_stats, split_manifest
+from textloom.operators.manifest import (
+    FINGERPRINT,
+    fingerprints,
+    pending_shards,
+    shard_build_stats,
+    split_manifest,
+)
 from textloom.operators.split import hash_split
-from textloom.sources.corpus import spread
+from textloom.sources.corpus import file_listing, read_files, spread
 from textloom.sources.sinks import token_sink
 
 
@@ -81,3 +91,125 @@ def prepare_corpus(
     return PreparedCorpus(written, stats, split_manifest(stats, shard))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _latest(metadata: DataFrame) -> DataFrame:
+    """The last build of every source file."""
+    rest = [c for c in metadata.columns if c != "source"]
+    last = metadata.groupBy("source").agg(F.max_by(F.struct(*rest), "run").alias("_m"))
+    return last.select("source", *[F.col(f"_m.{c}").alias(c) for c in rest])
+
+
+def _output_sizes(metadata: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``path, bytes`` of either side of every build, counted in the stored tokens."""
+    sides = metadata.select(
+        "run",
+        F.col("source").alias("shard"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(s).alias("split"), F.col(f"{s}_path").alias("path"))
+                    for s in ("train", "validation")
+                ]
+            )
+        ),
+    )
+    sums = tokens.groupBy("run", "shard", "split").agg(F.sum("n_tokens").alias("_n"))
+    stored = sides.join(sums, ["run", "shard", "split"], "left")
+    return stored.select("path", (F.coalesce("_n", F.lit(0)) * TOKEN_BYTES).alias("bytes"))
+
+
+def prepare_changed(
+    spark: SparkSession,
+    root: str,
+    model: BpeModel,
+    output: str,
+    fraction: float = 0.001,
+    min_chars: int = 64,
+    max_chunk_chars: int = MAX_CHUNK_CHARS,
+    method: str = "md5",
+) -> list[str]:
+    """Prepare the files below ``root`` that are new or changed since the last run; returns them.
+
+    A file is left alone while its fingerprint is the same and its stored tokens add up. Tokens and
+    metadata are only appended, under the id of the run; the metadata row comes last and is what
+    makes tokens count, so a run that breaks off leaves nothing behind that is read.
+    """
+    listing = file_listing(spark, root)
+    prints = fingerprints(
+        listing.select(F.col("shard").alias("path"), "bytes", "modified"),
+        model.sha256(),
+        fraction,
+        min_chars,
+        max_chunk_chars,
+    )
+    metadata, tokens = _stored(spark, f"{output}/metadata"), _stored(spark, f"{output}/tokens")
+    todo = prints
+    if metadata is not None and tokens is not None:
+        last = _latest(metadata)
+        todo = pending_shards(prints, last, _output_sizes(last, tokens))
+    # File names only: the list that the reader of these files keeps on the driver anyway.
+    changed = listing.join(todo.select(F.col("source").alias("shard")), "shard", "left_semi")
+    paths = sorted(r.path for r in changed.select("path").collect())
+    if not paths:
+        return []
+
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    docs = read_files(spark, paths)
+    usable = spread(docs).filter(has_min_chars("text", min_chars))
+    encoded = encode_documents(
+        hash_split(usable, "text", fraction, method), "text", model, chunk_chars=max_chunk_chars
+    )
+    encoded.select(
+        F.lit(run).alias("run"),
+        "split",
+        "shard",
+        "row_index",
+        token_count(F.col("tokens")).alias("n_tokens"),
+        "tokens",
+    ).write.mode("append").partitionBy("run", "split").parquet(f"{output}/tokens")
+
+    written = spark.read.parquet(f"{output}/tokens").filter(F.col("run") == run)
+    sums = written.groupBy("shard").agg(
+        *[
+            F.sum(F.when(F.col("split") == s, F.col("n_tokens")).otherwise(0)).alias(f"{s}_tokens")
+            for s in ("train", "validation")
+        ],
+        F.count("*").alias("documents"),
+    )
+    rows = docs.groupBy("shard").agg(F.count("*").alias("_rows"))
+    counted = prints.join(changed.select(F.col("shard").alias("source")), "source", "left_semi")
+    counted = counted.join(rows.withColumnRenamed("shard", "source"), "source", "left").join(
+        sums.withColumnRenamed("shard", "source"), "source", "left"
+    )
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    counted.select(
+        *FINGERPRINT,
+        F.lit(run).alias("run"),
+        *[
+            F.concat_ws("/", F.lit(run), F.lit(s), F.col("source")).alias(f"{s}_path")
+            for s in ("train", "validation")
+        ],
+        number("train_tokens").alias("train_tokens"),
+        number("validation_tokens").alias("validation_tokens"),
+        number("documents").alias("documents"),
+        (number("_rows") - number("documents")).alias("skipped_documents"),
+    ).write.mode("append").parquet(f"{output}/metadata")
+    return paths
+
+
+def current_tokens(spark: SparkSession, output: str) -> DataFrame:
+    """The stored tokens of the last build of every file."""
+    last = _latest(spark.read.parquet(f"{output}/metadata"))
+    tokens = spark.read.parquet(f"{output}/tokens")
+    return tokens.join(last.select(F.col("source").alias("shard"), "run"), ["shard", "run"], "left_semi")
+
+
+def current_manifest(spark: SparkSession, output: str) -> DataFrame:
+    """:func:`split_manifest` of the last builds."""
+    return split_manifest(_latest(spark.read.parquet(f"{output}/metadata")), "source")

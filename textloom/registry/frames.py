@@ -51,11 +51,11 @@ def _assistants(messages: Column) -> Column:
     return F.filter(messages, lambda m: m["role"] == "assistant")
 
 
-def explicit_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def explicit_pairs(talks: DataFrame) -> DataFrame:
     """Turns up to the first assistant turn, against the same turns with the second answer."""
     m = F.col("messages")
     first = F.array_position(F.transform(m, lambda x: x["role"]), F.lit("assistant")).cast("int")
-    rows = conversations(spark, sf).filter(F.size(_assistants(m)) >= 2)
+    rows = talks.filter(F.size(_assistants(m)) >= 2)
     return rows.select(
         "conv_id",
         F.slice(m, F.lit(1), first).alias("chosen"),
@@ -65,15 +65,14 @@ def explicit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def scored_pairs(talks: DataFrame) -> DataFrame:
     """Two responses with a strength; the prompt is shared by many rows."""
-    rows = conversations(spark, sf)
     answers = _assistants(F.col("messages"))
     asked = F.filter(F.col("messages"), lambda m: m["role"] == "user")
-    prompts = rows.filter(F.size(asked) > 0).select(
+    prompts = talks.filter(F.size(asked) > 0).select(
         F.col("conv_id").alias("prompt_id"), F.try_element_at(asked, F.lit(1))["content"].alias("prompt")
     )
-    both = rows.filter(F.size(answers) >= 2).select(
+    both = talks.filter(F.size(answers) >= 2).select(
         "conv_id",
         (F.col("conv_id") % 40).alias("prompt_id"),
         F.try_element_at(answers, F.lit(1))["content"].alias("response_1"),

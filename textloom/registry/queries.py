@@ -111,7 +111,7 @@ def split_by_filename(spark, sf):
 @query
 def preference_jsonl_scan(spark, sf):
     root = scratch_path(spark, "preference-input")
-    frames.scored_pairs(spark, sf).write.json(os.path.join(root, "data", "preference.jsonl"))
+    frames.scored_pairs(frames.conversations(spark, sf)).write.json(os.path.join(root, "data", "preference.jsonl"))
     found = preference_source.preference_file(spark, root)
     schema = preference_source.PREFERENCE_SCHEMA + ", conv_id long"
     rows = preference_source.preference_scan(spark, found, schema=schema)
@@ -139,10 +139,11 @@ def token_sink(spark, sf):
 
 
 def _collections(spark, sf):
+    talks = materialize(frames.conversations(spark, sf), "conversations")
     return posttrain.collections(
-        frames.conversations(spark, sf),
-        frames.explicit_pairs(spark, sf),
-        frames.scored_pairs(spark, sf),
+        talks,
+        frames.explicit_pairs(talks),
+        frames.scored_pairs(talks),
         "conv_id",
         SEED,
         on_no_prompt="drop",
@@ -216,13 +217,13 @@ def _pair_columns():
 
 @query
 def explicit_pref_filter(spark, sf):
-    pairs = preference.explicit_pairs(frames.explicit_pairs(spark, sf), on_no_prompt="drop")
+    pairs = preference.explicit_pairs(frames.explicit_pairs(frames.conversations(spark, sf)), on_no_prompt="drop")
     return pairs.select(*_pair_columns())
 
 
 @query
 def scored_pref_filter(spark, sf):
-    return preference.scored_filter(frames.scored_pairs(spark, sf)).select(
+    return preference.scored_filter(frames.scored_pairs(frames.conversations(spark, sf))).select(
         "conv_id", "preference_strength"
     )
 
@@ -259,7 +260,7 @@ def heldout_filter(spark, sf):
 
 @query
 def explicit_preference(spark, sf):
-    pairs = preference.explicit_preference(frames.explicit_pairs(spark, sf), "drop")
+    pairs = preference.explicit_preference(frames.explicit_pairs(frames.conversations(spark, sf)), "drop")
     sizes = [F.size(c).cast("bigint").alias(f"{c}_turns") for c in ("prompt", "chosen", "rejected")]
     return pairs.select(*_pair_columns(), *sizes)
 
@@ -563,7 +564,7 @@ def block_offsets(spark, sf):
 
 @query
 def unique_prompts(spark, sf):
-    reward = posttrain.reward_collection(frames.scored_pairs(spark, sf), "conv_id", SEED)
+    reward = posttrain.reward_collection(frames.scored_pairs(frames.conversations(spark, sf)), "conv_id", SEED)
     unique = preference.unique_prompts(reward, "conv_id")
     return unique.select("conv_id", "split", F.md5(frames.joined(F.col("prompt"))).alias("prompt"))
 
@@ -582,7 +583,7 @@ def exact_split(spark, sf):
 @query
 def source_split(spark, sf):
     rows = preference.normalize_scored(
-        preference.scored_filter(frames.scored_pairs(spark, sf)), ["conv_id"]
+        preference.scored_filter(frames.scored_pairs(frames.conversations(spark, sf))), ["conv_id"]
     )
     named = split.source_split(rows, "conv_id", SEED, 2000).select("conv_id", "split")
     alone = rows.filter("source_split = 'train'")
@@ -695,7 +696,7 @@ def assistant_spans(spark, sf):
 @query
 def normalize_scored_pref(spark, sf):
     rows = preference.normalize_scored(
-        preference.scored_filter(frames.scored_pairs(spark, sf)), ["conv_id"]
+        preference.scored_filter(frames.scored_pairs(frames.conversations(spark, sf))), ["conv_id"]
     )
     return rows.select(
         "conv_id",

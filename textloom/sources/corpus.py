@@ -30,7 +30,10 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """``path, bytes, modified`` of all files below ``root``; contents are not read."""
+    """``path, shard, bytes, modified`` of all files below ``root``; contents are not read.
+
+    ``path`` can be read again; ``shard`` is the name under which :func:`corpus_scan` lists a file.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -39,6 +42,7 @@ def file_listing(spark: SparkSession, root: str, pattern: str = "*.parquet") ->
     )
     return files.select(
         "path",
+        F.col("_metadata.file_path").alias("shard"),
         F.col("length").alias("bytes"),
         F.unix_micros("modificationTime").alias("modified"),
     )
@@ -83,8 +87,6 @@ def corpus_scan(
     ``columns`` maps names to types, ``text string`` by default. ``on_missing`` decides about files
     without ``text``: ``"error"`` raises, ``"skip"`` reads nothing from them (their text is null).
     """
-    columns = columns or {"text": "string"}
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
     listing = file_listing(spark, root, pattern)
     if not listing.limit(1).collect():
         raise FileNotFoundError(f"no files match {pattern} below {root}")
@@ -95,38 +97,61 @@ def corpus_scan(
             raise ValueError(f"no text column in {bad}")
     elif on_missing not in (None, "skip"):
         raise ValueError(f"unknown policy {on_missing!r}")
-    frame = (
+    frame = read_files(spark, [root], columns, pattern)
+    return frame.filter(F.col("text").isNotNull()) if on_missing == "skip" else frame
+
+
+def read_files(
+    spark: SparkSession,
+    paths: list[str],
+    columns: dict[str, str] | None = None,
+    pattern: str = "*.parquet",
+) -> DataFrame:
+    """The wanted columns of the given files or folders, with ``shard`` and ``row_index``."""
+    columns = columns or {"text": "string"}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
+    return (
         spark.read.schema(schema)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .parquet(root)
+        .parquet(*paths)
         .select(
             *columns,
             F.col("_metadata.file_path").alias("shard"),
             F.col("_metadata.row_index").alias("row_index"),
         )
     )
-    return frame.filter(F.col("text").isNotNull()) if on_missing == "skip" else frame
 
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def split_by_filename(listing: DataFrame, path: str = "path", disjoint: bool = False) -> DataFrame:
+def names_validation(path: Column) -> Column:
+    """The file name says that it is validation data."""
+    name = F.lower(file_name(path))
+    says = F.lit(False)
+    for word in VALIDATION_NAMES:
+        says = says | F.contains(name, F.lit(word))
+    return says
+
+
+def split_by_filename(
+    rows: DataFrame, path: str = "path", disjoint: bool = False, listing: DataFrame | None = None
+) -> DataFrame:
     """Route files by name: ``train`` in it, or ``test``/``validation``/``eval``.
 
+    ``rows`` is a listing, or the rows of the files together with their ``listing``.
+
     When no name says train, every file is train. A name that says both goes to both sides, unless
     ``disjoint`` keeps it out of train. A file that matches neither is left out.
     """
-    name = F.lower(file_name(F.col(path)))
-    is_validation = F.lit(False)
-    for word in VALIDATION_NAMES:
-        is_validation = is_validation | F.contains(name, F.lit(word))
-    says_train = F.contains(name, F.lit("train"))
-    any_train = F.coalesce(listing.agg(F.bool_or(says_train).alias("t")).scalar(), F.lit(False))
+    says_train = F.contains(F.lower(file_name(F.col(path))), F.lit("train"))
+    is_validation = names_validation(F.col(path))
+    files = rows if listing is None else listing
+    any_train = F.coalesce(files.agg(F.bool_or(says_train).alias("t")).scalar(), F.lit(False))
     to_train = F.when(any_train, says_train).otherwise(F.lit(True))
     if disjoint:
         to_train = to_train & ~is_validation
     sides = F.array(F.when(to_train, F.lit("train")), F.when(is_validation, F.lit("validation")))
-    return listing.withColumn("split", F.explode(sides)).filter(F.col("split").isNotNull())
+    return rows.withColumn("split", F.explode(sides)).filter(F.col("split").isNotNull())
