@@ -22,7 +22,7 @@ MAX_CHUNK_CHARS = 1_000_000
 def merge_word(word: bytes, ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Ids of one pre-token: always apply the earliest learned merge that is present."""
     ids = [ID_OF_BYTE[b] for b in word]
-    while len(ids) > 1:
+    while ranks and len(ids) > 1:
         best = min(
             (ranks[pair] for pair in zip(ids, ids[1:]) if pair in ranks), default=None
         )
@@ -41,47 +41,40 @@ def merge_word(word: bytes, ranks: dict[tuple[int, int], tuple[int, int]]) -> li
     return ids
 
 
-def _gather(parts: list, which: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenation of ``parts[i]`` for all ``i`` in ``which``, and where each of them ends."""
-    arrays = [np.frombuffer(p, dtype=dtype) for p in parts]
-    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
-    begins = np.cumsum(sizes) - sizes
-    lengths = sizes[which]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    if not ends[-1]:
-        return np.zeros(0, dtype=dtype), ends
-    take = np.repeat(begins[which] - ends[:-1], lengths) + np.arange(ends[-1])
-    return np.concatenate(arrays)[take], ends
-
-
-def _binary_array(data: bytes, offsets: np.ndarray, like: pa.Array) -> pa.Array:
-    """Binary rows cut from one buffer; null where ``like`` is null."""
-    if offsets[-1] > np.iinfo(np.int32).max:
-        raise ValueError("batch too large; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)]
+def _joined(parts: pa.Array, which: pa.Array, ends: np.ndarray, like: pa.Array) -> pa.Array:
+    """Binary rows: row ``i`` is ``parts[which[k]]`` for ``k`` from ``ends[i]`` to ``ends[i + 1]``,
+    joined. Null where ``like`` is null.
+
+    Arrow's ``take`` lays the parts out one after the other; a row is a longer cut of that buffer.
+    """
+    taken = parts.take(which)
+    cuts = np.frombuffer(taken.buffers()[1], dtype=np.int32, count=len(taken) + 1)[ends]
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(cuts)), taken.buffers()[2]]
     rows = pa.Array.from_buffers(pa.binary(), len(like), buffers)
     return pc.if_else(like.is_valid(), rows, pa.scalar(None, pa.binary()))
 
 
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
 def _piece_encoder(model: BpeModel, specials: bool):
     """Arrow function from pre-token lists to packed ids.
 
-    Each batch is dictionary-encoded, so Python sees every distinct word once; the ids of a whole
-    batch are then gathered with numpy.
+    Each batch is dictionary-encoded, so Python sees every distinct word once; the rows are then
+    put together by Arrow.
     """
     ranks: dict[tuple[int, int], tuple[int, int]] = {}
     for rank, (left, right, new, _) in enumerate(model.merges):
         ranks.setdefault((left, right), (rank, new))
     special_ids = {t: i for i, t in enumerate(SPECIAL_TOKENS)} if specials else {}
-    cache: dict[str, np.ndarray] = {}
+    cache: dict[str, bytes] = {}
 
-    def word_ids(word: str) -> np.ndarray:
+    def word_ids(word: str) -> bytes:
         found = cache.get(word)
         if found is None:
-            if word in special_ids:
-                found = np.array([special_ids[word]], dtype="<u2")
-            else:
-                found = np.array(merge_word(word.encode("utf-8"), ranks), dtype="<u2")
+            ids = [special_ids[word]] if word in special_ids else merge_word(word.encode(), ranks)
+            found = np.array(ids, dtype="<u2").tobytes()
             if len(cache) >= CACHE_WORDS:
                 cache.clear()
             cache[word] = found
@@ -90,12 +83,9 @@ def _piece_encoder(model: BpeModel, specials: bool):
     @arrow_udf(T.BinaryType())
     def encode(pieces: pa.Array) -> pa.Array:
         flat = pieces.flatten().dictionary_encode()
-        encoded = [word_ids(w) for w in flat.dictionary.to_pylist()]
-        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids, ends = _gather(encoded, which, "<u2")
+        words = pa.array([word_ids(w) for w in flat.dictionary.to_pylist()], pa.binary())
         counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
-        rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        return _binary_array(ids.astype("<u2").tobytes(), ends[rows] * 2, pieces)
+        return _joined(words, flat.indices, _ends(counts), pieces)
 
     return encode
 
@@ -152,10 +142,9 @@ def decode_tokens(packed: Column, model: BpeModel) -> Column:
     @arrow_udf(T.BinaryType())
     def decode(rows: pa.Array) -> pa.Array:
         packed_rows = [r or b"" for r in rows.to_pylist()]
-        ids = np.frombuffer(b"".join(packed_rows), dtype="<u2").astype(np.int64)
-        data, ends = _gather(table, ids, "u1")
-        tokens = np.concatenate([[0], np.cumsum([len(r) // 2 for r in packed_rows])])
-        return _binary_array(data.tobytes(), ends[tokens.astype(np.int64)], rows)
+        ids = pa.array(np.frombuffer(b"".join(packed_rows), dtype="<u2").astype(np.int32))
+        ends = _ends(np.array([len(r) // 2 for r in packed_rows]))
+        return _joined(pa.array(table, pa.binary()), ids, ends, rows)
 
     return decode(packed)
 
