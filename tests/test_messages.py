@@ -1,5 +1,7 @@
-from pyspark.sql import functions as F
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.functions import messages, quality
 
@@ -65,10 +67,11 @@ def test_assistant_spans_cut_out_content_and_end(spark):
 
 
 def health(text):
-    words = text.lower().split()
-    grams = [tuple(words[i : i + 3]) for i in range(max(0, len(words) - 2))]
-    share = (len(grams) - len(set(grams))) / max(1, len(grams))
-    return -(min(1.0, 5.0 * share) + (1.0 if len(words) < 2 else 0.0))
+    w = text.lower().split()
+    seen = Counter(zip(w, w[1:], w[2:]))
+    extra = sum(n - 1 for n in seen.values())
+    penalty = min(1.0, 5.0 * extra / sum(seen.values())) if seen else 0.0
+    return 0.0 - penalty - (len(w) < 2)
 
 
 def test_completion_health(spark):

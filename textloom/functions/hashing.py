@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,15 +39,12 @@ def hash_bucket(digest: Column, digits: int = 4) -> Column:
 
 @arrow_udf(T.DoubleType())
 def _blake_fraction(prefixes: pa.Array, lengths: pa.Array) -> pa.Array:
-    out = []
-    for text, length in zip(prefixes.to_pylist(), lengths.to_pylist()):
-        if text is None:
-            out.append(None)
-            continue
-        payload = text.encode("utf-8", errors="replace") + str(length).encode()
-        digest = hashlib.blake2b(payload, digest_size=8).digest()
-        out.append(int.from_bytes(digest, "little") / 2**64)
-    return pa.array(out, pa.float64())
+    digests = b"".join(
+        hashlib.blake2b(f"{text}{length}".encode(errors="replace"), digest_size=8).digest()
+        for text, length in zip(prefixes.to_pylist(), lengths.to_pylist())
+    )
+    fractions = np.frombuffer(digests, dtype="<u8").astype(np.float64) / 2.0**64
+    return pa.array(fractions, mask=prefixes.is_null().to_numpy(zero_copy_only=False))
 
 
 def unit_interval(text: Column, method: str = "md5") -> Column:

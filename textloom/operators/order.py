@@ -7,6 +7,7 @@ arithmetic over the block table, without a join between samples and blocks.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -29,10 +30,11 @@ def epoch_parameters(blocks: int, seed: int, epoch: int) -> tuple[int, int]:
     if blocks == 1:
         return 1, 0
     generator = random.Random(seed + epoch * EPOCH_STRIDE)
-    a = generator.randrange(1, blocks)
-    while math.gcd(a, blocks) != 1:
-        a = (a + 1) % blocks or 1
-    return a, generator.randrange(blocks)
+    drawn = generator.randrange(1, blocks)
+    # The first coprime from the drawn number on, going round to 1.
+    candidates = itertools.chain(range(drawn, blocks), range(1, drawn))
+    multiplier = next(c for c in candidates if math.gcd(c, blocks) == 1)
+    return multiplier, generator.randrange(blocks)
 
 
 def _affine(a: Column, x: Column, b: Column, blocks: int) -> Column:

@@ -66,7 +66,7 @@ def prepare_corpus(
 ) -> PreparedCorpus:
     """Filter, split, encode and write once; statistics are read off the written shards."""
     spark: SparkSession = docs.sparkSession
-    usable = spread(docs.select(shard, row, text)).filter(has_min_chars(text, min_chars))
+    usable = docs.select(shard, row, text).filter(has_min_chars(text, min_chars))
     split = hash_split(usable, text, fraction, method)
     encoded = encode_documents(split, text, model, chunk_chars=max_chunk_chars).drop(text)
     token_sink(encoded, path, "split", shard, row, shards_are_files=shards_are_files)

@@ -78,7 +78,7 @@ def scored_pairs(talks: DataFrame) -> DataFrame:
         F.try_element_at(answers, F.lit(1))["content"].alias("response_1"),
         F.try_element_at(answers, F.lit(2))["content"].alias("response_2"),
     )
-    return both.join(prompts.filter(F.col("prompt_id") < 40), "prompt_id").select(
+    return both.join(prompts, "prompt_id").select(
         "conv_id",
         "prompt",
         "response_1",

@@ -376,7 +376,7 @@ def _merge_rounds(merges: int) -> str:
 ORACLES["bpe_pair_counts"] = f"""
 WITH {WORDS}, {SPELLED} SELECT l AS left_id, r AS right_id, n FROM {_pairs('spelled0')}"""
 
-MERGES = 24
+MERGES = 64
 TRAINED = f"{WORDS}, {SPELLED}, {_merge_rounds(MERGES)}"
 ORACLES["bpe_train"] = f"WITH {TRAINED} " + " UNION ALL ".join(
     f"SELECT {i}::INT AS rank, l AS left_id, r AS right_id, {263 + i}::INT AS new_id, n AS pair_count FROM best{i}"
@@ -572,3 +572,8 @@ SELECT doc_id, sha256(text) AS sha256, substr(sha256(source || '/' || doc_id), 1
 ORACLES["stream_prepare"] = f"""
 SELECT {SPLIT} AS split, source, count(*) AS documents, sum(doc_id)::BIGINT AS id_sum
 FROM documents WHERE {USABLE} GROUP BY 1, 2"""
+ORACLES["stream_interval_rollup"] = """
+SELECT max(step) AS step, max(step) * 65536 AS tokens, count(*) AS steps, round(avg(value), 6) AS loss
+FROM (SELECT event_id + 1 AS step, value FROM events)
+GROUP BY CASE WHEN step = 1 THEN 0 ELSE (step + 9) // 10 END
+HAVING max(step) = 1 OR max(step) % 10 = 0"""

@@ -30,11 +30,12 @@ from textloom.session import materialize, scratch_path
 from textloom.sources import corpus, sinks
 from textloom.sources import preference as preference_source
 from textloom.streaming.prepare import prepared_stream, run_available
+from textloom.streaming.rollup import stream_interval_rollup as rolled_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-MERGES = 24
+MERGES = 64
 SEED = 42
 ORDER_SEED = 7
 
@@ -129,7 +130,7 @@ def preference_jsonl_scan(spark, sf):
 def token_sink(spark, sf):
     path = scratch_path(spark, "tokens")
     prepared = prepare.prepare_corpus(
-        documents(spark, sf), "source", "doc_id", "text", BpeModel(), path, FRACTION
+        frames.spread_documents(spark, sf), "source", "doc_id", "text", BpeModel(), path, FRACTION
     )
     return prepared.tokens.groupBy("split", "source").agg(
         F.count("*").alias("documents"),
@@ -737,3 +738,19 @@ def stream_prepare(spark, sf):
     return written.groupBy("split", "source").agg(
         F.count("*").alias("documents"), F.sum("doc_id").cast("bigint").alias("id_sum")
     )
+
+
+@query
+def stream_interval_rollup(spark, sf):
+    log = (
+        spark.readStream.schema("event_id long, value double")
+        .option("pathGlobFilter", "events*.parquet")
+        .parquet(sf)
+        .withColumn("step", F.col("event_id") + 1)
+    )
+    rolled = rolled_stream(log, "step", "value", 10, 65_536).withColumn(
+        "loss", F.round("loss", 6)
+    )
+    out, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
+    run_available(rolled, out, checkpoint, partition=None)
+    return spark.read.schema(rolled.schema).parquet(out)

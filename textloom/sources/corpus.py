@@ -21,9 +21,10 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread the rows when the scan has fewer splits than there are cores.
+    """Spread the rows of a scan that has fewer splits than there are cores.
 
-    A file with one row group is one split. A corpus of many files is left as it is.
+    A file with one row group is one split; a corpus of many files is left as it is. For frames
+    straight from a scan: counting the partitions of one with a shuffle would run that shuffle.
     """
     wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

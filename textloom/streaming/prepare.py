@@ -36,18 +36,19 @@ def prepared_stream(
     return encode_documents(usable, text, model) if model is not None else usable
 
 
-def run_available(stream: DataFrame, output: str, checkpoint: str, partition: str = "split") -> StreamingQuery:
+def run_available(
+    stream: DataFrame, output: str, checkpoint: str, partition: str | None = "split"
+) -> StreamingQuery:
     """Process everything that has arrived since the last run and stop.
 
     The checkpoint remembers the files, so a file is prepared once however often this runs.
     """
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", output)
         .option("checkpointLocation", checkpoint)
-        .partitionBy(partition)
         .trigger(availableNow=True)
-        .start()
     )
+    query = (writer.partitionBy(partition) if partition else writer).start()
     query.awaitTermination()
     return query
