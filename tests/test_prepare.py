@@ -117,8 +117,8 @@ def test_only_changed_files_are_prepared_again(spark, tmp_path):
         return len(prepare.prepare_changed(spark, root, model, out, 0.09))
 
     def bytes_kept():
-        total = prepare.current_manifest(spark, out).filter("level = 'all'").first().tokens
-        stored = prepare.current_tokens(spark, out).agg(F.sum(F.octet_length("tokens"))).first()[0]
+        total = prepare.current_manifest(spark, root, out).filter("level = 'all'").first().tokens
+        stored = prepare.current_tokens(spark, root, out).agg(F.sum(F.octet_length("tokens"))).first()[0]
         assert stored == 2 * total
         return total
 
@@ -129,7 +129,7 @@ def test_only_changed_files_are_prepared_again(spark, tmp_path):
     one.limit(50).coalesce(1).write.mode("overwrite").parquet(root + "/a")
     df.filter("row < 20").select("text").coalesce(1).write.parquet(root + "/c")
     assert run() == 2
-    shards = prepare.current_tokens(spark, out).select("shard").distinct().count()
+    shards = prepare.current_tokens(spark, root, out).select("shard").distinct().count()
     assert shards == 3 and bytes_kept() < whole + sum(len(t.encode()) + 2 for _, _, t in rows[:20])
     assert run(BpeModel([(7, 8, 263, 2)])) == 3
     assert run(BpeModel([(7, 8, 263, 2)])) == 0

@@ -203,13 +203,18 @@ def prepare_changed(
     return paths
 
 
-def current_tokens(spark: SparkSession, output: str) -> DataFrame:
-    """The stored tokens of the last build of every file."""
-    last = _latest(spark.read.parquet(f"{output}/metadata"))
-    tokens = spark.read.parquet(f"{output}/tokens")
-    return tokens.join(last.select(F.col("source").alias("shard"), "run"), ["shard", "run"], "left_semi")
+def _current(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """The last build of every file that is still below ``root``."""
+    present = file_listing(spark, root).select(F.col("shard").alias("source"))
+    return _latest(spark.read.parquet(f"{output}/metadata")).join(present, "source", "left_semi")
 
 
-def current_manifest(spark: SparkSession, output: str) -> DataFrame:
-    """:func:`split_manifest` of the last builds."""
-    return split_manifest(_latest(spark.read.parquet(f"{output}/metadata")), "source")
+def current_tokens(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """The stored tokens of the current builds."""
+    builds = _current(spark, root, output).select(F.col("source").alias("shard"), "run")
+    return spark.read.parquet(f"{output}/tokens").join(builds, ["shard", "run"], "left_semi")
+
+
+def current_manifest(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """:func:`split_manifest` of the current builds."""
+    return split_manifest(_current(spark, root, output), "source")
