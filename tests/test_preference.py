@@ -178,3 +178,14 @@ def test_conversation_files_are_routed_by_name(spark, tmp_path):
         (tmp_path / "raw" / f"{name}.parquet").write_bytes(part.read_bytes())
     rows = posttrain.load_conversations(spark, str(tmp_path / "raw"))
     assert dict(rows.groupBy("split").count().collect()) == {"train": 5, "validation": 3}
+
+
+def test_stored_columns_are_required(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="messages"):
+        posttrain.load_conversations(spark, str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="chosen"):
+        posttrain.load_pairs(spark, str(tmp_path / "p"))
+    (tmp_path / "preference.jsonl").write_text('{"prompt": "x"}')
+    with pytest.raises(ValueError, match="preference_strength"):
+        posttrain.load_scored(spark, str(tmp_path))

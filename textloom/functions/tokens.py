@@ -40,6 +40,34 @@ def pack_ids(ids: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+@arrow_udf(T.ArrayType(T.IntegerType()))
+def distinct_ids(packed: pa.Array) -> pa.Array:
+    """The different ids of a packed sequence."""
+    return pa.array(
+        [
+            None if row is None else np.unique(np.frombuffer(row, dtype="<u2")).astype(np.int32)
+            for row in packed.to_pylist()
+        ],
+        pa.list_(pa.int32()),
+    )
+
+
+def count_id(packed: Column, token_id: int) -> Column:
+    """How often an id occurs in a packed sequence."""
+
+    @arrow_udf(T.LongType())
+    def count(rows: pa.Array) -> pa.Array:
+        return pa.array(
+            [
+                None if row is None else int((np.frombuffer(row, dtype="<u2") == token_id).sum())
+                for row in rows.to_pylist()
+            ],
+            pa.int64(),
+        )
+
+    return count(packed)
+
+
 def token_count(packed: Column) -> Column:
     return F.floor(F.octet_length(packed) / TOKEN_BYTES)
 

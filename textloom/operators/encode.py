@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from textloom.functions.text import SPECIAL_TOKENS, nfc, nfc_chunks, pretokens
-from textloom.functions.tokens import unpack_ids
+from textloom.functions.tokens import count_id
 from textloom.functions.vocabulary import BOS_ID, EOS_ID, ID_OF_BYTE, UNKNOWN_ID, BpeModel
 
 # Words remembered by one task; the memory is emptied when it is full.
@@ -151,9 +151,8 @@ def decode_tokens(packed: Column, model: BpeModel) -> Column:
 
 def roundtrip(df: DataFrame, text: str, packed: str, model: BpeModel) -> DataFrame:
     """Adds ``unknown_tokens`` and ``roundtrip_ok``: decoded ids against the normalized text."""
-    unknown = F.size(F.filter(unpack_ids(F.col(packed)), lambda i: i == UNKNOWN_ID))
     decoded = F.decode(decode_tokens(F.col(packed), model), "UTF-8")
-    return df.withColumn("unknown_tokens", unknown.cast("bigint")).withColumn(
+    return df.withColumn("unknown_tokens", count_id(F.col(packed), UNKNOWN_ID)).withColumn(
         "roundtrip_ok", decoded == nfc(text)
     )
 

@@ -96,7 +96,8 @@ def first_in_group(
 ) -> DataFrame:
     """The first ``quota`` rows of every group, ranked from 0.
 
-    ``quota`` is a number, a scalar column, or a frame ``group + quota``. ``counts`` is the result
+    ``quota`` is a number, a scalar column, or a frame ``group + quota``, whose further columns the
+    rows take with them. ``counts`` is the result
     of :func:`bucket_counts`, for callers that need it themselves. So the rows are read twice: once
     to be counted, once to be picked. The second time, buckets that lie wholly past the quota are
     dropped before any row is moved or sorted.
@@ -106,7 +107,7 @@ def first_in_group(
         counts = bucket_counts(df, group, bucket)
     bases = bucket_bases(counts, group, "_bucket", F.col("_rows"), fan_out)
     if isinstance(quota, DataFrame):
-        bases = bases.join(quota.select(*group, F.col("quota").alias("_quota")), group)
+        bases = bases.join(quota.withColumnRenamed("quota", "_quota"), group)
     else:
         bases = bases.withColumn("_quota", quota if isinstance(quota, Column) else F.lit(quota))
     wanted = bases.filter(F.col("bucket_base") < F.col("_quota")).drop("bucket_total")

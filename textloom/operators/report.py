@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import text_stats
-from textloom.functions.tokens import unpack_ids
+from textloom.functions.tokens import distinct_ids
 from textloom.operators.ranking import bucket_bases
 from textloom.session import materialize
 
@@ -149,7 +149,7 @@ def vocab_coverage(df: DataFrame, domain: str, packed: str, vocab_size: int) ->
     Each document gives its distinct ids once, and the map-side aggregation leaves at most
     ``vocab_size`` rows per domain and task.
     """
-    seen = df.select(domain, F.explode(F.array_distinct(unpack_ids(F.col(packed)))).alias("id"))
+    seen = df.select(domain, F.explode(distinct_ids(F.col(packed))).alias("id"))
     distinct = seen.groupBy(domain, "id").agg(F.lit(1).alias("one"))
     return distinct.groupBy(domain).agg(F.count("*").alias("observed_ids")).withColumn(
         "observed_percent", F.col("observed_ids") * 100 / vocab_size

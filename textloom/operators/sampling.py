@@ -109,10 +109,9 @@ def per_shard_quota(
     picked = first_in_group(
         usable, [shard], [row], row_bucket(F.col(row)), limits, rank="_rank", counts=counts
     )
-    plan = picked.join(limits.drop("quota"), shard)
     copies = F.col("_full") + (F.col("_rank") < F.col("_last")).cast("bigint")
     return (
-        plan.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
+        picked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
         .drop("_full", "_last", "_rank")
     )
 

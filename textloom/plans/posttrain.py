@@ -16,8 +16,14 @@ from textloom.operators.preference import (
 )
 from textloom.operators.split import exact_split, source_split
 from textloom.session import materialize
-from textloom.sources.corpus import file_listing, names_validation, read_files, split_by_filename
-from textloom.sources.preference import preference_file, preference_scan
+from textloom.sources.corpus import (
+    file_listing,
+    names_validation,
+    read_files,
+    require_stored,
+    split_by_filename,
+)
+from textloom.sources.preference import preference_file, preference_scan, require_fields
 from textloom.sources.sinks import normalized_sink
 
 
@@ -88,6 +94,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def load_conversations(spark: SparkSession, root: str) -> DataFrame:
     """Conversation files routed by their names; without validation files there is no ``split``
     column yet, and the exact split makes it."""
+    require_stored(spark, root, ["messages"])
     rows = read_files(spark, [root], {"messages": MESSAGES_TYPE})
     listing = file_listing(spark, root)
     if listing.filter(names_validation(F.col("path"))).limit(1).collect():
@@ -97,6 +104,8 @@ def load_conversations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Files with a chosen and a rejected conversation."""
+    require_stored(spark, root, ["chosen", "rejected"])
     return _keyed(
         read_files(spark, [root], {"chosen": MESSAGES_TYPE, "rejected": MESSAGES_TYPE})
     )
@@ -104,7 +113,9 @@ def load_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 def load_scored(spark: SparkSession, root: str) -> DataFrame:
     """Scored JSON lines; the content is the key, with a number for equal rows."""
-    rows = preference_scan(spark, preference_file(spark, root))
+    path = preference_file(spark, root)
+    require_fields(spark, path, ["prompt", "preference_strength"])
+    rows = preference_scan(spark, path)
     content = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
     return rows.withColumn(KEY, F.concat_ws(":", content, F.monotonically_increasing_id()))
 

@@ -265,7 +265,7 @@ ORACLES["normalized_sink"] = (
 
 ORACLES["min_chars_filter"] = f"SELECT doc_id, source FROM documents WHERE {USABLE}"
 ORACLES["char_cap"] = """
-SELECT doc_id, length(substr(text, 1, 1000))::BIGINT AS chars, md5(substr(text, 1, 1000)) AS digest
+SELECT doc_id, length(substr(text, 1, 16384))::BIGINT AS chars, md5(substr(text, 1, 16384)) AS digest
 FROM documents"""
 ORACLES["hash_split"] = f"SELECT doc_id, {SPLIT} AS split FROM documents"
 ORACLES["chunk_documents"] = """

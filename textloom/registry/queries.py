@@ -172,7 +172,7 @@ def min_chars_filter(spark, sf):
 
 @query
 def char_cap(spark, sf):
-    capped = text.cap_chars("text", 1000)
+    capped = text.cap_chars("text", 16_384)
     return documents(spark, sf).select(
         "doc_id", F.length(capped).cast("bigint").alias("chars"), F.md5(capped).alias("digest")
     )

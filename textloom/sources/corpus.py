@@ -20,6 +20,16 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"missing columns {missing}")
 
 
+def require_stored(spark: SparkSession, root: str, names: list[str]) -> None:
+    """:func:`require_columns` for Parquet files: their schema as Spark infers it, from a footer."""
+    stored = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(root)
+    )
+    require_columns(stored, names)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread the rows of a scan that has fewer splits than there are cores.
 

@@ -44,6 +44,15 @@ def preference_file(spark: SparkSession, root: str) -> str:
     return found.path
 
 
+def require_fields(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Raise when the first record lacks a field. The scan itself has a fixed schema, in which an
+    absent field would only show as null."""
+    first = spark.read.text(path).select(F.json_object_keys("value").alias("keys")).first()
+    missing = sorted(set(names) - set((first and first.keys) or []))
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+
+
 def preference_scan(
     spark: SparkSession, path: str, partitions: int | None = None, schema: str = PREFERENCE_SCHEMA
 ) -> DataFrame:
