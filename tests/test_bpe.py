@@ -177,11 +177,28 @@ def test_min_frequency_and_size_limits(spark):
             bpe.train_bpe(counts_frame(spark, {"ab": 1}), size)
 
 
-def test_train_tokenizer_plan(spark, corpus):
+def test_train_tokenizer_plan(spark, corpus, tmp_path):
     docs, _ = corpus
-    model, report = tokenizer.train_tokenizer(docs, "source", "doc_id", "text", 300, 60)
-    assert model.vocab_size() == 300
-    assert report.count() == 3 and report.filter("unknown_tokens > 0").count() == 0
+    trained = tokenizer.train_tokenizer(docs, "source", "doc_id", "text", 300, 60)
+    assert trained.model.vocab_size() == 300
+    assert trained.probes.count() == 3
+    assert trained.probes.filter("unknown_tokens > 0").count() == 0
+    used = trained.metadata.first()
+    assert (used.training_documents, used.input_shards, used.vocab_size) == (60, 20, 300)
+    path = str(tmp_path / "tokenizer")
+    tokenizer.store_tokenizer(trained, path)
+    assert tokenizer.load_tokenizer(spark, path).merges == trained.model.merges
+    spark.createDataFrame([("x",)], "tokenizer_sha256 string").write.mode("overwrite").parquet(
+        path + "/metadata"
+    )
+    with pytest.raises(ValueError, match="mismatch"):
+        tokenizer.load_tokenizer(spark, path)
+
+
+def test_no_usable_text(spark):
+    df = spark.createDataFrame([("s", 0, "short")], "s string, r long, t string")
+    with pytest.raises(RuntimeError, match="no usable"):
+        tokenizer.train_tokenizer(df, "s", "r", "t", 300, 60)
 
 
 def test_compare_tokenizers_plan(spark, corpus, trained):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ PROBES = (
 )
 
 
+@dataclass
+class TrainedTokenizer:
+    """A model, its probe report, and one row about its training."""
+
+    model: BpeModel
+    probes: DataFrame
+    metadata: DataFrame
+
+
 def train_tokenizer(
     docs: DataFrame,
     shard: str,
@@ -31,21 +42,47 @@ def train_tokenizer(
     max_chars: int = 100_000,
     seed: int = 42,
     min_frequency: int = 2,
-) -> tuple[BpeModel, DataFrame]:
-    """Sample per shard, count words once, learn merges, and check the probes.
-
-    Returns the model and the probe report.
-    """
+) -> TrainedTokenizer:
+    """Sample per shard, count words once, learn merges, and check the probes."""
+    spark = docs.sparkSession
     sample = per_shard_quota(docs, shard, row, text, max_documents, seed)
-    counts = materialize(
-        pretoken_counts(sample.select(cap_chars(text, max_chars).alias(text)), text), "counts"
-    )
-    if not counts.limit(1).collect():
+    sample = materialize(sample.select(shard, cap_chars(text, max_chars).alias(text)), "sample")
+    used = sample.agg(
+        F.count("*").alias("documents"), F.count_distinct(shard).alias("shards")
+    ).first()
+    if not used.documents:
         raise RuntimeError("no usable text rows were found")
+    counts = materialize(pretoken_counts(sample, text), "counts")
     model = train_bpe(counts, vocab_size, min_frequency)
-    report = probe_report(docs.sparkSession, model)
-    require_roundtrip(report)
-    return model, report.drop("roundtrip_ok")
+    probes = probe_report(spark, model)
+    require_roundtrip(probes)
+    metadata = spark.createDataFrame(
+        [(model.sha256(), model.vocab_size(), used.documents, used.shards, seed)],
+        "tokenizer_sha256 string, vocab_size int, training_documents long, input_shards long, seed int",
+    )
+    return TrainedTokenizer(model, probes.drop("roundtrip_ok"), metadata)
+
+
+def store_tokenizer(trained: TrainedTokenizer, path: str) -> None:
+    """Merges, vocabulary, probes and metadata as four small tables."""
+    spark = trained.metadata.sparkSession
+    tables = {
+        "merges": trained.model.merges_frame(spark),
+        "vocab": trained.model.vocab_frame(spark),
+        "probes": trained.probes,
+        "metadata": trained.metadata,
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_tokenizer(spark: SparkSession, path: str) -> BpeModel:
+    """The stored model; raises when it is not the one that was stored."""
+    model = BpeModel.from_frame(spark.read.parquet(f"{path}/merges"))
+    expected = spark.read.parquet(f"{path}/metadata").first().tokenizer_sha256
+    if model.sha256() != expected:
+        raise ValueError("tokenizer SHA-256 mismatch")
+    return model
 
 
 def probe_report(spark: SparkSession, model: BpeModel) -> DataFrame:
