@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.tokens import unpack_ids
@@ -124,6 +125,10 @@ def test_only_changed_files_are_prepared_again(spark, tmp_path):
 
     whole = sum(len(t.encode()) + 2 for _, _, t in rows if len(t) >= 64)
     assert run() == 2 and bytes_kept() == whole
+    audit = prepare.audit_current(spark, root, out, BpeModel().sha256()).collect()
+    assert {(r.manifest, r.passed) for r in audit} == {("train", True), ("validation", True)}
+    wrong = prepare.audit_current(spark, root, out, "other").collect()
+    assert {r.reason for r in wrong} == {"tokenizer"}
     assert run() == 0 and bytes_kept() == whole
     # A changed file and a new one; then another tokenizer.
     one.limit(50).coalesce(1).write.mode("overwrite").parquet(root + "/a")
@@ -133,3 +138,6 @@ def test_only_changed_files_are_prepared_again(spark, tmp_path):
     assert shards == 3 and bytes_kept() < whole + sum(len(t.encode()) + 2 for _, _, t in rows[:20])
     assert run(BpeModel([(7, 8, 263, 2)])) == 3
     assert run(BpeModel([(7, 8, 263, 2)])) == 0
+    spark.range(3).write.parquet(root + "/no text")
+    with pytest.raises(ValueError, match="no text column"):
+        run()

@@ -16,14 +16,17 @@ from textloom.functions.tokens import TOKEN_BYTES, token_count
 from textloom.functions.vocabulary import BpeModel
 from textloom.operators.encode import MAX_CHUNK_CHARS, encode_documents
 from textloom.operators.manifest import (
+    BYTE_ORDER,
+    DTYPE,
     FINGERPRINT,
     fingerprints,
+    manifest_audit,
     pending_shards,
     shard_build_stats,
     split_manifest,
 )
 from textloom.operators.split import hash_split
-from textloom.sources.corpus import file_listing, read_files, spread
+from textloom.sources.corpus import file_listing, read_files, require_text, spread
 from textloom.sources.sinks import token_sink
 
 
@@ -138,7 +141,8 @@ def prepare_changed(
 
     A file is left alone while its fingerprint is the same and its stored tokens add up. Tokens and
     metadata are only appended, under the id of the run; the metadata row comes last and is what
-    makes tokens count, so a run that breaks off leaves nothing behind that is read.
+    makes tokens count, so a run that breaks off leaves nothing behind that is read. A file without
+    a ``text`` column is an error.
     """
     listing = file_listing(spark, root)
     prints = fingerprints(
@@ -159,6 +163,8 @@ def prepare_changed(
     if not paths:
         return []
 
+    require_text(changed)
+
     run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     docs = read_files(spark, paths)
     usable = spread(docs).filter(has_min_chars("text", min_chars))
@@ -218,3 +224,29 @@ def current_tokens(spark: SparkSession, root: str, output: str) -> DataFrame:
 def current_manifest(spark: SparkSession, root: str, output: str) -> DataFrame:
     """:func:`split_manifest` of the current builds."""
     return split_manifest(_current(spark, root, output), "source")
+
+
+def audit_current(spark: SparkSession, root: str, output: str, tokenizer_sha256: str) -> DataFrame:
+    """:func:`manifest_audit` of both splits, against the bytes that are stored."""
+    builds = _current(spark, root, output)
+    shards = builds.select(
+        "tokenizer_sha256",
+        F.expr(
+            "stack(2, 'train', train_path, train_tokens, "
+            "'validation', validation_path, validation_tokens) as (manifest, path, tokens)"
+        ),
+    ).filter(F.col("tokens") > 0)
+    manifests = shards.groupBy("manifest").agg(
+        F.lit(DTYPE).alias("dtype"),
+        F.lit(BYTE_ORDER).alias("byte_order"),
+        # Null, and so a mismatch, when the shards come from different tokenizers.
+        F.when(
+            F.min("tokenizer_sha256") == F.max("tokenizer_sha256"), F.min("tokenizer_sha256")
+        ).alias("tokenizer_sha256"),
+        F.sum("tokens").cast("bigint").alias("total_tokens"),
+    )
+    stored = spark.read.parquet(f"{output}/tokens").groupBy(
+        F.concat_ws("/", "run", "split", "shard").alias("path")
+    )
+    files = stored.agg(F.sum(F.octet_length("tokens")).cast("bigint").alias("bytes"))
+    return manifest_audit(manifests, shards.drop("tokenizer_sha256"), files, tokenizer_sha256)

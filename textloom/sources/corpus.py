@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -65,6 +67,13 @@ def listing_manifest(listing: DataFrame) -> DataFrame:
     return listing.select("path", "bytes", total.alias("compressed_bytes"))
 
 
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    local = re.sub("^file:/+", "/", path)
+    if local.startswith("/"):
+        return pafs.LocalFileSystem(), local
+    return pafs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", path), safe=":/"))
+
+
 def file_columns(listing: DataFrame) -> DataFrame:
     """``path, columns`` from the Parquet footers, read by the tasks, one file at a time."""
 
@@ -72,10 +81,7 @@ def file_columns(listing: DataFrame) -> DataFrame:
         for batch in batches:
             paths, names = batch.column("path").to_pylist(), []
             for path in paths:
-                location = path.replace("file:///", "/").replace("file:/", "/")
-                filesystem, inner = pafs.FileSystem.from_uri(
-                    location if "://" in location else "file://" + location
-                )
+                filesystem, inner = _file_system(path)
                 names.append(pq.read_schema(inner, filesystem=filesystem).names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(paths, pa.string()), pa.array(names, pa.list_(pa.string()))],
@@ -85,6 +91,14 @@ def file_columns(listing: DataFrame) -> DataFrame:
     return listing.select("path").mapInArrow(footers, "path string, columns array<string>")
 
 
+def require_text(listing: DataFrame) -> None:
+    """Raise when a Parquet file has no ``text`` column; names a few of them."""
+    lacking = file_columns(listing).filter(~F.array_contains("columns", "text"))
+    bad = [r.path for r in lacking.limit(5).collect()]
+    if bad:
+        raise ValueError(f"no text column in {bad}")
+
+
 def corpus_scan(
     spark: SparkSession,
     root: str,
@@ -102,10 +116,7 @@ def corpus_scan(
     if not listing.limit(1).collect():
         raise FileNotFoundError(f"no files match {pattern} below {root}")
     if on_missing == "error":
-        lacking = file_columns(listing).filter(~F.array_contains("columns", "text"))
-        bad = [r.path for r in lacking.limit(5).collect()]
-        if bad:
-            raise ValueError(f"no text column in {bad}")
+        require_text(listing)
     elif on_missing not in (None, "skip"):
         raise ValueError(f"unknown policy {on_missing!r}")
     frame = read_files(spark, [root], columns, pattern)
