@@ -24,12 +24,14 @@ def token_sink(
     """Parquet data set partitioned by split and shard; the commit protocol publishes it whole.
 
     Rows meet by ``(split, shard, block of rows)``: few files per shard, and none of the writers
-    holds a whole hot shard. Where a shard is an input file, a task has the rows of few shards as it
+    holds a whole hot shard. As a rebalance, adaptive execution also splits what is still too large
+    for a file and joins what is too small. Where a shard is an input file, a task has the rows of few shards as it
     is, and ``shards_are_files`` writes without a shuffle.
     """
     rows = tokens.select(split, shard, row, token_count(F.col(packed)).alias("n_tokens"), packed)
     if not shards_are_files:
-        rows = rows.repartition(split, shard, whole_div(F.col(row), ROWS_PER_TASK))
+        rows = rows.withColumn("_block", whole_div(F.col(row), ROWS_PER_TASK))
+        rows = rows.hint("rebalance", split, shard, "_block").drop("_block")
         rows = rows.sortWithinPartitions(split, shard, row)
     rows.write.mode("overwrite").partitionBy(split, shard).parquet(path)
 
