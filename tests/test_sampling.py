@@ -91,3 +91,23 @@ def test_tail_sample_quotas_and_shortage(spark):
     }
     with pytest.raises(RuntimeError, match="quotas not met"):
         sampling.require_full_quotas(short)
+
+
+@pytest.mark.parametrize("rows,extra", [(64, 0), (64, 1), (0, 0)])
+def test_tail_sample_is_the_same_from_near_rows(spark, monkeypatch, rows, extra):
+    monkeypatch.setattr(sampling, "HEAD_ROWS", rows)
+    data = [
+        (f"f{k}", r, LONG + str(r) if r % 3 else "short", "dclm_edu" if r % 2 else "stack_edu")
+        for k in range(3)
+        for r in range(1500)
+    ] + [("tiny", r, LONG, "stack_edu") for r in range(20 * extra)]
+    df = spark.createDataFrame(data, "shard string, row long, text string, source string")
+    shards = 3 + extra
+    sample = sampling.tail_sample(df, "shard", "row", "text", "source", 9 * shards, 100, 5, fraction=1e-9)
+    order = lambda d: hashlib.md5(f"5:{d[0]}:{d[1]}".encode()).hexdigest()
+    want = set()
+    for shard in {d[0] for d in data}:
+        for source in ("dclm_edu", "stack_edu"):
+            fit = [d for d in data if d[0] == shard and d[3] == source and d[1] >= 100 and len(d[2]) > 9]
+            want |= {d[:2] for d in sorted(fit, key=order)[:9]}
+    assert {(r.shard, r.row) for r in sample.collect()} == want

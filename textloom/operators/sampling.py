@@ -158,26 +158,38 @@ def tail_sample(
     method: str = "md5",
     domains: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
-    """Held-out sample: per shard and domain an equal quota of random usable tail rows."""
-    quotas = tail_quotas(df, shard, target)
-    candidates = (
+    """Held-out sample: per shard and domain an equal quota of random usable tail rows.
+
+    Rows are taken in the order of a seeded digest. The texts are scanned once: rows with a small
+    digest, about twice the quota of each group, are set aside and nearly always suffice; only if
+    some group does not get its quota from them are all rows considered.
+    """
+    group = [shard, "domain"]
+    quotas = tail_quotas(df, shard, target).withColumn(
+        "domain", F.explode(F.array(*[F.lit(d) for d in (domains or DOMAINS)]))
+    )
+    tail = (
         df.withColumn("domain", domain(F.col(source), domains))
         .filter(F.col("domain").isNotNull() & (F.col(row) >= tail_start))
-        .filter(has_min_chars(text))
-        .filter(~is_validation(F.col(text), fraction, method))
         .withColumn("_h", seeded_hash(seed, F.col(shard), F.col(row)))
     )
-    per_domain = quotas.withColumn(
-        "domain", F.explode(F.array(*[F.lit(d) for d in (domains or DOMAINS)]))
-    )
-    picked = first_in_group(
-        candidates,
-        [shard, "domain"],
-        ["_h", row],
-        hash_bucket(F.col("_h")),
-        per_domain,
-        fan_out=256,
-    )
+    bucket = hash_bucket(F.col("_h"))
+    fits = has_min_chars(text) & ~is_validation(F.col(text), fraction, method)
+
+    # One row per group, from narrow columns; then a single number.
+    sizes = tail.groupBy(*group).agg(F.count("*").alias("_rows"))
+    share = (HEAD_FACTOR * F.col("quota") + HEAD_ROWS) / F.col("_rows")
+    reach = quotas.join(sizes, group).agg(F.max(share).alias("s")).first()["s"]
+    candidates = tail.filter(fits)
+    if reach is not None and reach < 0.5:
+        near = materialize(tail.filter(bucket < math.ceil(reach * 65_536)).filter(fits), "near")
+        found = near.groupBy(*group).agg(F.count("*").alias("_n"))
+        short = quotas.join(found, group, "left").filter(
+            F.coalesce("_n", F.lit(0)) < F.col("quota")
+        )
+        if not short.limit(1).collect():
+            candidates = near
+    picked = first_in_group(candidates, group, ["_h", row], bucket, quotas, fan_out=256)
     return picked.drop("_h").withColumn(text, nfc(cap_chars(text, max_chars)))
 
 
