@@ -81,9 +81,7 @@ def assistant_spans(messages: Column) -> Column:
     token, without the role header and the final line break.
     """
     header = lambda m: F.length(m["role"]) + len("<||>\n")
-    empty = F.expr(
-        "cast(array() as array<struct<start:int,end:int>>)"
-    )
+    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     start = F.struct(F.lit(len(BOS)).alias("pos"), empty.alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
