@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "textloom", cpus: int = 8, memory: str = "16g") -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
+def build_session(
+    app: str = "textloom", cpus: int = 8, memory: str = "16g", shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster brings its own.
+
+    ``shared`` is the folder for intermediate tables; a new temporary one by default.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -23,22 +29,27 @@ def build_session(app: str = "textloom", cpus: int = 8, memory: str = "16g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINT_KEY, shared or tempfile.mkdtemp(prefix="textloom-"))
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session may do without that setting: there the driver and the tasks share one
+    machine, and a temporary folder will do. Anywhere else executors would write to their own disks,
+    so a missing setting is an error.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY, None)
+    configured = configured or context.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
 
 
