@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import op7_jaccard_join
+from textloom.llm import op5_toxicity, op7_jaccard_join, op9_bpe
 from textloom.llm.common import table
+from textloom.llm.stages import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op5_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return op5_toxicity.toxicity(docs, labels)
+
+
 def op7_jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+QUERIES["op5_toxicity"] = op5_toxicity_query
 QUERIES["op7_jaccard_join"] = op7_jaccard_join_query
+QUERIES["op9_bpe"] = op9_bpe_query

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import op7_jaccard_join
+from textloom.llm import op5_toxicity, op7_jaccard_join, op9_bpe
+from textloom.llm.common import table
 from textloom.session import materialize
 
 
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary; TEXTLOOM_TOKENIZERS names another folder."""
+    folder = os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, "byte_bpe_50k.json")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that score below 0.5; the network learns from the labels of these documents."""
+    model = op5_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return op5_toxicity.scored(docs, model).filter("_score < 0.5").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,4 +41,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Token counts and digests in place of the text."""
+    return op9_bpe.bpe_digests(docs, vocabulary_path())
