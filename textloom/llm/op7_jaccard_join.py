@@ -13,8 +13,9 @@ every document is thereby cut into segments, one for each fragment it touches.
    of a pair is counted in each fragment separately and summed. Linked documents merge into
    components; a list whose members are all in one component is done.
 4. In the lists that are still mixed, members outside the list's largest component are compared with
-   all members, in blocks of bounded size, and give one link for each component they touch. So no
-   link between different components is missed, and no group is paired out.
+   all members: in lists of up to ``SHORT_LIST`` as pairs, in longer ones in blocks of bounded size,
+   which give one link for each component they touch. So no link between different components is
+   missed, and no group is paired out.
 
 Documents with equal sets are one node throughout. Results: documents without words (null and empty
 texts too) have size 0 and stay alone; a null id is allowed and never names a component; repeated
@@ -37,8 +38,10 @@ from textloom.session import materialize
 
 TEXT_BYTES = 4 << 20
 DOCS_PER_FRAGMENT = 4096
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 2_000_000
 BLOCK = 256
+SHORT_LIST = 64
+BITMAP_WORDS = 8
 VERIFY_FRAGMENTS = 8
 TOKEN_BITS = 48
 
@@ -80,14 +83,19 @@ def shingle_sets(texts: list[str | None], width: int, words: WordHashes) -> list
 
 
 def _pack(tokens: np.ndarray) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The first token in eight bytes, then the steps between neighbours: in four bytes each where
+    they fit, which they do in a full batch of sorted tokens; otherwise all in eight bytes."""
+    steps = np.diff(tokens)
+    if len(steps) and steps.max() < 1 << 32 and (tokens[1:] >= tokens[:-1]).all():
+        return b"d" + tokens[:1].astype("<u8").tobytes() + steps.astype("<u4").tobytes()
+    return b"r" + tokens.astype("<u8").tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    six = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(six), 8), dtype=np.uint8)
-    wide[:, :6] = six
-    return wide.view("<u8").ravel()
+    if packed[:1] == b"r":
+        return np.frombuffer(packed, dtype="<u8", offset=1)
+    steps = np.frombuffer(packed, dtype="<u4", offset=9).astype(np.uint64)
+    return np.cumsum(np.r_[np.frombuffer(packed, dtype="<u8", offset=1, count=1), steps])
 
 
 def _fragment_of(tokens: np.ndarray, fragments: int) -> np.ndarray:
@@ -347,6 +355,32 @@ def _candidates(segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return materialize(kept.filter(F.col("c") * 100 >= F.col("n") * percent), "candidates")
 
 
+def _bitmaps(kept: DataFrame) -> DataFrame:
+    """``key, n, c, bits``: parities of the shared tokens in a bitmap of fixed size."""
+    tokens = kept.select("key", "n", "c", F.explode("toks").alias("tok"))
+    bit = F.expr(f"shiftleft(1L, CAST(shiftright(tok, {BITMAP_WORDS.bit_length() - 1}) & 63 AS INT))")
+    mine = F.col("tok").bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    words = [F.bit_xor(F.when(mine == w, bit)).alias(f"w{w}") for w in range(BITMAP_WORDS)]
+    filled = [F.coalesce(f"w{w}", F.lit(0).cast("bigint")) for w in range(BITMAP_WORDS)]
+    bits = tokens.groupBy("key", "n", "c").agg(*words)
+    return materialize(bits.select("key", "n", "c", F.array(*filled).alias("bits")), "bitmaps")
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can reach the threshold as far as bitmaps tell: where two bitmaps differ in ``d``
+    places the sets differ in ``d`` tokens at least, which bounds their overlap from above."""
+    for side in ("a", "b"):
+        named = [F.col(x).alias(f"{x}_{side}") for x in ("n", "c", "bits")]
+        pairs = pairs.join(bitmaps.select(F.col("key").alias(side), *named), side)
+    differ = F.aggregate(
+        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda held, x: held + x,
+    )
+    most = (F.col("c_a") + F.col("c_b") - differ) * (100 + percent)
+    return pairs.filter(most >= (F.col("n_a") + F.col("n_b")) * 2 * percent).select("a", "b")
+
+
 def _verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that reach the threshold: overlaps by fragment, then summed."""
     span = 1 << (TOKEN_BITS - VERIFY_FRAGMENTS.bit_length() + 1)
@@ -383,6 +417,7 @@ def _links(kept: DataFrame, percent: int, rounds: int) -> DataFrame | None:
         "key", "n", "centre", F.explode(F.slice("toks", F.lit(1), first.cast("int"))).alias("tok")
     )
     prefix = materialize(prefix, "prefix")
+    bitmaps = _bitmaps(kept)
     links = found = None
     for turn in range(rounds):
         postings = _with_components(prefix, found)
@@ -401,14 +436,18 @@ def _links(kept: DataFrame, percent: int, rounds: int) -> DataFrame | None:
         pairs = paired.select(
             F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")
         ).distinct()
+        pairs = _possible(pairs, bitmaps, percent)
         new = materialize(_verified(pairs, kept, percent), "links")
         links = new if links is None else links.union(new)
         found = components(links)
-    return links.union(_mixed(prefix, kept, found, percent))
+    return links.union(_mixed(prefix, kept, bitmaps, found, percent))
 
 
-def _mixed(prefix: DataFrame, kept: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links across components in lists that are still mixed, in blocks."""
+def _mixed(
+    prefix: DataFrame, kept: DataFrame, bitmaps: DataFrame, found: DataFrame, percent: int
+) -> DataFrame:
+    """Links across components in lists that are still mixed: those of bounded length pair by pair
+    (which finds a pair once, however many lists it is in), longer ones in blocks."""
     postings = _with_components(prefix, found)
     sizes = postings.groupBy("tok", "comp").agg(F.count("*").alias("members"))
     lists = sizes.groupBy("tok").agg(
@@ -418,10 +457,24 @@ def _mixed(prefix: DataFrame, kept: DataFrame, found: DataFrame, percent: int) -
     )
     lists = lists.filter("comps > 1 AND all > 2").select(
         "tok",
+        "all",
         F.col("main.comp").alias("main"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("all") - F.col("main.members")) / BLOCK).cast("int").alias("lots"),
     )
+    short = postings.join(
+        lists.filter(F.col("all") <= SHORT_LIST).select("tok", "main"), "tok"
+    ).select("tok", "key", "n", "comp", "main")
+    other = short.select("tok", *[F.col(x).alias(f"other_{x}") for x in ("key", "n", "comp")])
+    fits = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+    pairs = short.filter(F.col("comp") != F.col("main")).join(other, "tok").filter(
+        (F.col("comp") != F.col("other_comp")) & fits
+    )
+    pairs = pairs.select(
+        F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")
+    ).distinct()
+    by_pair = _verified(_possible(pairs, bitmaps, percent), kept, percent)
+    lists = lists.filter(F.col("all") > SHORT_LIST)
     rows = postings.join(lists, "tok").withColumn("h", F.xxhash64("key"))
     outside = rows.filter(F.col("comp") != F.col("main")).select(
         "tok",
@@ -443,7 +496,8 @@ def _mixed(prefix: DataFrame, kept: DataFrame, found: DataFrame, percent: int) -
     return materialize(
         both.groupBy("tok", "lot", "block")
         .applyInArrow(_block_links(percent), "a binary, b binary")
-        .distinct(),
+        .distinct()
+        .union(by_pair),
         "links",
     )
 
