@@ -1,0 +1,111 @@
+"""Secret scans against a plain Python scan of each text."""
+
+import hashlib
+import random
+import re
+
+from textloom.llm import op4_secret_scan as op
+
+ACCESS = "AKIA" + "ABCDEFGHIJKLMNOP"
+HEX = "0123456789abcdef01234567"
+TEXTS = [
+    None,
+    "",
+    "nothing here",
+    'é password = "hunter22" und tokens: abc, Secret:\'abcdef\'',
+    f"{ACCESS} {HEX} AKIA123 0123456789abcdef0123456",
+    "secret: token: abcdefgh api_key=api_key=abcdefgh",
+    f"😀 user: alice\n{HEX} https://db.example.com/x",
+    "user: alice and nothing else",
+    f"login = bob {'x ' * 300}{HEX}",
+    "client_id: abc Zm9vYmFyYmF6cXV4MTIzNDU2 ftp://h.example/yz",
+    "aZm9vYmFyYmF6cXV4MTIzNDU2 alone",
+    "tok token=abcdef " * 700,
+]
+
+
+def base_spans(text):
+    text = text or ""
+    rules = [
+        ("assign", re.compile(op.ASSIGN, re.ASCII), 2, 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
+        ("hex", re.compile("[0-9a-f]+"), 0, 24),
+    ]
+    out = []
+    for nth, (kind, pattern, group, least) in enumerate(rules):
+        for m in pattern.finditer(text):
+            if len(m[group]) >= least:
+                out.append((m.start(), nth, kind, m.end()))
+    return sorted(out)
+
+
+def all_spans(text):
+    base = base_spans(text)
+    weak = []
+    for nth, (kind, (pattern, group, least)) in enumerate(op.WEAK.items()):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            span = (m.start(), nth + len(op.BASE), kind, m.end())
+            if len(m[group]) >= least and not any(b[0] < m.end() and m.start() < b[3] for b in base):
+                weak.append(span)
+    near = lambda a, b: (
+        b[0] <= a[3] + op.SCOPE and b[3] >= a[0] - op.SCOPE and (b[0] >= a[3] or b[3] <= a[0])
+    )
+    names = [s for s in base + weak if s[2] in ("access", "identifier")]
+    secrets = [s for s in base + weak if s[2] in ("assign", "hex", "phrase")]
+    pairs = [(a, b) for a in names for b in secrets if near(a, b)] if weak else []
+    ends = {s for p in pairs for s in p}
+    linked = {s for s in ends if s in weak}
+    for span in weak:
+        if span[2] == "endpoint" and any(near(a, span) for a in ends if a in names):
+            linked.add(span)
+    return sorted(base + list(linked))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+
+
+def check(spark, texts):
+    docs = spark.createDataFrame(
+        [(i if i % 4 else None, t, "x") for i, t in enumerate(texts)],
+        "doc_id long, text string, spans string",
+    )
+    want = sorted(
+        (
+            str(i if i % 4 else None),
+            *[sum(s[2] == k for s in base_spans(t)) for k in op.BASE],
+            hashlib.sha256(joined(base_spans(t)).encode()).hexdigest(),
+            joined(all_spans(t)),
+        )
+        for i, t in enumerate(texts)
+    )
+    got = sorted((str(r[0]), *r[1:]) for r in op.scan(docs).collect())
+    assert got == want
+
+
+def test_cases(spark):
+    check(spark, TEXTS + TEXTS)
+
+
+def test_random_texts(spark):
+    rnd = random.Random(5)
+    bits = ["password", "=", ":", " ", '"', "AKIA", "ABC0", "deadbeef", "0123", "user", "x", "é", "\n",
+            "http://a.b/c", "token", "Zm9vYmFy1", "api_key", "_", "login: bob1 ", HEX]
+    check(spark, ["".join(rnd.choices(bits, k=rnd.randint(1, 60))) for _ in range(150)])
+
+
+def test_mask(spark):
+    docs = spark.createDataFrame(
+        list(enumerate(TEXTS)), "doc_id long, text string"
+    ).selectExpr("*", "1 AS base", "2 AS _nth")
+    out = {r["doc_id"]: r for r in op.masked(docs).collect()}
+    assert op.masked(docs).columns == docs.columns
+    for i, text in enumerate(TEXTS):
+        want = list(text) if text is not None else None
+        for start, _, _, end in all_spans(text):
+            want[start:end] = "*" * (end - start)
+        assert out[i]["text"] == ("".join(want) if want is not None else None)
+
+
+def test_empty_table(spark):
+    assert op.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

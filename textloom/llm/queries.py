@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import op5_toxicity, op7_jaccard_join, op9_bpe
+from textloom.llm import (
+    op1_license_scan,
+    op2_mix_sources,
+    op4_secret_scan,
+    op5_toxicity,
+    op7_jaccard_join,
+    op8_chat_format,
+    op9_bpe,
+    op10_hmm_score,
+)
 from textloom.llm.common import table
 from textloom.llm.stages import vocabulary_path
 
@@ -14,6 +23,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_mix_sources_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mix_sources.report(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return op5_toxicity.toxicity(docs, labels)
@@ -27,6 +48,22 @@ def op9_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_chat_format.digests(spark, table(spark, sf_dir, "conversations"))
+
+
+def op10_hmm_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_hmm_score.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_license_scan"] = op1_license_scan_query
+ORACLES["op1_license_scan"] = op1_license_scan.sql()
+QUERIES["op2_mix_sources"] = op2_mix_sources_query
+ORACLES["op2_mix_sources"] = op2_mix_sources.SQL
+QUERIES["op4_secret_scan"] = op4_secret_scan_query
+QUERIES["op8_chat_format"] = op8_chat_format_query
+ORACLES["op8_chat_format"] = op8_chat_format.SQL
+QUERIES["op10_hmm_score"] = op10_hmm_score_query
 QUERIES["op5_toxicity"] = op5_toxicity_query
 QUERIES["op7_jaccard_join"] = op7_jaccard_join_query
 QUERIES["op9_bpe"] = op9_bpe_query

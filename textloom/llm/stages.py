@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import op5_toxicity, op7_jaccard_join, op9_bpe
+from textloom.llm import op2_mix_sources, op4_secret_scan, op5_toxicity, op7_jaccard_join, op9_bpe
 from textloom.llm.common import table
 from textloom.session import materialize
 
@@ -33,11 +33,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All documents, secrets overwritten; lengths stay."""
+    return op4_secret_scan.masked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Each document as often as the mix takes it."""
+    return op2_mix_sources.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
