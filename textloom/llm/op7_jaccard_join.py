@@ -13,9 +13,9 @@ every document is thereby cut into segments, one for each fragment it touches.
    of a pair is counted in each fragment separately and summed. Linked documents merge into
    components; a list whose members are all in one component is done.
 4. In the lists that are still mixed, members outside the list's largest component are compared with
-   all members: in lists of up to ``SHORT_LIST`` as pairs, in longer ones in blocks of bounded size,
-   which give one link for each component they touch. So no link between different components is
-   missed, and no group is paired out.
+   all members: in lists of up to ``SHORT_LIST`` as pairs; for longer ones, with all of the component
+   and with each other, in blocks of bounded size, which give one link for each component they
+   touch. So no link between different components is missed, and no group is paired out.
 
 Documents with equal sets are one node throughout. Results: documents without words (null and empty
 texts too) have size 0 and stay alone; a null id is allowed and never names a component; repeated
@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import WordHashes, components, lower_words, slices
@@ -459,8 +459,6 @@ def _mixed(
         "tok",
         "all",
         F.col("main.comp").alias("main"),
-        F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
-        F.ceil((F.col("all") - F.col("main.members")) / BLOCK).cast("int").alias("lots"),
     )
     short = postings.join(
         lists.filter(F.col("all") <= SHORT_LIST).select("tok", "main"), "tok"
@@ -474,27 +472,26 @@ def _mixed(
         F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")
     ).distinct()
     by_pair = _verified(_possible(pairs, bitmaps, percent), kept, percent)
-    lists = lists.filter(F.col("all") > SHORT_LIST)
-    rows = postings.join(lists, "tok").withColumn("h", F.xxhash64("key"))
-    outside = rows.filter(F.col("comp") != F.col("main")).select(
-        "tok",
-        "key",
-        "comp",
-        F.lit(True).alias("outside"),
-        F.pmod("h", "lots").cast("int").alias("lot"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-    members = rows.select(
-        "tok",
-        "key",
-        "comp",
-        F.lit(False).alias("outside"),
-        F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
-        F.pmod("h", "blocks").cast("int").alias("block"),
-    )
-    both = outside.union(members).join(kept.select("key", "n", "toks"), "key")
+    rows = postings.join(lists.filter(F.col("all") > SHORT_LIST).select("tok", "main"), "tok")
+    outsiders = materialize(rows.filter(F.col("comp") != F.col("main")), "outsiders")
+    # Against the main component as a whole: once, whichever lists they share.
+    asked = outsiders.select("key", "comp", "main").distinct()
+    members = _with_components(kept.select("key"), found)
+    lots = asked.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
+    members = members.join(lots.withColumnRenamed("main", "comp"), "comp")
+    blocks = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "comp").withColumn("main", F.col("comp"))
+    asked = asked.join(lots, "main").join(blocks.withColumnRenamed("comp", "main"), "main")
+    whole = F.concat(F.lit("c"), F.hex("main"))
+    # Against the other outsiders of the list.
+    sizes = outsiders.groupBy("tok").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
+    others = outsiders.join(sizes, "tok").withColumn("blocks", F.col("lots"))
+    listed = F.concat(F.lit("t"), F.col("tok"))
+    both = _dealt(asked, whole, True).union(_dealt(members, whole, False))
+    both = both.union(_dealt(others, listed, True)).union(_dealt(others, listed, False))
+    both = both.join(kept.select("key", "n", "toks"), "key")
     return materialize(
-        both.groupBy("tok", "lot", "block")
+        both.groupBy("group", "lot", "block")
         .applyInArrow(_block_links(percent), "a binary, b binary")
         .distinct()
         .union(by_pair),
@@ -502,6 +499,21 @@ def _mixed(
     )
 
 
+def _dealt(rows: DataFrame, group: Column, outside: bool) -> DataFrame:
+    """Rows of block pairs: outsiders are in one lot and meet all blocks, members the other way."""
+    h = F.xxhash64("key")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks" if outside else "lots") - 1))
+    one = F.pmod(h, F.col("lots" if outside else "blocks")).cast("int")
+    return rows.select(
+        group.alias("group"),
+        "key",
+        "comp",
+        F.lit(outside).alias("outside"),
+        (one if outside else every).alias("lot"),
+        (every if outside else one).alias("block"),
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
