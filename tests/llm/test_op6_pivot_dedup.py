@@ -54,7 +54,7 @@ def test_odd_rows(spark):
     base = draw.normal(size=(5, 16))
     rows = []
     for i in range(120):
-        v = base[i % 5] + draw.normal(size=16) * 0.1
+        v = base[i % 5] + draw.normal(size=16) * 0.03
         rows.append((i, v.astype(np.float32).tolist(), i % 2, True, 1))
     rows += [(200 + i, rows[3][1], 1, True, 1) for i in range(5)] + [rows[3]]
     rows += [(300, None, 1, True, 1), (301, [0.0] * 16, 1, True, 1), (302, rows[1][1], None, True, 1)]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TELLING = r"[Ll][Ii][Cc][Ee][Nn]|[Pp]ermission|[Rr]edistribution|[Cc]opyright|[Ww]arrant|AS IS|[Ff]ree software|[Pp]ublic domain"
+TELLING = r"(?i)licen|permission|redistribution|copyright|warrant|as is|free software|public domain"
 SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+|[\x0A\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,35 +66,37 @@ SENTENCES = [
     ("OtherRef", r"(licen[sc]ed|released|distributed|available) under (the |a )?.*licen[sc]e"),
 ]
 
-# Ordered rules over ``,a,b,c,``: earlier ones take their sentences first.
+# Ordered rules over the sequence of sentences: ``a|b`` is either, ``a?`` may be missing. Earlier rules
+# take their sentences first.
 RULES = [
-    ("MIT", r",MITGrant(,MITNotice)?(,AsIsSoftware)?(,MITLiability)?,"),
-    ("ISC", r",ISCGrant(,AsIsSoftware)?,"),
-    ("BSD-3-Clause", r",BSDPre,BSDSource,BSDBinary,BSDEndorse(,BSDAsIs)?(,BSDLiability)?,"),
-    ("BSD-2-Clause", r",BSDPre,BSDSource,BSDBinary(,BSDAsIs)?(,BSDLiability)?,"),
-    ("Apache-2.0", r",(ApacheHead2|ApacheRef2),ApacheCompliance(,ApacheObtain)?(,ApacheAsIs)?(,ApacheGoverning)?,"),
-    ("GPL-header", r",GPLFree(,GPLHope)?(,GPLCopy)?,"),
-    ("Apache-2.0", r",(ApacheHead2|ApacheRef2|SpdxApache2),"),
-    ("MIT", r",(MITRef|SpdxMIT),"),
-    ("BSD", r",(BSDRef|SpdxBSD),"),
-    ("AGPL", r",AGPLRef,"),
-    ("LGPL", r",LGPLRef,"),
-    ("GPL-3.0", r",(GPLRef3|SpdxGPL3),"),
-    ("GPL-2.0", r",(GPLRef2|SpdxGPL2),"),
-    ("GPL", r",GPLRef,"),
-    ("MPL", r",MPLRef,"),
-    ("CC-BY-NC-SA", r",CCByNcSaRef,"),
-    ("CC-BY-NC-ND", r",CCByNcNdRef,"),
-    ("CC-BY-NC", r",CCByNcRef,"),
-    ("CC-BY-SA", r",CCBySaRef,"),
-    ("CC-BY", r",CCByRef,"),
-    ("CC0", r",CC0Ref,"),
-]
-
-
-def repeated(rule: str) -> str:
-    """A rule, several times in a row."""
-    return f"(?:{rule[:-1]})+,"
+    ("MIT", "MITGrant MITNotice? AsIsSoftware? MITLiability?"),
+    ("ISC", "ISCGrant AsIsSoftware?"),
+    ("BSD-3-Clause", "BSDPre BSDSource BSDBinary BSDEndorse BSDAsIs? BSDLiability?"),
+    ("BSD-2-Clause", "BSDPre BSDSource BSDBinary BSDAsIs? BSDLiability?"),
+    ("Apache-2.0", "ApacheHead2|ApacheRef2 ApacheCompliance ApacheObtain? ApacheAsIs? ApacheGoverning?"),
+    ("GPL-header", "GPLFree GPLHope? GPLCopy?"),
+    ("Apache-2.0", "ApacheHead2|ApacheRef2|SpdxApache2"),
+    ("MIT", "MITRef|SpdxMIT"),
+    ("BSD", "BSDRef|SpdxBSD"),
+    ("AGPL", "AGPLRef"),
+    ("LGPL", "LGPLRef"),
+    ("GPL-3.0", "GPLRef3|SpdxGPL3"),
+    ("GPL-2.0", "GPLRef2|SpdxGPL2"),
+    ("GPL", "GPLRef"),
+    ("MPL", "MPLRef"),
+    ("CC-BY-NC-SA", "CCByNcSaRef"),
+    ("CC-BY-NC-ND", "CCByNcNdRef"),
+    ("CC-BY-NC", "CCByNcRef"),
+    ("CC-BY-SA", "CCBySaRef"),
+    ("CC-BY", "CCByRef"),
+    ("CC0", "CC0Ref"),
+]
+
+
+def pattern(rule: str) -> str:
+    """A rule over a sequence in which each sentence stands between commas of its own."""
+    steps = [(step.rstrip("?"), step.endswith("?")) for step in rule.split()]
+    return "".join(f"(?:,(?:{names}),)" + "?" * may_miss for names, may_miss in steps)
 
 
 def sentences(text: Column) -> Column:
@@ -128,19 +130,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .otherwise(none)
         .alias("ids"),
     )
-    rows = rows.withColumn("left", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
-    found = []
-    for nth, (_, rule) in enumerate(RULES):
-        rows = rows.withColumn(f"hit_{nth}", F.col("left").rlike(rule))
-        again = F.regexp_replace("left", repeated(rule), ",")
-        rows = rows.withColumn("left", F.when(F.col(f"hit_{nth}"), again).otherwise(F.col("left")))
-        found.append(F.when(F.col(f"hit_{nth}"), F.lit(RULES[nth][0])))
+    # What a rule takes is replaced by the licence, behind a sign that no rule knows.
+    left = F.array_join(F.transform("ids", lambda s: F.concat(F.lit(","), s, F.lit(","))), "")
+    for name, rule in RULES:
+        left = F.regexp_replace(left, pattern(rule), f",={name},")
+    rows = rows.withColumn("parts", F.filter(F.split(left, ","), lambda s: s != ""))
+    taken = F.transform(
+        F.filter("parts", lambda s: s.startswith("=")), lambda s: F.substring(s, 2, 99)
+    )
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_sentences"),
         F.array_join("ids", ",").alias("sentence_ids"),
-        F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.array(*found)))), ",").alias("licenses"),
-        F.trim(F.lit(","), F.col("left")).alias("unmatched"),
+        F.array_join(F.sort_array(F.array_distinct(taken)), ",").alias("licenses"),
+        F.array_join(F.filter("parts", lambda s: ~s.startswith("=")), ",").alias("unmatched"),
     )
 
 
@@ -148,14 +151,9 @@ def sql() -> str:
     """The same in SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
-    steps, last = [], "r0"
-    for nth, (_, rule) in enumerate(RULES):
-        again = f"regexp_replace(l, {quote(repeated(rule))}, ',', 'g')"
-        steps.append(
-            f"r{nth + 1} AS MATERIALIZED (SELECT * EXCLUDE (l), {again} AS l, regexp_matches(l, {quote(rule)}) AS h{nth} FROM {last})"
-        )
-        last = f"r{nth + 1}"
-    names = ", ".join(f"CASE WHEN h{nth} THEN {quote(name)} END" for nth, (name, _) in enumerate(RULES))
+    left = "array_to_string(list_transform(ids, lambda x: ',' || x || ','), '')"
+    for name, rule in RULES:
+        left = f"regexp_replace({left}, {quote(pattern(rule))}, ',={name},', 'g')"
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -169,11 +167,12 @@ WITH d AS (
   SELECT doc_id, list_filter(list_transform(sentences, lambda s: CASE {cases} END),
     lambda x: x IS NOT NULL) AS ids
   FROM s
-), r0 AS (
-  SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS l FROM i
-), {", ".join(steps)}
+), r AS (
+  SELECT doc_id, ids, list_filter(string_split({left}, ','), lambda x: x <> '') AS parts FROM i
+)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(list_sort(list_distinct([{names}])), ',') AS licenses,
-       trim(l, ',') AS unmatched
-FROM {last}
+       array_to_string(list_sort(list_distinct(list_transform(
+         list_filter(parts, lambda x: x[1] = '='), lambda x: x[2:]))), ',') AS licenses,
+       array_to_string(list_filter(parts, lambda x: x[1] <> '='), ',') AS unmatched
+FROM r
 """

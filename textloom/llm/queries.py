@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import (
     op1_license_scan,
     op2_mix_sources,
+    op3_ann,
     op4_secret_scan,
     op5_toxicity,
+    op6_pivot_dedup,
     op7_jaccard_join,
     op8_chat_format,
     op9_bpe,
@@ -31,6 +34,15 @@ def op2_mix_sources_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_mix_sources.report(table(spark, sf_dir, "documents"))
 
 
+def op3_ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return op3_ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op6_pivot_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pivot_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +72,8 @@ QUERIES["op1_license_scan"] = op1_license_scan_query
 ORACLES["op1_license_scan"] = op1_license_scan.sql()
 QUERIES["op2_mix_sources"] = op2_mix_sources_query
 ORACLES["op2_mix_sources"] = op2_mix_sources.SQL
+QUERIES["op3_ann"] = op3_ann_query
+QUERIES["op6_pivot_dedup"] = op6_pivot_dedup_query
 QUERIES["op4_secret_scan"] = op4_secret_scan_query
 QUERIES["op8_chat_format"] = op8_chat_format_query
 ORACLES["op8_chat_format"] = op8_chat_format.SQL
