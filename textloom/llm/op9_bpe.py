@@ -42,7 +42,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BUFFER = 4096
 SHORT = 64
 SLICE_CHARS = 1 << 16
-CACHE_PIECES = 300_000
+CACHE_PIECES, CACHE_WORDS = 200_000, 800_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,7 +108,7 @@ class SpacedWords(dict):
     def __missing__(self, word: str) -> Found:
         found = joined([self.encoder.piece(p) for p in self.encoder.find(" " + word)])
         if len(word) <= 64:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= CACHE_WORDS:
                 self.clear()
             self[word] = found
         return found
@@ -137,18 +137,25 @@ class Encoder:
         )
 
     def merge(self, data: bytes) -> list[int]:
-        """Tokens of a bounded piece. Tokens are held as characters, so that applying a merge at all
-        its places, from the left, is one replacement; the pair of lowest rank goes first."""
-        rank, none = self.rank, self.none
+        """Tokens of a bounded piece, held as characters so that a pair is a two-letter string: the
+        pair of lowest rank first, leftmost first; a merge changes the ranks beside it only."""
         if len(data) > SHORT:
             return self.merge_long(data)
-        text = data.decode("latin-1").translate(self.first)
-        while len(text) > 1:
-            low = min([rank(p, none) for p in map(add, text, text[1:])])
+        rank, none, whole = self.rank, self.none, self.whole
+        tokens = list(data.decode("latin-1").translate(self.first))
+        ranks = [rank(p, none) for p in map(add, tokens, tokens[1:])]
+        while ranks:
+            low = min(ranks)
             if low == none:
                 break
-            text = text.replace(self.pair[low], self.whole[low])
-        return [ord(c) for c in text]
+            i = ranks.index(low)
+            token = tokens[i] = whole[low]
+            del tokens[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(tokens[i - 1] + token, none)
+            if i < len(ranks):
+                ranks[i] = rank(token + tokens[i + 1], none)
+        return [ord(c) for c in tokens]
 
     def merge_long(self, data: bytes) -> list[int]:
         """The same for longer pieces: candidate merges wait in a heap by rank and place."""
