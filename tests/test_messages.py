@@ -76,8 +76,8 @@ def health(text):
 
 def test_completion_health(spark):
     texts = [
-        "A concise useful answer.",
-        "again and again and again and again and again",
+        "Forty metres at the northern end.",
+        "no no no no no no no no",
         "",
         "one",
         "two words",

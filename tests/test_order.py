@@ -67,3 +67,11 @@ def test_written_plan_is_in_step_order(spark, tmp_path):
     plan = order.training_plan(df, "block", 50, 1, 50 * 8, 8, 2, 1)
     order.write_training_plan(plan, str(tmp_path / "plan"), 3)
     assert spark.read.parquet(str(tmp_path / "plan")).count() == 50
+
+
+def test_many_epochs(spark):
+    df = spark.range(5).withColumnRenamed("id", "block")
+    rows = order.epoch_permutation(df, "block", 5, 3, range(0, 10_000))
+    assert rows.count() == 50_000
+    picked = rows.filter("epoch = 9999").collect()
+    assert {(r.sample, r.block) for r in picked} == {(s, visited(5, 3, s)) for s in range(49_995, 50_000)}

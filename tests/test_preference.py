@@ -9,7 +9,7 @@ from textloom.plans import posttrain
 
 PAIR = f"i int, chosen {MESSAGES_TYPE}, rejected {MESSAGES_TYPE}"
 SCORED = "i int, prompt string, response_1 string, response_2 string, preference_strength int, split string"
-U = ("user", "Question")
+U = ("user", "How deep is the lake?")
 
 
 def rows(df):
@@ -18,16 +18,16 @@ def rows(df):
 
 def test_shared_prompt_is_removed(spark):
     df = spark.createDataFrame(
-        [(0, [U, ("assistant", "Good")], [U, ("assistant", "Bad")])], PAIR
+        [(0, [U, ("assistant", "40 m")], [U, ("assistant", "wet")])], PAIR
     )
     row = rows(preference.explicit_preference(df))[0]
     assert [tuple(m) for m in row.prompt] == [U]
-    assert row.chosen[0].content == "Good" and row.rejected[0].content == "Bad"
+    assert row.chosen[0].content == "40 m" and row.rejected[0].content == "wet"
 
 
 def test_no_shared_prompt_fails_or_drops(spark):
     df = spark.createDataFrame([(0, [U, ("assistant", "a")], [("user", "x"), ("assistant", "b")])], PAIR)
-    with pytest.raises(Exception, match="no shared prompt"):
+    with pytest.raises(Exception, match="first message"):
         preference.explicit_preference(df).collect()
     assert preference.explicit_preference(df, "drop").count() == 0
     assert preference.without_prompt(df).first()[0] == 1
@@ -69,14 +69,14 @@ def test_sign_picks_the_response(spark):
     df = scored(
         spark,
         [
-            (0, "Question", "First", "Second", -2, "validation"),
-            (1, "Question", "First", "Second", 2, "validation"),
-            (2, "Question", "First", "Second", 1, None),
+            (0, "How deep is the lake?", "forty", "no idea", -2, "validation"),
+            (1, "How deep is the lake?", "forty", "no idea", 2, "validation"),
+            (2, "How deep is the lake?", "forty", "no idea", 1, None),
         ],
     )
     found = rows(preference.normalize_scored(df, ["i"]))
-    assert found[0].chosen[0].content == "First" and found[1].chosen[0].content == "Second"
-    assert found[0].rejected[0].content == "Second"
+    assert found[0].chosen[0].content == "forty" and found[1].chosen[0].content == "no idea"
+    assert found[0].rejected[0].content == "no idea"
     assert found[1].source_split == "validation" and found[2].source_split == "train"
     assert found[0].preference_strength == 2
     assert [m.role for m in found[0].prompt] == ["system", "user"]

@@ -14,9 +14,7 @@ def brute(keys, seed, rows, divisor=100):
 
 
 @pytest.mark.parametrize("n,rows", [(1, 2000), (50, 2000), (5000, 2000), (5000, 20), (30000, 60000)])
-@pytest.mark.parametrize("top_k", [10_000, 0])
-def test_exact_split(spark, monkeypatch, n, rows, top_k):
-    monkeypatch.setattr(split, "TOP_K_ROWS", top_k)
+def test_exact_split(spark, n, rows):
     df = spark.range(n).repartition(5)
     done = split.exact_split(df, "id", 42, rows, 10).collect()
     assert len(done) == n

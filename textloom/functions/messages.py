@@ -61,7 +61,7 @@ def split_pair(chosen: Column, rejected: Column) -> Column:
 def _rendered(m: Column) -> Column:
     body = F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit(EOS + "\n"))
     return F.when(m["role"].isin(*ROLES), body).otherwise(
-        F.raise_error(F.concat(F.lit("Unsupported chat role: "), F.coalesce(m["role"], F.lit("null"))))
+        F.raise_error(F.concat(F.lit("no template for messages of role "), F.coalesce(m["role"], F.lit("null"))))
     )
 
 

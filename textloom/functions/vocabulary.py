@@ -60,5 +60,7 @@ class BpeModel:
     @classmethod
     def from_frame(cls, merges: DataFrame) -> BpeModel:
         """Read a stored merge table; its size is bounded by the uint16 vocabulary."""
-        rows = merges.orderBy("rank").limit(MAX_VOCAB).collect()
+        rows = merges.orderBy("rank").limit(MAX_VOCAB + 1).collect()
+        if len(rows) > MAX_VOCAB:
+            raise ValueError(f"more than {MAX_VOCAB} merges do not fit the uint16 format")
         return cls([(r.left_id, r.right_id, r.new_id, r.pair_count) for r in rows])

@@ -160,4 +160,4 @@ def roundtrip(df: DataFrame, text: str, packed: str, model: BpeModel) -> DataFra
 def require_roundtrip(checked: DataFrame) -> None:
     """Raise when any text did not come back."""
     if checked.filter(~F.col("roundtrip_ok")).limit(1).collect():
-        raise RuntimeError("tokenizer round trip failed")
+        raise RuntimeError("some texts did not come back from their tokens")

@@ -8,6 +8,7 @@ arithmetic over the block table, without a join between samples and blocks.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 
@@ -18,6 +19,7 @@ from textloom.functions.arith import whole_div
 
 # Fixed value: distance between the generator seeds of two epochs.
 EPOCH_STRIDE = 1_000_003
+EPOCH_NUMBERS = "array<struct<epoch:bigint,inverse:bigint,offset:bigint>>"
 # Products of two block indexes stay inside 64 bits up to here.
 LONG_SAFE_BLOCKS = 3_037_000_499
 
@@ -53,17 +55,25 @@ def permuted_index(index: Column, blocks: int, seed: int, epoch: int, shuffle: b
 
 
 def position_in_epoch(block: Column, blocks: int, seed: int, epochs: range) -> Column:
-    """Array with the position of ``block`` in each of the epochs."""
-    positions = []
+    """Array with the position of ``block`` in each of the epochs.
+
+    The numbers of all epochs are one literal array, so the generated code does not grow with them.
+    """
+    numbers = []
     for epoch in epochs:
         a, b = epoch_parameters(blocks, seed, epoch)
         inverse = pow(a, -1, blocks) if blocks > 1 else 0
-        shifted = F.pmod(block - b, F.lit(blocks))
-        position = _affine(F.lit(inverse), shifted, F.lit(0), blocks)
-        positions.append(
-            F.struct(F.lit(epoch).cast("bigint").alias("epoch"), position.alias("position"))
-        )
-    return F.array(*positions)
+        numbers.append({"epoch": epoch, "inverse": inverse, "offset": b})
+    table = F.from_json(F.lit(json.dumps(numbers)), EPOCH_NUMBERS)
+    return F.transform(
+        table,
+        lambda e: F.struct(
+            e["epoch"].alias("epoch"),
+            _affine(
+                e["inverse"], F.pmod(block - e["offset"], F.lit(blocks)), F.lit(0), blocks
+            ).alias("position"),
+        ),
+    )
 
 
 def count_blocks(offsets: DataFrame) -> int:

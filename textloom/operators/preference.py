@@ -34,7 +34,7 @@ def explicit_preference(df: DataFrame, on_no_prompt: str = "fail") -> DataFrame:
         prompt = F.col("_pair.prompt")
     elif on_no_prompt == "fail":
         prompt = F.when(has_prompt, F.col("_pair.prompt")).otherwise(
-            F.raise_error(F.lit("Preference pair has no shared prompt"))
+            F.raise_error(F.lit("chosen and rejected differ from their first message on"))
         )
     else:
         raise ValueError(f"unknown policy {on_no_prompt!r}")

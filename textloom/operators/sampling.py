@@ -70,10 +70,12 @@ def evenly_spaced(listing: DataFrame, path: str, count: int | Column | None) ->
     return ranked.join(chosen, "position", "left_semi")
 
 
-def shard_budget(tokens: Column) -> Column:
-    """How many shards a token budget needs."""
+def shard_budget(tokens: Column, max_shards: int | Column | None = MAX_SHARDS) -> Column:
+    """How many shards a token budget needs; ``max_shards`` is the number there is, None for any."""
     wanted = F.bround(tokens * BUDGET_FACTOR / TOKENS_PER_SHARD).cast("bigint")
-    return F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), wanted))
+    if max_shards is not None:
+        wanted = F.least(F.lit(max_shards) if isinstance(max_shards, int) else max_shards, wanted)
+    return F.greatest(F.lit(1), wanted)
 
 
 def per_shard_quota(
@@ -92,8 +94,8 @@ def per_shard_quota(
     are taken again, pass after pass. Adds ``copy`` (pass number, from 0). ``row`` counts from 0.
 
     The texts are scanned once: the leading rows of all shards, about twice the quota, are set aside
-    and nearly always hold enough usable ones. Only if some shard needs more of its rows are all
-    rows considered.
+    and nearly always hold enough usable ones. A shard that needs more of its rows is read on; the
+    others are not.
     """
     # One row per shard, from two narrow columns.
     ends = materialize(df.groupBy(shard).agg(F.max(row).alias("_end")), "shards")
@@ -107,7 +109,9 @@ def per_shard_quota(
     filled = usable.groupBy(shard).agg(F.count("*").alias("_n")).filter(F.col("_n") >= quota)
     wanting = ends.filter(F.col("_end") >= reach).join(filled, shard, "left_anti")
     if wanting.limit(1).collect():
-        usable = df.filter(has_min_chars(text, min_chars))
+        rest = df.filter(F.col(row) >= reach).join(wanting.select(shard), shard, "left_semi")
+        rest = rest.filter(has_min_chars(text, min_chars)).select(*df.columns)
+        usable = usable.select(*df.columns).union(materialize(rest, "rest"))
     counts = bucket_counts(usable, [shard], row_bucket(F.col(row)))
 
     # One row per shard from here on.
@@ -161,8 +165,8 @@ def tail_sample(
     """Held-out sample: per shard and domain an equal quota of random usable tail rows.
 
     Rows are taken in the order of a seeded digest. The texts are scanned once: rows with a small
-    digest, about twice the quota of each group, are set aside and nearly always suffice; only if
-    some group does not get its quota from them are all rows considered.
+    digest, about twice the quota of each group, are set aside and nearly always suffice; a group
+    that does not get its quota from them is read on, the others are not.
     """
     group = [shard, "domain"]
     quotas = tail_quotas(df, shard, target).withColumn(
@@ -176,19 +180,25 @@ def tail_sample(
     bucket = hash_bucket(F.col("_h"))
     fits = has_min_chars(text) & ~is_validation(F.col(text), fraction, method)
 
-    # One row per group, from narrow columns; then a single number.
+    # One row per group, from narrow columns: how far each group is read at first.
     sizes = tail.groupBy(*group).agg(F.count("*").alias("_rows"))
     share = (HEAD_FACTOR * F.col("quota") + HEAD_ROWS) / F.col("_rows")
-    reach = quotas.join(sizes, group).agg(F.max(share).alias("s")).first()["s"]
-    candidates = tail.filter(fits)
-    if reach is not None and reach < 0.5:
-        near = materialize(tail.filter(bucket < math.ceil(reach * 65_536)).filter(fits), "near")
-        found = near.groupBy(*group).agg(F.count("*").alias("_n"))
-        short = quotas.join(found, group, "left").filter(
-            F.coalesce("_n", F.lit(0)) < F.col("quota")
-        )
-        if not short.limit(1).collect():
-            candidates = near
+    bound = F.least(F.lit(65_536), F.ceil(share * 65_536)).cast("bigint")
+    bounds = materialize(
+        quotas.join(sizes, group).select(*group, "quota", bound.alias("_bound")), "bounds"
+    )
+    placed = tail.withColumn("_b", bucket).join(bounds.drop("quota"), group)
+    near = placed.filter(F.col("_b") < F.col("_bound")).filter(fits).select(*tail.columns)
+    near = materialize(near, "near")
+    found = near.groupBy(*group).agg(F.count("*").alias("_n"))
+    short = bounds.join(found, group, "left").filter(
+        (F.coalesce("_n", F.lit(0)) < F.col("quota")) & (F.col("_bound") < 65_536)
+    )
+    candidates = near
+    if short.limit(1).collect():
+        rest = placed.join(short.select(*group), group, "left_semi")
+        rest = rest.filter(F.col("_b") >= F.col("_bound")).filter(fits).select(*tail.columns)
+        candidates = near.union(materialize(rest, "rest"))
     picked = first_in_group(candidates, group, ["_h", row], bucket, quotas, fan_out=256)
     return picked.drop("_h").withColumn(text, nfc(cap_chars(text, max_chars)))
 

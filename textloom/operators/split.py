@@ -13,8 +13,6 @@ from textloom.session import materialize
 VALIDATION_SOURCES = ("validation", "test")
 # 4 hex digits: the bucket table has at most 65,536 rows, whatever the size of the data.
 BUCKET_DIGITS = 4
-# Validation sizes up to here are found by a plain top-k.
-TOP_K_ROWS = 10_000
 
 
 def hash_split(df: DataFrame, text: str, fraction: float, method: str = "md5") -> DataFrame:
@@ -37,13 +35,6 @@ def _keys(df: DataFrame, key: str, *more: Column) -> DataFrame:
 def _cut(keys: DataFrame, seed: int, validation_rows: int, divisor: int) -> Column:
     """The digest and key of the last validation row, as a scalar subquery."""
     hashed = keys.select(seeded_hash(seed, F.col("_k")).alias("_h"), "_k")
-    if validation_rows <= TOP_K_ROWS:
-        rows = keys.agg(F.count("*").alias("n")).scalar()
-        first = hashed.orderBy("_h", "_k").limit(validation_rows)
-        # At most TOP_K_ROWS rows are numbered.
-        numbered = first.withColumn("_n", F.row_number().over(Window.orderBy("_h", "_k")))
-        last = numbered.filter(F.col("_n") == validation_size(rows, validation_rows, divisor))
-        return last.agg(F.max(F.struct("_h", "_k")).alias("cut")).scalar()
     hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_h"), BUCKET_DIGITS))
     bases = bucket_bases(hashed, [], "_bucket", F.lit(1), fan_out=256)
     # At most 65,536 rows here: a window without partitions is bounded.

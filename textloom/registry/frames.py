@@ -74,7 +74,7 @@ def scored_pairs(talks: DataFrame) -> DataFrame:
     )
     both = talks.filter(F.size(answers) >= 2).select(
         "conv_id",
-        (F.col("conv_id") % 40).alias("prompt_id"),
+        F.floor(F.col("conv_id") / 2).alias("prompt_id"),
         F.try_element_at(answers, F.lit(1))["content"].alias("response_1"),
         F.try_element_at(answers, F.lit(2))["content"].alias("response_2"),
     )

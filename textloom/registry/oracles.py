@@ -127,7 +127,7 @@ scored AS (
          CASE WHEN x.conv_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split
   FROM assistants x JOIN assistants y USING (conv_id)
   JOIN (SELECT conv_id, min_by(text, turn) AS prompt FROM conversations
-        WHERE role = 'user' GROUP BY conv_id) u ON u.conv_id = x.conv_id % 40
+        WHERE role = 'user' GROUP BY conv_id) u ON u.conv_id = x.conv_id // 2
   WHERE x.k = 1 AND y.k = 2)"""
 SCORED_KEPT = (
     SCORED
@@ -504,7 +504,7 @@ FROM total JOIN params ON blocks = n, unnest(range(n)) AS r(i)"""
 ORACLES["training_plan"] = f"""
 WITH {BLOCKS}, {epoch_parameter_cte(8)},
 plan AS (SELECT n, s, s // n AS epoch, s % n AS i FROM total,
-  unnest(range(100 * 8, ceil(3000000 / (512 * 8.0))::BIGINT * 8)) AS r(s))
+  unnest(range(100 * 8, ceil((n * 512 * 6 // 5) / (512 * 8.0))::BIGINT * 8)) AS r(s))
 SELECT s // 8 AS step, s % 8 // 4 AS round, s % 4 AS slot, s AS sample, source, block_index - lo AS block
 FROM plan JOIN params ON params.blocks = n AND params.epoch = plan.epoch
 JOIN blocks ON block_index = (a * i + b) % n"""
@@ -572,8 +572,4 @@ SELECT doc_id, sha256(text) AS sha256, substr(sha256(source || '/' || doc_id), 1
 ORACLES["stream_prepare"] = f"""
 SELECT {SPLIT} AS split, source, count(*) AS documents, sum(doc_id)::BIGINT AS id_sum
 FROM documents WHERE {USABLE} GROUP BY 1, 2"""
-ORACLES["stream_interval_rollup"] = """
-SELECT max(step) AS step, max(step) * 65536 AS tokens, count(*) AS steps, round(avg(value), 6) AS loss
-FROM (SELECT event_id + 1 AS step, value FROM events)
-GROUP BY CASE WHEN step = 1 THEN 0 ELSE (step + 9) // 10 END
-HAVING max(step) = 1 OR max(step) % 10 = 0"""
+ORACLES["stream_interval_rollup"] = ORACLES["interval_rollup"]

@@ -604,7 +604,7 @@ def training_plan(spark, sf):
     rows = frames.blocks(spark, sf)
     n = order.count_blocks(frames.offsets(spark, sf))
     return order.training_plan(
-        rows, "block_index", n, ORDER_SEED, 3_000_000, BLOCK, 4, 2, start_step=100
+        rows, "block_index", n, ORDER_SEED, n * BLOCK * 6 // 5, BLOCK, 4, 2, start_step=100
     ).select("step", "round", "slot", "sample", "source", F.col("block").cast("bigint").alias("block"))
 
 
@@ -740,13 +740,18 @@ def stream_prepare(spark, sf):
 @query
 def stream_interval_rollup(spark, sf):
     log = (
-        spark.readStream.schema("event_id long, value double")
+        spark.readStream.schema(frames.table(spark, sf, "events").select("event_id", "value", "ts").schema)
         .option("pathGlobFilter", "events*.parquet")
         .parquet(sf)
         .withColumn("step", F.col("event_id") + 1)
     )
-    rolled = rolled_stream(log, "step", "value", 10, 65_536).withColumn(
-        "loss", F.round("loss", 6)
+    rolled = rolled_stream(log, "step", "value", "ts", 10, 65_536).select(
+        "step",
+        "tokens",
+        "steps",
+        F.round("loss", 6).alias("loss"),
+        F.round("elapsed_seconds", 3).alias("elapsed_seconds"),
+        F.round("tokens_per_second", 3).alias("tokens_per_second"),
     )
     out, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
     run_available(rolled, out, checkpoint, partition=None)

@@ -23,13 +23,13 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
 
 
 def require_stored(spark: SparkSession, root: str, names: list[str]) -> None:
-    """:func:`require_columns` for Parquet files: their schema as Spark infers it, from a footer."""
-    stored = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(root)
-    )
-    require_columns(stored, names)
+    """:func:`require_columns` for every Parquet file below ``root``: each footer is looked at."""
+    footers = file_columns(file_listing(spark, root))
+    lacking = [F.bool_or(~F.array_contains("columns", name)).alias(name) for name in names]
+    found = footers.agg(*lacking).first().asDict()
+    missing = sorted(name for name, lacks in found.items() if lacks or lacks is None)
+    if missing:
+        raise ValueError(f"missing columns {missing}")
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -46,7 +46,9 @@ def file_listing(spark: SparkSession, root: str, pattern: str = "*.parquet") ->
     """``path, shard, bytes, modified`` of all files below ``root``; contents are not read.
 
     ``path`` can be read again; ``shard`` is the name under which :func:`corpus_scan` lists a file.
+    Spark's readers pass over files whose name begins with an underscore, so these are refused.
     """
+    refuse_hidden(spark, root, pattern)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -61,6 +63,21 @@ def file_listing(spark: SparkSession, root: str, pattern: str = "*.parquet") ->
     )
 
 
+def refuse_hidden(spark: SparkSession, root: str, pattern: str) -> None:
+    """Raise for files that match but that Spark's readers would leave out without a word."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    level = root.rstrip("/")
+    while True:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        hidden = files.globStatus(path(f"{level}/_{pattern}"))
+        if hidden:
+            raise ValueError(f"file names must not begin with an underscore: {hidden[0].getPath()}")
+        level += "/[^_.]*"
+        if not files.globStatus(path(f"{level}/*")):
+            return
+
+
 def listing_manifest(listing: DataFrame) -> DataFrame:
     """Every selected file with its size, and the total compressed size of the selection."""
     total = listing.agg(F.sum("bytes").cast("bigint").alias("b")).scalar()

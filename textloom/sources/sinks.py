@@ -21,9 +21,10 @@ def token_sink(
     packed: str = "tokens",
     shards_are_files: bool = False,
 ) -> None:
-    """Parquet data set partitioned by split and shard; the commit protocol publishes it whole.
+    """Parquet data set partitioned by split, sorted by shard and row inside a file; the commit
+    protocol publishes it whole. Shards are a column, so their number and names do not matter.
 
-    Rows meet by ``(split, shard, block of rows)``: few files per shard, and none of the writers
+    Rows meet by ``(split, shard, block of rows)``: a shard is in few files, and none of the writers
     holds a whole hot shard. As a rebalance, adaptive execution also splits what is still too large
     for a file and joins what is too small. Where a shard is an input file, a task has the rows of few shards as it
     is, and ``shards_are_files`` writes without a shuffle.
@@ -33,7 +34,7 @@ def token_sink(
         rows = rows.withColumn("_block", whole_div(F.col(row), ROWS_PER_TASK))
         rows = rows.hint("rebalance", split, shard, "_block").drop("_block")
         rows = rows.sortWithinPartitions(split, shard, row)
-    rows.write.mode("overwrite").partitionBy(split, shard).parquet(path)
+    rows.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
 def normalized_sink(collections: dict[str, DataFrame], path: str) -> None:

@@ -2,59 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from textloom.operators.logs import window_id
 
-OUTPUT = "step long, tokens long, steps long, loss double"
-STATE = "steps long, total double, last long"
+from textloom.operators.logs import finished_windows, window_rows, window_values
 
 
 def stream_interval_rollup(
-    log: DataFrame, step: str, loss: str, every: int, tokens_per_step: int, start_step: int = 0
+    log: DataFrame,
+    step: str,
+    loss: str,
+    time: str,
+    every: int,
+    tokens_per_step: int,
+    start_step: int = 0,
+    late_windows: int = 0,
 ) -> DataFrame:
-    """One row per window, emitted when its closing step has arrived together with all the others.
+    """:func:`textloom.operators.logs.interval_rollup` over a stream, in append mode.
 
-    The state of a window is three numbers and is dropped once the window is out, so it does not
-    grow with the log. Records may arrive in any order.
+    The number of a window serves as event time, one second each. The closing step is also the first
+    record of the next window, so its arrival moves the watermark past its own window, which then
+    comes out, repeated steps and all; a window is a few numbers of state until then. Records of
+    windows that are out are late; ``late_windows`` keeps windows open for that many more.
     """
-
-    def update(
-        key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        steps, total, last = state.get if state.exists else (0, 0.0, 0)
-        for batch in batches:
-            steps += len(batch)
-            total += float(batch["loss"].sum())
-            last = max(last, int(batch["step"].max()))
-        window = key[0]
-        close = 1 if window == 0 else window * every
-        opened = max(start_step, 0 if window == 0 else max(1, close - every)) if every > 1 else close - 1
-        if last == close and steps == close - opened:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame(
-                {
-                    "step": [close],
-                    "tokens": [close * tokens_per_step],
-                    "steps": [steps],
-                    "loss": [total / steps],
-                }
-            )
-        else:
-            state.update((steps, total, last))
-
-    s = F.col(step)
-    keyed = log.filter(s > start_step).select(
-        window_id(s, every).alias("w"), s.cast("long").alias("step"), F.col(loss).alias("loss")
-    )
-    return keyed.groupBy("w").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
+    rows = window_rows(log, step, loss, time, every, start_step)
+    rows = rows.withColumn("_at", F.timestamp_seconds("w"))
+    late = rows.withWatermark("_at", f"{late_windows} seconds")
+    grouped = late.groupBy(F.window("_at", "1 second")).agg(*window_values())
+    return finished_windows(grouped, every, tokens_per_step)
