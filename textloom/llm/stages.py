@@ -25,11 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of equal ids, one."""
+    """The document with the smallest id of each group of near copies, repeated rows once.
+    Documents without an id cannot be told apart by one, and stay."""
     classes = op7_jaccard_join.near_duplicates(docs)
     firsts = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(materialize(firsts, "kept"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.union(docs.filter(F.col("doc_id").isNull()))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
