@@ -31,7 +31,7 @@ def held(text, fraction):
 
 def test_prepare_corpus(spark, tmp_path):
     rows, df = documents(spark)
-    done = prepare.prepare_corpus(df, "shard", "row", "text", BpeModel(), str(tmp_path / "t"), 0.09)
+    done = prepare.prepare_corpus(df, "shard", "row", "text", BpeModel(), str(tmp_path / "t"), 0.09, method="md5")
     want = {}
     for shard, row, text in rows:
         if len(text) >= 64:

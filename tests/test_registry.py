@@ -22,7 +22,7 @@ def duck(sf):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"shard_listing", "hash_split_blake2b"}
+    assert set(QUERIES) - set(ORACLES) == {"hash_split_blake2b"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

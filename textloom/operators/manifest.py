@@ -9,7 +9,8 @@ from textloom.functions.tokens import TOKEN_BYTES
 
 FORMAT_VERSION = 2
 DTYPE, BYTE_ORDER = "uint16", "little"
-# What makes a built shard reusable. The chunk size belongs here because it changes the tokens.
+# What makes a built shard reusable. The chunk size and the split method belong here because they
+# change the tokens and where they go.
 FINGERPRINT = (
     "format_version",
     "source",
@@ -17,6 +18,7 @@ FINGERPRINT = (
     "source_mtime",
     "tokenizer_sha256",
     "validation_fraction",
+    "split_method",
     "min_chars",
     "max_chunk_chars",
 )
@@ -158,6 +160,7 @@ def fingerprints(
     validation_fraction: float,
     min_chars: int,
     max_chunk_chars: int,
+    split_method: str = "blake2b",
 ) -> DataFrame:
     """Build fingerprint of every source file in ``path, bytes, modified``."""
     return listing.select(
@@ -167,6 +170,7 @@ def fingerprints(
         F.col("modified").alias("source_mtime"),
         F.lit(tokenizer_sha256).alias("tokenizer_sha256"),
         F.lit(float(validation_fraction)).alias("validation_fraction"),
+        F.lit(split_method).alias("split_method"),
         F.lit(min_chars).alias("min_chars"),
         F.lit(max_chunk_chars).alias("max_chunk_chars"),
     )

@@ -159,7 +159,7 @@ def tail_sample(
     seed: int = 120,
     max_chars: int = 16_384,
     fraction: float = 0.001,
-    method: str = "md5",
+    method: str = "blake2b",
     domains: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """Held-out sample: per shard and domain an equal quota of random usable tail rows.

@@ -64,7 +64,7 @@ def prepare_corpus(
     fraction: float = 0.001,
     min_chars: int = 64,
     max_chunk_chars: int = MAX_CHUNK_CHARS,
-    method: str = "md5",
+    method: str = "blake2b",
     shards_are_files: bool = False,
 ) -> PreparedCorpus:
     """Filter, split, encode and write once; statistics are read off the written shards."""
@@ -137,7 +137,7 @@ def prepare_changed(
     fraction: float = 0.001,
     min_chars: int = 64,
     max_chunk_chars: int = MAX_CHUNK_CHARS,
-    method: str = "md5",
+    method: str = "blake2b",
 ) -> list[str]:
     """Prepare the files below ``root`` that are new or changed since the last run; returns them.
 
@@ -153,6 +153,7 @@ def prepare_changed(
         fraction,
         min_chars,
         max_chunk_chars,
+        method,
     )
     metadata, tokens = _stored(spark, f"{output}/metadata"), _stored(spark, f"{output}/tokens")
     todo = prints

@@ -215,6 +215,14 @@ ORACLES["missing_text_policy"] = " UNION ALL ".join(
     for t in ("documents", "benchmark", "conversations")
 )
 
+ORACLES["shard_listing"] = " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}"
+    for t in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+        "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    )
+)
+
 
 def _spaced(k: str) -> str:
     return f"""

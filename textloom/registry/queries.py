@@ -85,9 +85,11 @@ def shard_budget(spark, sf):
 
 @query
 def shard_listing(spark, sf):
-    listing = corpus.listing_manifest(corpus.file_listing(spark, sf))
-    return listing.select(
-        corpus.file_name(F.col("path")).alias("file"), "bytes", "compressed_bytes"
+    listing = corpus.file_listing(spark, sf)
+    rows = corpus.read_files(spark, [sf]).groupBy("shard").agg(F.count("*").alias("rows"))
+    return listing.filter("bytes > 0").join(rows, "shard", "left").select(
+        corpus.file_name(F.col("path")).alias("file"),
+        F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
     )
 
 
@@ -130,7 +132,7 @@ def preference_jsonl_scan(spark, sf):
 def token_sink(spark, sf):
     path = scratch_path(spark, "tokens")
     prepared = prepare.prepare_corpus(
-        frames.spread_documents(spark, sf), "source", "doc_id", "text", BpeModel(), path, FRACTION
+        frames.spread_documents(spark, sf), "source", "doc_id", "text", BpeModel(), path, FRACTION, method="md5"
     )
     return prepared.tokens.groupBy("split", "source").agg(
         F.count("*").alias("documents"),
@@ -539,7 +541,7 @@ def tail_sample(spark, sf):
         "source",
     )
     sample = sampling.tail_sample(
-        docs, "shard", "row_index", "text", "source", 60, 10, 120, fraction=FRACTION, domains=DOMAINS
+        docs, "shard", "row_index", "text", "source", 60, 10, 120, fraction=FRACTION, method="md5", domains=DOMAINS
     )
     return sample.select("shard", "domain", "doc_id", F.md5("text").alias("digest"))
 
@@ -727,7 +729,7 @@ def content_fingerprint(spark, sf):
 @query
 def stream_prepare(spark, sf):
     schema = "doc_id long, text string, source string"
-    stream = prepared_stream(spark, sf, schema, FRACTION, pattern="documents*.parquet")
+    stream = prepared_stream(spark, sf, schema, FRACTION, method="md5", pattern="documents*.parquet")
     out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
     for _ in range(2):  # the second run finds nothing new
         run_available(stream, out, checkpoint)

@@ -20,7 +20,7 @@ def prepared_stream(
     model: BpeModel | None = None,
     text: str = "text",
     min_chars: int = 64,
-    method: str = "md5",
+    method: str = "blake2b",
     pattern: str = "*.parquet",
     files_per_batch: int = 1000,
 ) -> DataFrame:
