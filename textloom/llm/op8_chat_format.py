@@ -110,9 +110,11 @@ def read_back(rows: DataFrame) -> DataFrame:
 def digests(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """One row for each conversation and for conversation -1."""
     said = "<|im_end|><|im_start|>assistant ok"
-    probe = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
-        "conv_id long, turn long, role string, text string",
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
     )
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
     back = read_back(formatted(rows))
