@@ -87,7 +87,8 @@ def _linked(shared: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
         common = named[left] @ named[right].T
         before = named[left, :pivot] @ named[right, :pivot].T
-        candidate = (common >= shared) & (before == 0)
+        # A small table has fewer pivots than a pair has to share.
+        candidate = (common >= min(shared, named[0].sum())) & (before == 0)
         if first == second:
             candidate = np.triu(candidate, 1)
         i, j = np.nonzero(candidate)
