@@ -78,5 +78,8 @@ def test_one_class_or_no_rows(spark):
     for label, want in ((0, [0.0, 0.0]), (1, [1.0, 0.0])):
         labels = spark.createDataFrame([(2, label), (1, label), (3, label)], "doc_id long, toxic int")
         assert [r["score"] for r in op.toxicity(docs, labels).orderBy("doc_id").collect()] == want
+    blank = spark.createDataFrame([(i, " \n") for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    assert {r["score"] for r in op.toxicity(blank, labels).collect()} == {0.0}
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert op.toxicity(docs.filter(F.lit(False)), labels).count() == 0

@@ -31,6 +31,7 @@ from textloom.llm.common import fold, lower_words, slices
 WINDOW, STRIDE = 24, 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 MAX_WORDS, TRIGRAMS, MIN_DOCS = 20_000, 4_096, 4
+MIN_STEPS = 120  # a small sample is gone over more often
 PIECE_CHARS, BATCH_CHARS, CACHE_WORDS = 1 << 20, 2 << 20, 200_000
 STRIP = b".,;:!?\"'()[]{}<>*#&$%|~`"
 
@@ -313,6 +314,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int, epochs:
     net.p["wf"][0, 2 * HIDDEN :] += 0.5
     draw = np.random.default_rng(seed + 1)
     counts = np.array([len(r) for r in runs], dtype=np.int64)
+    if not counts.sum():  # nothing but white space
+        net.p["scale"] = np.array([1.0, 0.0])
+        return net.dump()
     index, mask, run, _ = windows(counts)
     flat = [w for r in runs for w in r]
     names = sorted(set(flat))
@@ -323,7 +327,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int, epochs:
     mild = known[np.array([net.vocabulary.get(w, 0) for w in names])]
     first, second = {}, {}
     tick = 0
-    for epoch in range(epochs):
+    epoch = -1
+    while (epoch := epoch + 1) < epochs or tick < MIN_STEPS:
         if epoch == 0:
             worst = (mild[rows] * mask).max(1) if len(rows) else np.zeros(0)
         else:
