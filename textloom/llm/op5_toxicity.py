@@ -306,7 +306,10 @@ def _vocabulary(runs: list[list[bytes]], labels: np.ndarray) -> tuple[list[bytes
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int, epochs: int) -> bytes:
     """A trained and calibrated network."""
     order = np.random.default_rng(seed).permutation(len(texts))
-    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    # A fifth of each class is kept back.
+    sides = [order[labels[order] == y] for y in (0, 1)]
+    held = np.concatenate([side[: -(-len(side) // 5)] for side in sides])
+    used = np.concatenate([side[-(-len(side) // 5) :] for side in sides])
     runs = [[bare(w) for w in lower_words(texts[i])] for i in used]
     label = labels[used]
     words, odds = _vocabulary(runs, label)
