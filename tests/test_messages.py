@@ -50,7 +50,7 @@ def test_chat_render(spark):
 
 
 def test_unknown_role_raises(spark):
-    with pytest.raises(Exception, match="Unsupported chat role: tool"):
+    with pytest.raises(Exception, match="messages of role tool"):
         values(frame(spark, [[("tool", "x")]]), messages.chat_render(F.col("m")))
 
 
