@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from textloom.operators.order import epoch_parameters
-
 ORACLES: dict[str, str] = {}
 
 # White space for Python's strip/split and, without U+001C..1F, for the split pattern.
@@ -190,17 +188,38 @@ BLOCKS = (
 total AS (SELECT max(hi) AS n FROM offsets)"""
 )
 
-# Numbers of blocks of the shipped tables, for which the epoch parameters are spelled out: they come
-# from Python's generator, which SQL does not have.
-SHIPPED_BLOCKS = (961, 4823, 49663)
-
-
-def epoch_parameter_cte(epochs: int, seed: int = 7) -> str:
-    rows = ", ".join(
-        "({}, {}, {}, {})".format(n, e, *epoch_parameters(n, seed, e))
-        for n in SHIPPED_BLOCKS
-        for e in range(epochs)
-    )
+# Blocks, epoch, multiplier and offset for the block counts of the shipped tables and seed 7. They come
+# from Python's generator, which SQL does not have, and were worked out apart from the library.
+EPOCH_NUMBERS = [
+    (961, 0, 332, 154),
+    (961, 1, 252, 332),
+    (961, 2, 234, 625),
+    (961, 3, 127, 824),
+    (961, 4, 115, 955),
+    (961, 5, 169, 718),
+    (961, 6, 34, 99),
+    (961, 7, 362, 133),
+    (4823, 0, 2654, 1235),
+    (4823, 1, 2011, 2661),
+    (4823, 2, 1865, 3672),
+    (4823, 3, 1016, 2621),
+    (4823, 4, 914, 3286),
+    (4823, 5, 1348, 4056),
+    (4823, 6, 268, 794),
+    (4823, 7, 2892, 1065),
+    (49663, 0, 21223, 9886),
+    (49663, 1, 16082, 21295),
+    (49663, 2, 14914, 40028),
+    (49663, 3, 8126, 48449),
+    (49663, 4, 7306, 48164),
+    (49663, 5, 10780, 45980),
+    (49663, 6, 2137, 6357),
+    (49663, 7, 23128, 8522),
+]
+
+
+def epoch_parameter_cte(epochs: int) -> str:
+    rows = ", ".join(str(r) for r in EPOCH_NUMBERS if r[1] < epochs)
     return f"params(blocks, epoch, a, b) AS (VALUES {rows})"
 
 
