@@ -51,3 +51,48 @@ def test_sql(spark):
 
 def test_empty_table(spark):
     assert op.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# One text for every pattern, with no other sentence beside it.
+ALONE = [
+    ("SpdxMIT", "SPDX-License-Identifier: MIT"), ("SpdxApache2", "SPDX-License-Identifier: Apache-2.0"),
+    ("SpdxGPL2", "SPDX-License-Identifier: GPL-2.0-only"), ("SpdxGPL3", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("SpdxBSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MITGrant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MITNotice", "The above copyright notice and this permission notice shall be included in all copies"),
+    ("ISCGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
+    ("AsIsSoftware", "The software is provided as-is"),
+    ("MITLiability", "In no event shall the authors or copyright holders be liable"),
+    ("BSDPre", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSDSource", "Redistributions of source code must retain the above copyright notice"),
+    ("BSDBinary", "Redistributions in binary form must reproduce the above copyright notice"),
+    ("BSDEndorse", "Neither the name of X nor of Y may be used to endorse or promote products"),
+    ("BSDAsIs", "This software is provided by the copyright holders and contributors as is"),
+    ("BSDLiability", "In no event shall the copyright holder or contributors be liable"),
+    ("ApacheCompliance", "You may not use this file except in compliance with the License"),
+    ("ApacheObtain", "You may obtain a copy of the License at"),
+    ("ApacheAsIs", "Unless required by applicable law or agreed to in writing"),
+    ("ApacheGoverning", "See the License for the specific language governing permissions"),
+    ("ApacheHead2", "Licensed under the Apache License, Version 2.0 (the License)"),
+    ("ApacheRef2", "It is released under the Apache License 2.0"),
+    ("GPLFree", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU GPL"),
+    ("GPLHope", "This program is distributed in the hope that it will be useful"),
+    ("GPLCopy", "You should have received a copy of the GNU GPL"),
+    ("AGPLRef", "Available under the GNU Affero General Public License"),
+    ("LGPLRef", "Available under the GNU Lesser General Public License"),
+    ("GPLRef3", "Available under the GNU General Public License v3"),
+    ("GPLRef2", "Available under the GNU General Public License v2"),
+    ("GPLRef", "Available under the GNU General Public License"), ("MITRef", "Available under the MIT License"),
+    ("BSDRef", "Available under the BSD License"), ("MPLRef", "Available under the Mozilla Public License"),
+    ("CCByNcSaRef", "Released under CC BY-NC-SA 4.0"), ("CCByNcNdRef", "Released under CC BY-NC-ND 4.0"),
+    ("CCByNcRef", "Available under CC BY-NC 4.0"), ("CCBySaRef", "Released under CC BY-SA 4.0"),
+    ("CCByRef", "Available under Creative Commons BY 4.0"), ("CC0Ref", "It is CC0."), ("Rights", "All\tRIGHTS  reserved."),
+    ("OtherRef", "Available under a weird license"),
+]
+
+
+def test_every_sentence_alone(spark):
+    assert [n for n, _ in ALONE] == [n for n, _ in op.SENTENCES]
+    rows = [(i, f"Some prose. {text}\n") for i, (_, text) in enumerate(ALONE)]
+    got = {r["doc_id"]: r["sentence_ids"] for r in scanned(spark, rows)}
+    assert [got[i] for i in range(len(ALONE))] == [n for n, _ in ALONE]
