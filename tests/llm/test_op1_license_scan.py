@@ -96,3 +96,86 @@ def test_every_sentence_alone(spark):
     rows = [(i, f"Some prose. {text}\n") for i, (_, text) in enumerate(ALONE)]
     got = {r["doc_id"]: r["sentence_ids"] for r in scanned(spark, rows)}
     assert [got[i] for i in range(len(ALONE))] == [n for n, _ in ALONE]
+
+
+MIT_WRAPPED = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING FITNESS AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD_WRAPPED = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DAMAGES.
+"""
+GPL_WRAPPED = """This program is free software{sign} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.  See the GNU General Public License.
+
+You should have received a copy of the GNU General Public License
+along with this program.
+"""
+APACHE_WRAPPED = """Licensed under the Apache License,
+Version 2.0 (the "License"); you may not use this file except in
+compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+See the License for the specific language governing
+permissions and limitations under the License.
+"""
+MIT_IDS = "MITGrant,MITNotice,AsIsSoftware,MITLiability"
+BSD_IDS = "Rights,BSDPre,BSDSource,BSDBinary,BSDEndorse,BSDAsIs,BSDLiability"
+APACHE_IDS = "ApacheHead2,ApacheCompliance,ApacheObtain,ApacheAsIs,ApacheGoverning"
+WRAPPED = [
+    (MIT_WRAPPED, MIT_IDS, "MIT"), (BSD_WRAPPED, BSD_IDS, "BSD-3-Clause"), (APACHE_WRAPPED, APACHE_IDS, "Apache-2.0"),
+    (GPL_WRAPPED.format(sign=":"), "GPLFree,GPLHope,GPLCopy", "GPL-header"),
+    (GPL_WRAPPED.format(sign=";"), "GPLFree,GPLHope,GPLCopy", "GPL-header"),
+    ("Released under the MIT License\nReleased under the BSD License\nmore", "MITRef,BSDRef", "BSD,MIT"),
+    ("It is released under the GNU General\nPublic License v3\nmore", "GPLRef3", "GPL-3.0"),
+    ("All rights reserved\nSPDX-License-Identifier: MIT\n" + MIT_WRAPPED[MIT_WRAPPED.index("Permission") :], f"Rights,SpdxMIT,{MIT_IDS}", "MIT"),
+    ("Released under the\n\nMIT License", "", ""), ("released under the MIT\n2. License", "", ""),
+]
+
+
+def test_sentences_over_lines(spark):
+    rows, want = [], []
+    for text, ids, licenses in WRAPPED:
+        for sign in ["", "# ", "// ", " * ", "-- ", "rem "]:
+            lines = [(sign + line).rstrip() if sign != "rem " else sign + line for line in text.split("\n")]
+            if "2. License" not in text or not sign:
+                for end in ["\n", "\r\n"]:
+                    rows.append((len(rows), end.join(lines)))
+                    want.append((ids, licenses))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in scanned(spark, rows)}
+    for i, expected in enumerate(want):
+        assert (got[i], rows[i][1]) == (expected, rows[i][1])

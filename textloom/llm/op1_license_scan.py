@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised to lower-case words, and known licence sentences get
-identifiers. The sequence of identifiers of a document is then matched against ordered licence rules:
+identifiers. A sentence may go on over line breaks and comment signs; as notices of one line often end
+without punctuation, each line may begin a sentence. The sequence of identifiers of a document is then matched against ordered licence rules:
 a rule takes the sentences it matches out of the sequence, so a licence made of several sentences wins
 over the rules for single ones that follow it. What no rule takes stays as *unmatched*.
 
@@ -24,6 +25,13 @@ WORDS = (
 )
 # The SQL skips by these, and so misses some sentences.
 TELLING = r"(?i)licen|permission|redistribution|copyright|warrant|as is|free software|public domain"
+# A sentence ends at punctuation, a line without a letter or digit, or before a list item; the text is in
+# lower case by then. The GPL has a semicolon inside its sentence.
+ENDS = (
+    r"(?:[.!?]|;(?![^a-z0-9]+(?:(?:rem|dnl)\s+)?you\s+can\s+redistribute))[\x20\x09-\x0D]+"
+    r"|\n[^a-z0-9]*\n|\n[^a-z0-9\n]*(?:rem|dnl)[\x20\x09]*(?=\n)|\n(?=[^a-z0-9\n]*(?:[0-9]{1,3}|[a-z])[.)][\x20\x09])|\n(?=[\x20\x09]*-[\x20\x09])"
+)
+# The SQL ends a sentence at every line break, and so misses those over several lines.
 SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+|[\x0A\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,20 +114,39 @@ def pattern(rule: str) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; those without a word are left out."""
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
-    plain = F.transform(
-        cut, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    )
-    return F.filter(plain, lambda s: s != "")
-
-
-def sentence_id(sentence: Column) -> Column:
-    """Identifier of a normalised sentence, null if it is not known."""
-    known = F.when(sentence.rlike(SENTENCES[0][1]), SENTENCES[0][0])
-    for name, pattern in SENTENCES[1:]:
-        known = known.when(sentence.rlike(pattern), name)
-    return known
+    """Normalised sentences of a text that may be known, in order, their lines kept apart by line breaks."""
+    plain = F.translate(F.regexp_replace(text, r"\r\n?", "\n"), UPPER + "|", LOWER + " ")
+    plain = F.regexp_replace(plain, ENDS, "|")
+    plain = F.regexp_replace(plain, r"[^a-z0-9|\n]+", " ")
+    plain = F.regexp_replace(plain, r"([|\n]|^)[ \n]*(?:(?:rem|dnl) )?| *(?=[|\n]|$)", "$1")
+    return F.filter(F.split(plain, r"\|"), lambda s: s.rlike(WORDS))
+
+
+def over_lines(known: str) -> str:
+    """The pattern of a known sentence for one that begins in this line and may go on in the next ones.
+
+    Lines stand behind ``|`` (the first of a sentence) or a line break, and those already named behind
+    a sign; a sentence that ends with its pattern ends at the end of a line.
+    """
+    anchored, ended = known.startswith("^"), known.endswith("$")
+    body = known.removeprefix("^").removesuffix("$").replace(".*", "[^|]*?")
+    body = body.replace(" ", r"(?: |\n(?:=[A-Za-z0-9]+=)?)")
+    begin = "" if anchored else r"[^|\n=]*?"
+    return rf"([|\n])(?={begin}(?:{body})" + (r"[|\n])" if ended else ")")
+
+
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences, in order: at most one for each line, that of the first that fits."""
+    marked = F.concat(F.lit("|"), F.array_join(sentences(text), "|"), F.lit("|"))
+    for name, known in SENTENCES[:-1]:
+        marked = F.regexp_replace(marked, over_lines(known), f"$1={name}=")
+    # The rest of a sentence that is known by its beginning may mention a licence, which is no notice.
+    name, known = SENTENCES[-1]
+    begun = "|".join(n for n, p in SENTENCES if p.startswith("^") and not p.endswith("$"))
+    marked = F.regexp_replace(marked, over_lines(known), "$1~")
+    marked = F.regexp_replace(marked, rf"(\G(?!^)|=(?:{begun})=)([^|~]*)~", "$1$2")
+    marked = F.regexp_replace(marked, "~", f"={name}=")
+    return F.regexp_extract_all(marked, F.lit("=([A-Za-z0-9]+)="), F.lit(1))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "doc_id",
         F.when(
             F.col("text").rlike(WORDS),
-            F.filter(F.transform(sentences(F.col("text")), sentence_id), lambda s: s.isNotNull()),
+            sentence_ids(F.col("text")),
         )
         .otherwise(none)
         .alias("ids"),
@@ -154,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def sql() -> str:
-    """The same in SQL, for texts that have a word of ``TELLING``; it finds no sentence in others."""
+    """The same in SQL, for texts that have a word of ``TELLING`` and sentences of one line."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
     left = "array_to_string(list_transform(ids, lambda x: ',' || x || ','), '')"
