@@ -109,3 +109,58 @@ def test_mask(spark):
 
 def test_empty_table(spark):
     assert op.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+PHRASE = "Zm9vYmFyYmF6cXV4MTIzNDU2"
+URL = "https://db.example.com/x"
+PARTS = [
+    f"{PHRASE} {URL}",
+    f"{URL} {'. ' * 80}{PHRASE}",
+    f"user: alice {'. ' * 75}{PHRASE} {'. ' * 75}{URL}",
+    f"{PHRASE} {'. ' * 75}user: alice {'. ' * 75}{URL}",
+    f"user: alice {'. ' * 75}{URL}",
+    f"{PHRASE} {'. ' * 150}{URL}",
+    f"api_key = abcdefgh {URL}",
+    f"{URL} and nothing else",
+]
+KINDS = ["phrase,endpoint", "endpoint,phrase", "identifier,phrase,endpoint", "phrase,identifier,endpoint", "", "", "assign,endpoint", ""]
+
+
+def paired_spans(text):
+    """``all_spans`` with endpoints linked to secrets, and to every member of a linked pair."""
+    base = base_spans(text)
+    weak = []
+    for nth, (kind, (pattern, group, least)) in enumerate(op.WEAK.items()):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m[group]) >= least and not any(b[0] < m.end() and m.start() < b[3] for b in base):
+                weak.append((m.start(), nth + len(op.BASE), kind, m.end()))
+    near = lambda a, b: (
+        b[0] <= a[3] + op.SCOPE and b[3] >= a[0] - op.SCOPE and (b[0] >= a[3] or b[3] <= a[0])
+    )
+    every = base + weak if weak else []
+    names = [s for s in every if s[2] in ("access", "identifier")]
+    urls = [s for s in every if s[2] == "endpoint"]
+    secrets = [s for s in every if s[2] in ("assign", "hex", "phrase")]
+    ends = {s for a in names + urls for b in secrets if near(a, b) for s in (a, b)}
+    ends |= {s for s in urls if any(near(a, s) for a in ends if a in names)}
+    return sorted(base + [s for s in ends if s in weak])
+
+
+def test_random_pairs(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "all_spans", paired_spans)
+    rnd = random.Random(6)
+    bits = ["password = abcdef1 ", "AKIA", "user: alice ", "login: bob1 ", f"{URL} ", f"{PHRASE} ", f"{HEX} ", ". " * 40, "é" * 60, "\n"]
+    check(spark, ["".join(rnd.choices(bits, k=rnd.randint(1, 30))) for _ in range(100)])
+
+
+def test_endpoints_beside_secrets(spark):
+    docs = spark.createDataFrame(list(enumerate(PARTS)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in op.scan(docs).collect()}
+    kinds = [",".join(s.split(":")[0] for s in got[i].split(",")) for i in range(len(PARTS))]
+    assert kinds == KINDS
+    out = {r["doc_id"]: r["text"] for r in op.masked(docs).collect()}
+    for i, text in enumerate(PARTS):
+        want = list(text)
+        for _, start, end in (s.split(":") for s in got[i].split(",") if s):
+            want[int(start) : int(end)] = "*" * (int(end) - int(start))
+        assert out[i] == "".join(want)

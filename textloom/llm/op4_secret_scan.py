@@ -4,7 +4,8 @@ Base kinds stand alone: assignments of a value to a secret-like name, access ide
 runs. Weak kinds mean something only together: an identifier (user, client id, access key name), a
 secret that only its look gives away, an endpoint. Their spans go into one narrow table, and an
 interval join within a scope of ``SCOPE`` code points links them: identifiers and secrets (base
-spans count as either) report each other, an endpoint is reported next to a linked pair. The join
+spans count as either) report each other, endpoints and secrets do too, and an endpoint is reported
+next to either member of a linked pair. An identifier and an endpoint alone are not reported. The join
 hashes on document and position bucket, so a document with very many parts is spread as well.
 
 Matches are leftmost and do not overlap within a kind; offsets are code points, ends exclusive. Weak
@@ -168,7 +169,7 @@ def _near(left: DataFrame, right: DataFrame) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """``rid, id, spans``: the weak spans that complementary parts support."""
     parts = materialize(_parts(found), "parts")
-    pairs = _near(parts.filter("role = 'identifier'"), parts.filter("role = 'secret'"))
+    pairs = _near(parts.filter("role <> 'secret'"), parts.filter("role = 'secret'"))
     pairs = materialize(pairs, "pairs")
     ends = pairs.select("rid", "id", F.explode(F.array("s", "t")).alias("s")).distinct()
     beside = _near(parts.filter("role = 'endpoint'"), ends.filter("s.kind IN ('access', 'identifier')"))
