@@ -18,6 +18,7 @@ from textloom.llm import (
     op8_chat_format,
     op9_bpe,
     op10_hmm_score,
+    op12_merkle_manifest,
 )
 from textloom.llm.common import table
 from textloom.llm.stages import vocabulary_path
@@ -68,6 +69,10 @@ def op10_hmm_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_hmm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_merkle_manifest.lowered(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_license_scan"] = op1_license_scan_query
 ORACLES["op1_license_scan"] = op1_license_scan.sql()
 QUERIES["op2_mix_sources"] = op2_mix_sources_query
@@ -81,3 +86,4 @@ QUERIES["op10_hmm_score"] = op10_hmm_score_query
 QUERIES["op5_toxicity"] = op5_toxicity_query
 QUERIES["op7_jaccard_join"] = op7_jaccard_join_query
 QUERIES["op9_bpe"] = op9_bpe_query
+QUERIES["op12_merkle_manifest"] = op12_merkle_manifest_query
