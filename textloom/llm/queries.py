@@ -18,7 +18,9 @@ from textloom.llm import (
     op8_chat_format,
     op9_bpe,
     op10_hmm_score,
+    op11_sharded_lloyd,
     op12_merkle_manifest,
+    op13_html_extract,
 )
 from textloom.llm.common import table
 from textloom.llm.stages import vocabulary_path
@@ -69,6 +71,14 @@ def op10_hmm_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_hmm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_sharded_lloyd_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_sharded_lloyd.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_extract_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_merkle_manifest.lowered(table(spark, sf_dir, "documents"))
 
@@ -86,4 +96,7 @@ QUERIES["op10_hmm_score"] = op10_hmm_score_query
 QUERIES["op5_toxicity"] = op5_toxicity_query
 QUERIES["op7_jaccard_join"] = op7_jaccard_join_query
 QUERIES["op9_bpe"] = op9_bpe_query
+QUERIES["op11_sharded_lloyd"] = op11_sharded_lloyd_query
+ORACLES["op11_sharded_lloyd"] = op11_sharded_lloyd.sql()
 QUERIES["op12_merkle_manifest"] = op12_merkle_manifest_query
+QUERIES["op13_html_extract"] = op13_html_extract_query
