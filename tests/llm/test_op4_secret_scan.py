@@ -40,25 +40,24 @@ def base_spans(text):
 
 
 def all_spans(text):
+    """Base spans, and weak ones of linked pairs: names and endpoints with secrets, endpoints with names
+    that a secret is linked to."""
     base = base_spans(text)
     weak = []
     for nth, (kind, (pattern, group, least)) in enumerate(op.WEAK.items()):
         for m in re.finditer(pattern, text or "", re.ASCII):
-            span = (m.start(), nth + len(op.BASE), kind, m.end())
             if len(m[group]) >= least and not any(b[0] < m.end() and m.start() < b[3] for b in base):
-                weak.append(span)
+                weak.append((m.start(), nth + len(op.BASE), kind, m.end()))
     near = lambda a, b: (
         b[0] <= a[3] + op.SCOPE and b[3] >= a[0] - op.SCOPE and (b[0] >= a[3] or b[3] <= a[0])
     )
-    names = [s for s in base + weak if s[2] in ("access", "identifier")]
-    secrets = [s for s in base + weak if s[2] in ("assign", "hex", "phrase")]
-    pairs = [(a, b) for a in names for b in secrets if near(a, b)] if weak else []
-    ends = {s for p in pairs for s in p}
-    linked = {s for s in ends if s in weak}
-    for span in weak:
-        if span[2] == "endpoint" and any(near(a, span) for a in ends if a in names):
-            linked.add(span)
-    return sorted(base + list(linked))
+    every = base + weak if weak else []
+    names = [s for s in every if s[2] in ("access", "identifier")]
+    urls = [s for s in every if s[2] == "endpoint"]
+    secrets = [s for s in every if s[2] in ("assign", "hex", "phrase")]
+    ends = {s for a in names + urls for b in secrets if near(a, b) for s in (a, b)}
+    ends |= {s for s in urls if any(near(a, s) for a in ends if a in names)}
+    return sorted(base + [s for s in ends if s in weak])
 
 
 def joined(spans):
@@ -126,28 +125,7 @@ PARTS = [
 KINDS = ["phrase,endpoint", "endpoint,phrase", "identifier,phrase,endpoint", "phrase,identifier,endpoint", "", "", "assign,endpoint", ""]
 
 
-def paired_spans(text):
-    """``all_spans`` with endpoints linked to secrets, and to every member of a linked pair."""
-    base = base_spans(text)
-    weak = []
-    for nth, (kind, (pattern, group, least)) in enumerate(op.WEAK.items()):
-        for m in re.finditer(pattern, text or "", re.ASCII):
-            if len(m[group]) >= least and not any(b[0] < m.end() and m.start() < b[3] for b in base):
-                weak.append((m.start(), nth + len(op.BASE), kind, m.end()))
-    near = lambda a, b: (
-        b[0] <= a[3] + op.SCOPE and b[3] >= a[0] - op.SCOPE and (b[0] >= a[3] or b[3] <= a[0])
-    )
-    every = base + weak if weak else []
-    names = [s for s in every if s[2] in ("access", "identifier")]
-    urls = [s for s in every if s[2] == "endpoint"]
-    secrets = [s for s in every if s[2] in ("assign", "hex", "phrase")]
-    ends = {s for a in names + urls for b in secrets if near(a, b) for s in (a, b)}
-    ends |= {s for s in urls if any(near(a, s) for a in ends if a in names)}
-    return sorted(base + [s for s in ends if s in weak])
-
-
-def test_random_pairs(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "all_spans", paired_spans)
+def test_random_pairs(spark):
     rnd = random.Random(6)
     bits = ["password = abcdef1 ", "AKIA", "user: alice ", "login: bob1 ", f"{URL} ", f"{PHRASE} ", f"{HEX} ", ". " * 40, "é" * 60, "\n"]
     check(spark, ["".join(rnd.choices(bits, k=rnd.randint(1, 30))) for _ in range(100)])
