@@ -1,5 +1,7 @@
 """Licence scans: known texts, and the same in SQL."""
 
+import time
+
 import duckdb
 
 from textloom.llm import op1_license_scan as op
@@ -179,3 +181,12 @@ def test_sentences_over_lines(spark):
     got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in scanned(spark, rows)}
     for i, expected in enumerate(want):
         assert (got[i], rows[i][1]) == (expected, rows[i][1])
+
+
+def test_many_semicolons_take_linear_time(spark):
+    words = "gnu " + ";" * 200_000
+    other = "gnu " + "мир; труд; " * 40_000
+    docs = spark.createDataFrame([(1, words), (2, other)], "doc_id long, text string")
+    start = time.perf_counter()
+    assert {r.n_sentences for r in op.scan(docs).collect()} == {0}
+    assert time.perf_counter() - start < 60

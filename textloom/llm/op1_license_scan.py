@@ -23,16 +23,13 @@ WORDS = (
     r"(?i)licen|permission|redistribution|copyright|reserved|cc0|domain|provided|endorse|applicable"
     r"|software|distributed|gnu|released|available"
 )
-# The SQL skips by these, and so misses some sentences.
-TELLING = r"(?i)licen|permission|redistribution|copyright|warrant|as is|free software|public domain"
 # A sentence ends at punctuation, a line without a letter or digit, or before a list item; the text is in
-# lower case by then. The GPL has a semicolon inside its sentence.
+# lower case by then. The GPL has a semicolon inside its sentence; how far it is looked for is bounded,
+# so that a text of nothing but semicolons takes linear time.
 ENDS = (
-    r"(?:[.!?]|;(?![^a-z0-9]+(?:(?:rem|dnl)\s+)?you\s+can\s+redistribute))[\x20\x09-\x0D]+"
+    r"(?:[.!?]|;(?![^a-z0-9;]{1,64}+(?:(?:rem|dnl)\s{1,64}+)?you\s{1,64}+can\s{1,64}+redistribute))[\x20\x09-\x0D]+"
     r"|\n[^a-z0-9]*\n|\n[^a-z0-9\n]*(?:rem|dnl)[\x20\x09]*(?=\n)|\n(?=[^a-z0-9\n]*(?:[0-9]{1,3}|[a-z])[.)][\x20\x09])|\n(?=[\x20\x09]*-[\x20\x09])"
 )
-# The SQL ends a sentence at every line break, and so misses those over several lines.
-SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+|[\x0A\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Known sentences, as patterns over normalised words: the first that fits names the sentence.
@@ -181,25 +178,54 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def sql() -> str:
-    """The same in SQL, for texts that have a word of ``TELLING`` and sentences of one line."""
+    """The same in SQL: sentences as lists of lines, and for each line the first known sentence that
+    begins in it and goes on in as many lines as it takes."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
+    space = r"[\x20\x09-\x0D]"
+    # What ends a sentence becomes a bar, one kind of end after the other.
+    cut = "regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\r', chr(10), 'g')"
+    cut = f"translate({cut}, '{UPPER}|', '{LOWER} ')"
+    for pattern_, to in [
+        (rf";([^a-z0-9]+(?:(?:rem|dnl){space}+)?you{space}+can{space}+redistribute)", r" \1"),
+        (r"\n([^a-z0-9\n]*(?:[0-9]{1,3}|[a-z])[.)][\x20\x09])", r"|\1"),
+        (r"\n([\x20\x09]*-[\x20\x09])", r"|\1"),
+        (rf"[.!?;]{space}+", "|"),
+        (r"\n[^a-z0-9|]*\n", "|"),
+        (r"\n[^a-z0-9\n|]*(?:rem|dnl)[\x20\x09]*(\n)", r"|\1"),
+    ]:
+        cut = f"regexp_replace({cut}, {quote(pattern_)}, {quote(to)}, 'g')"
+    cases = []
+    for name, known in SENTENCES:
+        body = known.removeprefix("^").removesuffix("$").replace(" ", r"[ \n]").replace(".*", r"(?:.|\n)*?")
+        begin = "^" if known.startswith("^") else r"^[^\n]*?"
+        end = r"(?:\n|\z)" if known.endswith("$") else ""
+        cases.append(f"WHEN regexp_matches(s, {quote(f'{begin}(?:{body}){end}')}) THEN {quote(name)}")
+    begun = ", ".join(quote(n) for n, p in SENTENCES if p.startswith("^") and not p.endswith("$"))
     left = "array_to_string(list_transform(ids, lambda x: ',' || x || ','), '')"
     for name, rule in RULES:
         left = f"regexp_replace({left}, {quote(pattern(rule))}, ',={name},', 'g')"
     return f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS doc, doc_id, string_split({cut}, '|') AS sentences FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN regexp_matches(text, {quote(TELLING)}) THEN list_filter(list_transform(
-    string_split(regexp_replace(text, {quote(SENTENCE_END)}, '\\1' || chr(10), 'g'), chr(10)),
-    lambda x: trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))),
-    lambda x: x <> '') ELSE [] END AS sentences
-  FROM d
-), i AS (
-  SELECT doc_id, list_filter(list_transform(sentences, lambda s: CASE {cases} END),
-    lambda x: x IS NOT NULL) AS ids
+  SELECT doc, doc_id, unnest(sentences) AS sentence, generate_subscripts(sentences, 1) AS nth FROM d
+), l AS (
+  SELECT doc, nth, list_filter(list_transform(string_split(sentence, chr(10)), lambda x:
+    regexp_replace(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), '^(?:rem|dnl) ', '')), lambda x: x <> '') AS lines
   FROM s
+), b AS (
+  SELECT doc, nth, lines, unnest(range(1, len(lines) + 1)) AS line FROM l
+), n AS (
+  SELECT doc, nth, line, CASE {" ".join(cases)} END AS name
+  FROM (SELECT doc, nth, line, array_to_string(lines[line:], chr(10)) AS s FROM b)
+), k AS (
+  SELECT doc, nth, line, name,
+         bool_or(name IN ({begun})) OVER (PARTITION BY doc, nth ORDER BY line) AS begun
+  FROM n WHERE name IS NOT NULL
+), i AS (
+  SELECT d.doc_id, d.doc, coalesce(list(name ORDER BY nth, line) FILTER (WHERE name IS NOT NULL), []) AS ids
+  FROM d LEFT JOIN (SELECT * FROM k WHERE name <> {quote(SENTENCES[-1][0])} OR NOT begun) AS k ON k.doc = d.doc
+  GROUP BY d.doc_id, d.doc
 ), r AS (
   SELECT doc_id, ids, list_filter(string_split({left}, ','), lambda x: x <> '') AS parts FROM i
 )
