@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import WordHashes, components, lower_words, slices
@@ -39,6 +39,7 @@ from textloom.session import materialize
 TEXT_BYTES = 4 << 20
 DOCS_PER_FRAGMENT = 4096
 BATCH_TOKENS = 2_000_000
+TOLD_KEYS = 1_000_000
 BLOCK = 256
 SHORT_LIST = 64
 BITMAP_WORDS = 8
@@ -119,7 +120,7 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         ]
     )
 
-    def rows_of(kind, token, at, keys, frag) -> list[dict]:
+    def rows_of(kind, token, at, keys, lengths, frag) -> list[dict]:
         """A row for each run of equal ``frag`` (ascending)."""
         out = []
         cuts = np.flatnonzero(np.diff(frag)) + 1
@@ -130,11 +131,12 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             if at is not None:
                 used, local = np.unique(at[lo:hi], return_inverse=True)
                 row["keys"] = [keys[i] for i in used]
+                row["sizes"] = [lengths[i] for i in used]
                 row["at"] = local.astype("<u2").tobytes()
             out.append(row)
         return out
 
-    def flush(ids, keys, sizes, sets) -> pa.RecordBatch:
+    def flush(ids, keys, sizes, sets, told) -> pa.RecordBatch:
         salt = int.from_bytes(keys[0][:6], "little") % fragments
         out = [
             {
@@ -146,10 +148,14 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             }
             for i in range(0, len(ids), 1024)
         ]
-        distinct = list({k: i for i, k in enumerate(keys)}.values())
+        # Sets that an earlier batch of this task has cut stand for these too.
+        distinct = [i for k, i in {k: i for i, k in enumerate(keys)}.items() if k not in told]
         names = [keys[i] for i in distinct]
         lengths = [len(sets[i]) for i in distinct]
-        token = np.concatenate([sets[i] for i in distinct])
+        token = np.concatenate([np.empty(0, np.uint64), *[sets[i] for i in distinct]])
+        if len(told) + len(names) > TOLD_KEYS:
+            told.clear()
+        told.update(names)
         at = np.repeat(np.arange(len(distinct), dtype=np.int64), lengths)
         order = np.argsort(token, kind="stable")
         token, at = token[order], at[order]
@@ -157,19 +163,19 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             first = np.r_[True, token[1:] != token[:-1]]
             alone = first & np.r_[first[1:], True]
             frag = _fragment_of(token, fragments).astype(np.int64)
-            out += rows_of(OPEN, token[alone], at[alone], names, frag[alone])
+            out += rows_of(OPEN, token[alone], at[alone], names, lengths, frag[alone])
             seen = first & ~alone
-            out += rows_of(SEEN, token[seen], None, names, frag[seen])
+            out += rows_of(SEEN, token[seen], None, names, lengths, frag[seen])
             shared = np.flatnonzero(~alone)
             shared = shared[np.argsort(at[shared], kind="stable")]
             lot = (salt + at[shared] // 1024) % fragments
             back = np.argsort(lot, kind="stable")
             shared, lot = shared[back], lot[back]
-            out += rows_of(SHARED, token[shared], at[shared], names, lot)
+            out += rows_of(SHARED, token[shared], at[shared], names, lengths, lot)
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, told = WordHashes(), set()
         ids, keys, sizes, sets, held = [], [], [], [], 0
         for batch in batches:
             batch_ids = batch.column(0).to_pylist()
@@ -184,16 +190,18 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     sets.append(tokens)
                     held += len(tokens)
                     if held >= BATCH_TOKENS or len(ids) >= 60_000:
-                        yield flush(ids, keys, sizes, sets)
+                        yield flush(ids, keys, sizes, sets, told)
                         ids, keys, sizes, sets, held = [], [], [], [], 0
         if ids:
-            yield flush(ids, keys, sizes, sets)
+            yield flush(ids, keys, sizes, sets, told)
 
     return cut
 
 
-def _by_key(tokens: np.ndarray, codes: np.ndarray, names: pa.Array) -> list[pa.Table]:
-    """One row for each key with its tokens."""
+def _by_key(
+    tokens: np.ndarray, codes: np.ndarray, names: pa.Array, sizes: np.ndarray
+) -> list[pa.Table]:
+    """One row for each key with its tokens and the size of its set."""
     if not len(tokens):
         return []
     order = np.argsort(codes, kind="stable")
@@ -206,7 +214,7 @@ def _by_key(tokens: np.ndarray, codes: np.ndarray, names: pa.Array) -> list[pa.T
                 "is_doc": pa.array(np.zeros(rows, dtype=bool)),
                 "id": pa.nulls(rows, pa.int64()),
                 "key": names.take(pa.array(codes[cuts])),
-                "n": pa.nulls(rows, pa.int32()),
+                "n": pa.array(sizes[codes[cuts]], pa.int32()),
                 "toks": pa.ListArray.from_arrays(
                     pa.array(np.r_[cuts, len(tokens)], pa.int32()),
                     pa.array(tokens.astype(np.int64)),
@@ -216,18 +224,20 @@ def _by_key(tokens: np.ndarray, codes: np.ndarray, names: pa.Array) -> list[pa.T
     ]
 
 
-def _gathered(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Tokens, codes of their documents, names of the codes."""
+def _gathered(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Tokens, codes of their documents, names of the codes and sizes of their sets."""
     keys = part.column("keys").combine_chunks()
     names = keys.flatten().dictionary_encode()
     code = names.indices.to_numpy(zero_copy_only=False)
+    sizes = np.zeros(len(names.dictionary), dtype=np.int32)
+    sizes[code] = part.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     offsets = np.r_[0, np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False))]
     tokens = [_unpack(t) for t in part.column("toks").to_pylist()]
     codes = [
         code[offsets[i] + np.frombuffer(at, dtype="<u2")]
         for i, at in enumerate(part.column("at").to_pylist())
     ]
-    return np.concatenate(tokens), np.concatenate(codes), names.dictionary
+    return np.concatenate(tokens), np.concatenate(codes), names.dictionary, sizes
 
 
 def _fragment(table: pa.Table) -> pa.Table:
@@ -236,7 +246,7 @@ def _fragment(table: pa.Table) -> pa.Table:
     out = []
     part = table.filter(pa.array(kinds == OPEN))
     if part.num_rows:
-        tokens, codes, names = _gathered(part)
+        tokens, codes, names, sizes = _gathered(part)
         seen = table.filter(pa.array(kinds == SEEN)).column("toks").to_pylist()
         order = np.argsort(tokens, kind="stable")
         tokens, codes = tokens[order], codes[order]
@@ -246,7 +256,7 @@ def _fragment(table: pa.Table) -> pa.Table:
             known = np.unique(np.concatenate([_unpack(t) for t in seen]))
             at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
             shared |= known[at] == tokens
-        out += _by_key(tokens[shared], codes[shared], names)
+        out += _by_key(tokens[shared], codes[shared], names, sizes)
     part = table.filter(pa.array(kinds == SHARED))
     if part.num_rows:
         out += _by_key(*_gathered(part))
@@ -330,14 +340,16 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     return materialize(pieces.groupBy("frag").applyInArrow(_fragment, SEGMENTS), "segments")
 
 
-def _candidates(segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _candidates(segments: DataFrame, percent: int) -> DataFrame:
     """``key, n, c, centre, toks``: sets that can have a partner, with their shared tokens from the
     rarest to the most common, and how common they are on average."""
-    pieces = segments.filter("NOT is_doc")
-    counts = pieces.groupBy("key").agg(F.sum(F.size("toks")).alias("c"))
-    alive = sets.join(counts, "key").filter(F.col("c") * 100 >= F.col("n") * percent)
-    tokens = pieces.select("key", "toks").join(alive.select("key", "n"), "key")
-    tokens = tokens.select("key", "n", F.explode("toks").alias("tok")).distinct()
+    # The pieces of a set meet once; there is at most one from each fragment.
+    whole = Window.partitionBy("key")
+    pieces = segments.filter("NOT is_doc").select(
+        "key", "n", "toks", F.sum(F.size("toks")).over(whole).alias("c")
+    )
+    alive = pieces.filter(F.col("c") * 100 >= F.col("n") * percent)
+    tokens = alive.select("key", "n", F.explode("toks").alias("tok")).distinct()
     tokens = materialize(tokens, "tokens")
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(df, "tok").groupBy("key").agg(
@@ -529,7 +541,7 @@ def near_duplicates(
     sets = listed.filter("n > 0").groupBy("key").agg(
         F.min("id").alias("rep"), F.max("n").alias("n")
     )
-    kept = _candidates(segments, sets.select("key", "n"), percent)
+    kept = _candidates(segments, percent)
     found = components(_links(kept, percent, rounds))
     merged = sets.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left")
     merged = merged.withColumn("root", F.coalesce("root", "key"))
