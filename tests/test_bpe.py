@@ -88,18 +88,21 @@ def counts_frame(spark, words):
     return spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_training_equals_one_merge_at_a_time(spark, seed):
+@pytest.mark.parametrize(("seed", "fragments"), [(0, 12), (1, 40), (2, 10_000)])
+def test_training_equals_one_merge_at_a_time(spark, monkeypatch, seed, fragments):
+    monkeypatch.setattr(bpe, "FIRST_HOT", 6)
+    monkeypatch.setattr(bpe, "LINEAGE_ROUNDS", 3)
     generator = random.Random(seed)
     words = {}
     while len(words) < 120:
         word = "".join(generator.choices("aab b é", k=generator.randint(1, 9)))
         words[word] = generator.choice([1, 2, 2, 3, 5, 8])
     words |= {"aaaaaaa": 9, "aaaa": 3, "abababa": 4}
-    model = bpe.train_bpe(counts_frame(spark, words), FIRST_MERGE_ID + 40)
+    size = FIRST_MERGE_ID + (16 if fragments < 20 else 40)
+    model = bpe.train_bpe(counts_frame(spark, words), size, fragments=fragments)
     expected = one_by_one(words, 200)
     assert model.merges == expected[: len(model.merges)]
-    assert model.vocab_size() == FIRST_MERGE_ID + 40 or len(model.merges) == len(expected)
+    assert model.vocab_size() == size or len(model.merges) == len(expected)
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +124,60 @@ def test_training_equals_the_library(corpus, trained):
     assert made.get_vocab_size() == trained.vocab_size() == 500
 
 
+def test_thousands_of_merges_equal_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = bpe.pretoken_counts(docs, "text")
+    model = bpe.train_bpe(counts, FIRST_MERGE_ID + 2500)
+    texts = [r.text for r in docs.select("text").collect()]
+    assert our_merges(model) == library_merges(library(texts, FIRST_MERGE_ID + 2500))
+    assert len(model.merges) >= 2500 and model.prefix(500).vocab_size() == 500
+    assert model.prefix(500).merges == model.merges[:237]
+
+
+def test_merges_into_a_known_token(spark):
+    # "abc" comes from ab + c and from a + bc, so the same bytes are merged twice into one token.
+    words = {"abc": 9, "xbc": 30, "abd": 20, "bcabcab": 4, "aabbcc": 3, "abcabc": 5}
+    model = bpe.train_bpe(counts_frame(spark, words), FIRST_MERGE_ID + 30)
+    assert model.merges == one_by_one(words, 200)[: len(model.merges)]
+
+
+def test_long_and_odd_words(spark):
+    words = {"a" * 5001: 2, "a" * 5000: 3, "é" * 300: 2, "x": 50, "xy": 1}
+    model = bpe.train_bpe(counts_frame(spark, words), FIRST_MERGE_ID + 12)
+    assert model.merges == one_by_one(words, 12)
+    assert bpe.train_bpe(counts_frame(spark, words).limit(0), 300).merges == []
+
+
+def test_encoding_by_dictionary_equals_the_narrow_form(spark, corpus, trained):
+    _, texts = corpus
+    extra = ["x  <|endoftext|> y", "", " ", "नेपाल e\u0301", "ab " * 4000, None]
+    rows = list(enumerate(texts + extra))
+    df = spark.createDataFrame(rows, "i int, text string").repartition(4)
+    for chunk, boundaries, specials in [(1_000_000, True, True), (50, False, False)]:
+        options = {"chunk_chars": chunk, "boundaries": boundaries, "specials": specials}
+        narrow = encode.encode_documents(df, "text", trained, **options)
+        wide = encode.encode_by_dictionary(df, ["i"], "text", trained, **options)
+        want = {r.i: r.tokens for r in narrow.collect()}
+        got = {r.i: r.tokens for r in wide.collect()}
+        assert len(got) == len(rows) and got == want
+    words = encode.placed_words(df, ["i"], "text")
+    sizes = encode.word_dictionary(words, trained).agg(F.count("*"), F.count_distinct("word")).first()
+    assert sizes[0] == sizes[1]
+
+
+def test_stored_model_is_trained_once(spark, trained, tmp_path):
+    calls = []
+
+    def train():
+        calls.append(1)
+        return trained
+
+    path = str(tmp_path / "model")
+    for _ in range(2):
+        assert tokenizer.stored_or_trained(spark, path, train).merges == trained.merges
+    assert calls == [1]
+
+
 def test_encoding_equals_the_library(spark, corpus, trained):
     docs, texts = corpus
     made = library(texts, 500)

@@ -42,6 +42,17 @@ class BpeModel:
     def vocab_size(self) -> int:
         return len(self.token_bytes())
 
+    def prefix(self, vocab_size: int) -> BpeModel:
+        """The model of a smaller vocabulary: training it on the same words takes the same first merges."""
+        merges, size = [], FIRST_MERGE_ID
+        for merge in self.merges:
+            if merge[2] == size:
+                if size == vocab_size:
+                    break
+                size += 1
+            merges.append(merge)
+        return BpeModel(merges)
+
     def sha256(self) -> str:
         """Identity of the tokenizer, used in manifests and fingerprints."""
         payload = json.dumps([m[:3] for m in self.merges]).encode()

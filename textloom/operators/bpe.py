@@ -1,15 +1,33 @@
 """Training of a byte-level BPE vocabulary on a distributed word table.
 
 The corpus is read once, to count its distinct pre-tokens. From then on the state is that word
-table: a word is a string with one character per token (token ``i`` is the code point
-``SYMBOL_BASE + i``), so counting pairs is a substring explode with map-side sums, and applying a
-merge is the built-in ``replace``. Only the best few pairs of a round reach the driver.
+table. Merges are learned in rounds of many merges each:
+
+1. Adjacent pairs are counted over all words; the best ``hot`` pairs come to the driver.
+2. Words fall into fragments: the longest runs of symbols that hot pairs link. Equal fragments are
+   counted together, and these counts come to the driver, which learns merges from them one at a time.
+3. It goes on while the best pair it sees ranks no lower than the last hot pair did, and then the
+   fragments of all words are replaced by what they became.
+
+That gives exactly the list of one-at-a-time merging over the whole corpus. A pair made in a round
+either lies in a fragment, so its count is known, or goes over a link that is not hot; it then counts
+no more than that link does, and ranks after the last hot pair (on equal counts the smaller ids go
+first, and new ids are the largest). Only a merge whose text already names a token could raise the
+count of such a pair, so a round ends with it.
+
+The number of fragments is what the driver holds. It is bounded by ``FRAGMENTS``: with more of them a
+round is begun again with half as many hot pairs (one hot pair has one fragment, or, of two equal
+symbols, one for each length of a run). The bound sets the number of rounds, never the result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import heapq
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +39,16 @@ from textloom.session import materialize
 # Plane 1 and up: clear of surrogates, and code point order equals id order.
 SYMBOL_BASE = 0x10000
 SYMBOL_BYTES = 4
-# Pairs looked at in one round, and rounds between two rewrites of the word table.
-ROUND_PAIRS = 500
-LINEAGE_ROUNDS = 32
+# Hot pairs of the first round and of any, fragments that the driver takes, rounds between two rewrites
+# of the word table, and entries that a task sums up before it passes them on.
+FIRST_HOT, MOST_HOT = 256, 16_384
+FRAGMENTS = 200_000
+LINEAGE_ROUNDS = 8
+TASK_PAIRS = 4_000_000
+ID_BITS = 16
+
+PACKED = "w binary, n bigint"
+Batches = Iterator[pa.RecordBatch]
 
 
 def symbol(token_id: int) -> str:
@@ -84,90 +109,296 @@ def symbol_id(c: Column) -> Column:
     return (F.ascii(c) - SYMBOL_BASE).cast("int")
 
 
-@dataclass
-class _Round:
-    merges: list[tuple[int, int, int, int]]
-    finished: bool
+def merge_ids(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Ids of one word: always apply the earliest learned merge that is present."""
+    while ranks and len(ids) > 1:
+        best = min((ranks[pair] for pair in zip(ids, ids[1:]) if pair in ranks), default=None)
+        if best is None:
+            break
+        rank, new = best
+        merged, i = [], 0
+        while i < len(ids):
+            if i + 1 < len(ids) and ranks.get((ids[i], ids[i + 1]), (-1, 0))[0] == rank:
+                merged.append(new)
+                i += 2
+            else:
+                merged.append(ids[i])
+                i += 1
+        ids = merged
+    return ids
+
+
+def packed_words(counts: DataFrame) -> DataFrame:
+    """``w, n``: words that can be merged, as packed ids of their bytes."""
+    table = np.array([ID_OF_BYTE[b] for b in range(256)], dtype="<u2")
+
+    def pack(batches: Batches) -> Batches:
+        for batch in batches:
+            data, ends = _flat(batch.column(0), np.uint8)
+            yield _word_batch(table[data], ends, batch.column(1))
+
+    longer = counts.filter(F.octet_length("word") > 1)
+    return longer.select(F.col("word").cast("binary").alias("w"), "n").mapInArrow(pack, PACKED)
+
+
+def _flat(words: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of binary rows, and where each row begins and the last ends."""
+    cuts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    held = words.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8)[cuts[0] : cuts[-1]] if held else np.empty(0, np.uint8)
+    width = np.dtype(kind).itemsize
+    return data.view(kind), (cuts.astype(np.int64) - cuts[0]) // width
+
+
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of packed ids, cut at ``ends``."""
+    cuts = (ends * 2).astype(np.int32)
+    data = np.ascontiguousarray(ids.astype("<u2"))
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data.tobytes())]
+    )
+
+
+def _word_batch(ids: np.ndarray, ends: np.ndarray, n: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_binary(ids, ends), n], names=["w", "n"])
+
+
+def _linked(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all neighbours, and which of them stand in one word."""
+    wide = ids.astype(np.int64)
+    keys = (wide[:-1] << ID_BITS) | wide[1:]
+    same = np.ones(len(keys), dtype=bool)
+    inner = ends[1:-1]
+    same[inner[(inner > 0) & (inner < len(ids))] - 1] = False
+    return keys, same
+
+
+def _sum_pairs(batches: Batches) -> Batches:
+    """Weighted counts of the pairs of one task's words."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def summed() -> pa.Table:
+        table = pa.concat_tables(held).group_by("pair").aggregate([("n", "sum")])
+        return table.rename_columns(["pair", "n"])
+
+    for batch in batches:
+        ids, ends = _flat(batch.column(0), np.uint16)
+        if not len(ids):
+            continue
+        keys, same = _linked(ids, ends)
+        weights = np.repeat(batch.column(1).to_numpy(), np.diff(ends))[:-1]
+        held.append(pa.table({"pair": keys[same], "n": weights[same]}))
+        size += held[-1].num_rows
+        if size > TASK_PAIRS:
+            held = [summed()]
+            size = held[0].num_rows
+            if size > TASK_PAIRS // 2:
+                yield from held[0].to_batches()
+                held, size = [], 0
+    if held:
+        yield from summed().to_batches()
 
 
-def _choose(
-    ranked: list[tuple[int, int, int]],
+def _hot_pieces(ids: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words cut wherever two neighbours are no hot pair; places where pieces begin."""
+    keys, same = _linked(ids, ends)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    cuts = np.flatnonzero(np.r_[True, ~(same & (hot[at] == keys))])
+    return _binary(ids, np.r_[cuts, len(ids)]), cuts
+
+
+def _sum_fragments(hot: np.ndarray) -> Callable[[Batches], Batches]:
+    """Fragments of more than one symbol, counted for each batch."""
+
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            ids, ends = _flat(batch.column(0), np.uint16)
+            if not len(ids):
+                continue
+            pieces, cuts = _hot_pieces(ids, ends, hot)
+            word = np.searchsorted(ends, cuts, side="right") - 1
+            long = np.diff(np.r_[cuts, len(ids)]) > 1
+            table = pa.table(
+                {"w": pieces.filter(pa.array(long)), "n": batch.column(1).to_numpy()[word[long]]}
+            )
+            summed = table.group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
+            yield from summed.to_batches()
+
+    return count
+
+
+def _replace_fragments(
+    hot: np.ndarray, merges: list[tuple[int, int, int, int]]
+) -> Callable[[Batches], Batches]:
+    """Words after the merges of a round; words of one symbol are done and left out."""
+    ranks = {(left, right): (rank, new) for rank, (left, right, new, _) in enumerate(merges)}
+
+    def replace(batches: Batches) -> Batches:
+        known: dict[bytes, bytes] = {}
+
+        def became(piece: bytes) -> bytes:
+            if len(piece) == 2:
+                return piece
+            found = known.get(piece)
+            if found is None:
+                ids = merge_ids(np.frombuffer(piece, dtype="<u2").tolist(), ranks)
+                found = known[piece] = np.array(ids, dtype="<u2").tobytes()
+            return found
+
+        for batch in batches:
+            ids, ends = _flat(batch.column(0), np.uint16)
+            if not len(ids):
+                continue
+            pieces, cuts = _hot_pieces(ids, ends, hot)
+            coded = pieces.dictionary_encode()
+            parts = pa.array([became(p) for p in coded.dictionary.to_pylist()], pa.binary())
+            joined, at = _flat(parts.take(coded.indices), np.uint16)
+            ends = at[np.searchsorted(cuts, ends)]
+            longer = np.diff(ends) > 1
+            words = _binary(joined, ends).filter(pa.array(longer))
+            yield pa.RecordBatch.from_arrays(
+                [words, batch.column(1).filter(pa.array(longer))], names=["w", "n"]
+            )
+
+    return replace
+
+
+class _Learner:
+    """One-at-a-time merging over counted fragments."""
+
+    def __init__(self, fragments: list[tuple[list[int], int]]):
+        self.fragments = fragments
+        self.counts: dict[tuple[int, int], int] = defaultdict(int)
+        self.places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i, (ids, n) in enumerate(fragments):
+            for pair in zip(ids, ids[1:]):
+                self.counts[pair] += n
+                self.places[pair].add(i)
+        self.heap = [(-n, *pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def best(self) -> tuple[int, int, int] | None:
+        """``-count, left, right`` of the pair that goes next."""
+        while self.heap:
+            n, left, right = self.heap[0]
+            if -n == self.counts.get((left, right), 0) and n:
+                return self.heap[0]
+            heapq.heappop(self.heap)
+        return None
+
+    def merge(self, left: int, right: int, new: int) -> None:
+        changed = set()
+        for i in self.places.pop((left, right), ()):
+            ids, n = self.fragments[i]
+            merged, k = [], 0
+            while k < len(ids):
+                if k + 1 < len(ids) and ids[k] == left and ids[k + 1] == right:
+                    merged.append(new)
+                    k += 2
+                else:
+                    merged.append(ids[k])
+                    k += 1
+            for pair in zip(ids, ids[1:]):
+                self.counts[pair] -= n
+                changed.add(pair)
+            for pair in zip(merged, merged[1:]):
+                self.counts[pair] += n
+                self.places[pair].add(i)
+                changed.add(pair)
+            self.fragments[i] = (merged, n)
+        for pair in changed:
+            if self.counts[pair]:
+                heapq.heappush(self.heap, (-self.counts[pair], *pair))
+            else:
+                del self.counts[pair]
+                self.places.pop(pair, None)
+
+
+def _learn(
+    learner: _Learner,
+    last_hot: tuple[int, int, int] | None,
     table: list[bytes],
     ids: dict[bytes, int],
     room: int,
     min_frequency: int,
-) -> _Round:
-    """Longest prefix of the ranked pairs that one-at-a-time merging would also take.
-
-    Two chosen pairs must not be able to touch in a word, so a pair that starts where a chosen one
-    ends, or ends where one starts, stops the round. Every pair born from a chosen merge then
-    counts no more than a pair at or after the stop, and on equal counts the older id goes first.
-    A pair of equal halves, or one whose text is already a token, is merged alone.
-    """
-    chosen: list[tuple[int, int, int, int]] = []
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    for left, right, n in ranked:
-        if n < min_frequency or room <= 0:
-            return _Round(chosen, not chosen or room <= 0)
+) -> list[tuple[int, int, int, int]]:
+    """Merges of one round; ``last_hot`` is None where every pair of the corpus is hot."""
+    merges = []
+    while room > 0:
+        best = learner.best()
+        if best is None or -best[0] < min_frequency or (last_hot is not None and best > last_hot):
+            break
+        n, left, right = best
         text = table[left] + table[right]
-        alone = left == right or text in ids
-        if left in rights or right in lefts or (alone and chosen):
-            return _Round(chosen, False)
-        new = ids.get(text)
-        if new is None:
-            new = len(table)
+        known = text in ids
+        new = ids.setdefault(text, len(table))
+        if not known:
             table.append(text)
-            ids[text] = new
             room -= 1
-        chosen.append((left, right, new, n))
-        lefts.add(left)
-        rights.add(right)
-        if alone:
-            return _Round(chosen, room <= 0)
-    return _Round(chosen, room <= 0 or not chosen)
+        merges.append((left, right, new, -n))
+        learner.merge(left, right, new)
+        if known:
+            break
+    return merges
 
 
 def train_bpe(
-    counts: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2
+    counts: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, fragments: int = FRAGMENTS
 ) -> BpeModel:
     """Learn merges from ``word, n`` until the vocabulary has ``vocab_size`` entries.
 
-    Pairs are taken by count, ties by smaller left and then right id.
+    Pairs are taken by count, ties by smaller left and then right id. ``fragments`` bounds what the
+    driver holds; see the head of this module.
     """
     if not FIRST_MERGE_ID <= vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocabulary size must be {FIRST_MERGE_ID} to {MAX_VOCAB}")
-    words = materialize(word_table(counts), "words")
+    spark = counts.sparkSession
+    parts = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    words = materialize(packed_words(counts).repartition(parts), "words")
     model = BpeModel()
     table = model.token_bytes()
     ids = {text: i for i, text in enumerate(table)}
-    rounds = 0
-    cached: DataFrame | None = None
-    retired: list[DataFrame] = []
+    hot, rounds = FIRST_HOT, 0
+    cached: list[DataFrame] = []
     while len(table) < vocab_size:
-        # The bytes of a pair sort like its two ids.
-        ranked = pair_counts(words).orderBy(F.desc("n"), "pair").limit(ROUND_PAIRS).collect()
-        while retired:
-            retired.pop().unpersist()
-        pairs = [(*(ord(c) - SYMBOL_BASE for c in bytes(r.pair).decode()), r.n) for r in ranked]
-        step = _choose(pairs, table, ids, vocab_size - len(table), min_frequency)
-        model.merges.extend(step.merges)
-        if step.finished or not step.merges:
+        pairs = words.mapInArrow(_sum_pairs, "pair bigint, n bigint").groupBy("pair")
+        ranked = (
+            pairs.agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(hot + 1).collect()
+        )
+        for frame in cached[:-1]:
+            frame.unpersist()
+        del cached[:-1]
+        if not ranked or ranked[0].n < min_frequency:
             break
-        s = F.col("s")
-        for left, right, new, _ in step.merges:
-            s = F.replace(s, F.lit(symbol(left) + symbol(right)), F.lit(symbol(new)))
-        merged = words.select(s.alias("s"), "n")
+        while True:
+            chosen = ranked[:hot]
+            keys = np.array(sorted(r.pair for r in chosen), dtype=np.int64)
+            found = words.mapInArrow(_sum_fragments(keys), PACKED).groupBy("w")
+            rows = found.agg(F.sum("n").alias("n")).limit(fragments + 1).collect()
+            if len(rows) <= fragments or hot == 1:
+                break
+            hot = max(1, hot // 2)
+        last = chosen[-1]
+        bound = (-last.n, last.pair >> ID_BITS, last.pair & ((1 << ID_BITS) - 1))
+        learner = _Learner([(np.frombuffer(r.w, dtype="<u2").tolist(), r.n) for r in rows])
+        everything = len(ranked) == len(chosen)
+        merges = _learn(
+            learner, None if everything else bound, table, ids, vocab_size - len(table), min_frequency
+        )
+        model.merges.extend(merges)
+        if len(rows) < fragments // 2:
+            hot = min(MOST_HOT, hot * 2)
         rounds += 1
+        words = words.mapInArrow(_replace_fragments(keys, merges), PACKED)
         if rounds % LINEAGE_ROUNDS == 0:
-            merged, kept = materialize(merged.filter(F.length("s") > 1), "words"), None
+            words = materialize(words, "words")
         else:
-            # Filled by the next count, which reads every word anyway; a lost block is rebuilt from
-            # the last rewrite.
-            kept = merged = merged.persist()
-        previous, cached, words = cached, kept, merged
-        if previous is not None:
-            retired.append(previous)
-    for frame in [*retired, *([cached] if cached is not None else [])]:
+            # Filled by the next count; a lost block is rebuilt from the last rewrite.
+            words = words.persist()
+            cached.append(words)
+    for frame in cached:
         frame.unpersist()
     return model

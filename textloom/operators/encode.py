@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from textloom.functions.text import SPECIAL_TOKENS, nfc, nfc_chunks, pretokens
-from textloom.functions.tokens import count_id
+from textloom.functions.tokens import TOKEN_BYTES, count_id
 from textloom.functions.vocabulary import BOS_ID, EOS_ID, ID_OF_BYTE, UNKNOWN_ID, BpeModel
+from textloom.operators.bpe import merge_ids
+from textloom.session import materialize
 
 # Words remembered by one task; the memory is emptied when it is full.
 CACHE_WORDS = 500_000
@@ -20,25 +22,8 @@ MAX_CHUNK_CHARS = 1_000_000
 
 
 def merge_word(word: bytes, ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Ids of one pre-token: always apply the earliest learned merge that is present."""
-    ids = [ID_OF_BYTE[b] for b in word]
-    while ranks and len(ids) > 1:
-        best = min(
-            (ranks[pair] for pair in zip(ids, ids[1:]) if pair in ranks), default=None
-        )
-        if best is None:
-            break
-        rank, new = best
-        merged, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and ranks.get((ids[i], ids[i + 1]), (-1, 0))[0] == rank:
-                merged.append(new)
-                i += 2
-            else:
-                merged.append(ids[i])
-                i += 1
-        ids = merged
-    return ids
+    """Ids of one pre-token."""
+    return merge_ids([ID_OF_BYTE[b] for b in word], ranks)
 
 
 def _joined(parts: pa.Array, which: pa.Array, ends: np.ndarray, like: pa.Array) -> pa.Array:
@@ -103,17 +88,75 @@ def encode_text(
     special token in the text becomes its id when ``specials`` is set. ``boundaries`` adds the
     begin and end ids of a document.
     """
+    packed = _piece_encoder(model, specials)(words_of(text, specials, chunk_chars))
+    if not boundaries:
+        return packed
+    return F.concat(_id_bytes(BOS_ID), packed, _id_bytes(EOS_ID))
+
+
+def words_of(text: Column, specials: bool = True, chunk_chars: int = MAX_CHUNK_CHARS) -> Column:
+    """Words of the normalized text in order; words do not reach over slices of a long text."""
+
     def pieces(t: Column) -> Column:
         return pretokens(t, specials)
 
     long = F.length(text) > chunk_chars
-    words = F.when(
+    return F.when(
         long, F.flatten(F.transform(nfc_chunks(F.when(long, text), chunk_chars), pieces))
     ).otherwise(pieces(nfc(text)))
-    packed = _piece_encoder(model, specials)(words)
-    if not boundaries:
-        return packed
-    return F.concat(_id_bytes(BOS_ID), packed, _id_bytes(EOS_ID))
+
+
+def word_dictionary(words: DataFrame, model: BpeModel, specials: bool = True) -> DataFrame:
+    """``word, n_tokens, packed`` for every distinct ``word``: each is encoded once in the corpus.
+
+    ``packed`` is hexadecimal text, which joins into longer sequences as it is.
+    """
+    packed = _piece_encoder(model, specials)(F.array("word"))
+    distinct = words.filter(F.col("word").isNotNull()).select("word").distinct()
+    coded = distinct.select("word", F.hex(packed).alias("packed"))
+    return coded.withColumn("n_tokens", (F.length("packed") / (2 * TOKEN_BYTES)).cast("bigint"))
+
+
+def placed_words(
+    df: DataFrame,
+    key: list[str],
+    text: str,
+    specials: bool = True,
+    chunk_chars: int = MAX_CHUNK_CHARS,
+) -> DataFrame:
+    """``key, pos, word`` for every word of every text; a text without words has one row without one."""
+    return df.select(*key, F.posexplode_outer(words_of(F.col(text), specials, chunk_chars)).alias("pos", "word"))
+
+
+def encode_by_dictionary(
+    df: DataFrame,
+    key: list[str],
+    text: str,
+    model: BpeModel,
+    out: str = "tokens",
+    specials: bool = True,
+    boundaries: bool = True,
+    chunk_chars: int = MAX_CHUNK_CHARS,
+) -> DataFrame:
+    """``key, <out>``: packed ids as :func:`encode_documents` makes them, from a dictionary of all words.
+
+    Every distinct word of the corpus is encoded once and joined back by position, so that Python sees
+    the vocabulary of the corpus and not its texts; the price is a shuffle of all words. ``key`` must
+    tell rows apart. A frequent word is a large group of the join, which adaptive execution splits. A
+    null text has null ids.
+    """
+    placed = materialize(
+        placed_words(df.withColumn("_none", F.col(text).isNull()), [*key, "_none"], text, specials, chunk_chars),
+        "words",
+    )
+    dictionary = materialize(word_dictionary(placed, model, specials), "dictionary")
+    joined = placed.join(dictionary.drop("n_tokens"), "word", "left")
+    parts = F.collect_list(F.when(F.col("packed").isNotNull(), F.struct("pos", "packed")))
+    rows = joined.groupBy(*key, "_none").agg(F.array_sort(parts).alias("_parts"))
+    packed = F.unhex(F.array_join(F.col("_parts.packed"), ""))
+    if boundaries:
+        packed = F.concat(_id_bytes(BOS_ID), packed, _id_bytes(EOS_ID))
+    return rows.select(*key, F.when(~F.col("_none"), packed).alias(out))
 
 
 def _id_bytes(token_id: int) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import cap_chars
+from textloom.functions.text import cap_chars, has_min_chars
 from textloom.functions.tokens import token_count
 from textloom.functions.vocabulary import BpeModel
 from textloom.operators.bpe import pretoken_counts, train_bpe
@@ -41,15 +43,25 @@ def train_tokenizer(
     row: str,
     text: str,
     vocab_size: int = 32_768,
-    max_documents: int = 500_000,
-    max_chars: int = 100_000,
+    max_documents: int | None = None,
+    max_chars: int | None = None,
     seed: int = 42,
     min_frequency: int = 2,
 ) -> TrainedTokenizer:
-    """Sample per shard, count words once, learn merges, and check the probes."""
+    """Count words once, learn merges, and check the probes.
+
+    All usable documents are read whole, unless ``max_documents`` asks for a sample of as many (the
+    same quota from every shard) or ``max_chars`` for their beginnings.
+    """
     spark = docs.sparkSession
-    sample = per_shard_quota(docs, shard, row, text, max_documents, seed)
-    sample = materialize(sample.select(shard, cap_chars(text, max_chars).alias(text)), "sample")
+    if max_documents is None:
+        sample = docs.filter(has_min_chars(text))
+    else:
+        sample = per_shard_quota(docs, shard, row, text, max_documents, seed)
+    whole = F.col(text) if max_chars is None else cap_chars(text, max_chars)
+    sample = sample.select(shard, whole.alias(text))
+    if max_documents is not None:
+        sample = materialize(sample, "sample")
     used = sample.agg(
         F.count("*").alias("documents"), F.count_distinct(shard).alias("shards")
     ).first()
@@ -67,7 +79,7 @@ def train_tokenizer(
 
 
 def store_tokenizer(trained: TrainedTokenizer, path: str) -> None:
-    """Merges, vocabulary, probes and metadata as four small tables."""
+    """Merges, vocabulary, probes and metadata as four small tables; the metadata come last."""
     spark = trained.metadata.sparkSession
     tables = {
         "merges": trained.model.merges_frame(spark),
@@ -79,10 +91,27 @@ def store_tokenizer(trained: TrainedTokenizer, path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def stored_or_trained(spark: SparkSession, path: str, train: Callable[[], BpeModel]) -> BpeModel:
+    """The model below ``path``; where there is none, it is trained, checked by its probes and stored."""
+    try:
+        return load_tokenizer(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    model = train()
+    probes = probe_report(spark, model)
+    require_roundtrip(probes)
+    metadata = spark.createDataFrame(
+        [(model.sha256(), model.vocab_size())], "tokenizer_sha256 string, vocab_size int"
+    )
+    store_tokenizer(TrainedTokenizer(model, probes.drop("roundtrip_ok"), metadata), path)
+    return model
+
+
 def load_tokenizer(spark: SparkSession, path: str) -> BpeModel:
     """The stored model; raises when it is not the one that was stored."""
-    model = BpeModel.from_frame(spark.read.parquet(f"{path}/merges"))
     expected = spark.read.parquet(f"{path}/metadata").first().tokenizer_sha256
+    model = BpeModel.from_frame(spark.read.parquet(f"{path}/merges"))
     if model.sha256() != expected:
         raise ValueError("stored merges do not match the recorded digest")
     return model

@@ -405,7 +405,7 @@ WITH {WORDS}, {SPELLED} SELECT l AS left_id, r AS right_id, n FROM {_pairs('spel
 
 MERGES = 64
 TRAINED = f"{WORDS}, {SPELLED}, {_merge_rounds(MERGES)}"
-ORACLES["bpe_train"] = f"WITH {TRAINED} " + " UNION ALL ".join(
+ORACLES["bpe_prefix"] = f"WITH {TRAINED} " + " UNION ALL ".join(
     f"SELECT {i}::INT AS rank, l AS left_id, r AS right_id, {263 + i}::INT AS new_id, n AS pair_count FROM best{i}"
     for i in range(MERGES)
 )
@@ -548,7 +548,7 @@ SELECT doc_id, length(nfc_normalize(text))::BIGINT AS chars, md5(nfc_normalize(t
 ORACLES["pretokenize"] = f"""
 WITH t AS (SELECT doc_id, {pretoken_list('text')} AS t FROM documents)
 SELECT doc_id, len(t)::BIGINT AS pretokens, md5(array_to_string(t, chr(1))) AS digest FROM t"""
-ORACLES["bpe_encode"] = f"""
+ORACLES["bpe_prefix_encode"] = f"""
 WITH {TRAINED}, ids AS (
   SELECT word, list_transform(string_split(trim(s), '  '), lambda x: x::INT) AS ids FROM spelled{MERGES}),
 pieces AS (
@@ -560,9 +560,10 @@ texts AS (
   FROM pieces JOIN ids USING (word) GROUP BY doc_id)
 SELECT doc_id, (coalesce(n, 0) + 2)::BIGINT AS n_tokens, md5('0000' || coalesce(hex, '') || '0100') AS digest
 FROM documents LEFT JOIN texts USING (doc_id)"""
+ORACLES["bpe_dictionary_encode"] = """
+SELECT doc_id, md5(nfc_normalize(text)) AS digest, length(nfc_normalize(text))::BIGINT AS chars FROM documents"""
 ORACLES["bpe_roundtrip"] = """
-SELECT source, count(*) AS documents, 0::BIGINT AS unknown_tokens, 0::BIGINT AS failures
-FROM documents GROUP BY source"""
+SELECT doc_id, md5(nfc_normalize(text)) AS digest, 0::BIGINT AS unknown_tokens, true AS same FROM documents"""
 ORACLES["text_stats"] = f"""
 SELECT doc_id, length(text)::BIGINT AS chars, octet_length(encode(text))::BIGINT AS utf8_bytes,
   len(regexp_extract_all(text, '[^{_STRIP}]+'))::BIGINT AS words FROM documents"""

@@ -23,10 +23,10 @@ from textloom.operators import (
     sampling,
     split,
 )
-from textloom.plans import posttrain, prepare
+from textloom.plans import posttrain, prepare, tokenizer
 from textloom.registry import frames
 from textloom.registry.frames import BLOCK, DOMAINS, FRACTION, documents
-from textloom.session import materialize, scratch_path
+from textloom.session import materialize, scratch_path, shared_dir
 from textloom.sources import corpus, sinks
 from textloom.sources import preference as preference_source
 from textloom.streaming.prepare import prepared_stream, run_available
@@ -35,7 +35,9 @@ from textloom.streaming.rollup import stream_interval_rollup as rolled_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-MERGES = 64
+VOCABULARY = 32_768
+# A small vocabulary, whose merges SQL can follow one by one.
+PREFIX = FIRST_MERGE_ID + 64
 SEED = 42
 ORDER_SEED = 7
 
@@ -402,22 +404,33 @@ def bpe_pair_counts(spark, sf):
     return bpe.pair_ids(bpe.pair_counts(words))
 
 
-def _trained(spark, sf, merges=MERGES):
-    counts = bpe.pretoken_counts(frames.spread_documents(spark, sf), "text")
-    return bpe.train_bpe(counts, FIRST_MERGE_ID + merges)
+def _train(spark, sf) -> BpeModel:
+    return bpe.train_bpe(bpe.pretoken_counts(frames.spread_documents(spark, sf), "text"), VOCABULARY)
+
+
+def _model(spark, sf) -> BpeModel:
+    """The full vocabulary of the documents, trained once for all queries that need it."""
+    files = corpus.file_listing(spark, os.path.join(sf, "documents.parquet"))
+    state = files.select(F.concat_ws(":", "path", "bytes", "modified").alias("f")).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list("f")), ","), 256).alias("state")
+    )
+    name = f"{VOCABULARY}-{state.first().state}"
+    path = os.path.join(shared_dir(spark), "textloom-models", name)
+    return tokenizer.stored_or_trained(spark, path, lambda: _train(spark, sf))
+
+
+def _merges(spark, model: BpeModel) -> DataFrame:
+    return model.merges_frame(spark).select("rank", "left_id", "right_id", "new_id", "pair_count")
 
 
 @query
 def bpe_train(spark, sf):
-    return _trained(spark, sf).merges_frame(spark)
+    return _merges(spark, _train(spark, sf))
 
 
-def _domain_tokens(spark, sf):
-    """Documents of the known domains with byte ids, written once."""
-    docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
-    docs = docs.filter("domain is not null")
-    encoded = encode.encode_documents(docs, "text", BpeModel(), boundaries=False)
-    return encoded.withColumn("n_tokens", token_count(F.col("tokens")))
+@query
+def bpe_prefix(spark, sf):
+    return _merges(spark, _model(spark, sf).prefix(PREFIX))
 
 
 @query
@@ -640,25 +653,43 @@ def pretokenize(spark, sf):
     )
 
 
-@query
-def bpe_encode(spark, sf):
-    encoded = encode.encode_documents(frames.spread_documents(spark, sf), "text", _trained(spark, sf))
-    return encoded.select(
+def _encoded(tokens: DataFrame) -> DataFrame:
+    return tokens.select(
         "doc_id",
         token_count(F.col("tokens")).alias("n_tokens"),
         F.md5(F.hex("tokens")).alias("digest"),
     )
 
 
+@query
+def bpe_encode(spark, sf):
+    return _encoded(encode.encode_documents(frames.spread_documents(spark, sf), "text", _model(spark, sf)))
+
+
+@query
+def bpe_prefix_encode(spark, sf):
+    small = _model(spark, sf).prefix(PREFIX)
+    return _encoded(encode.encode_documents(frames.spread_documents(spark, sf), "text", small))
+
+
+@query
+def bpe_dictionary_encode(spark, sf):
+    docs = frames.spread_documents(spark, sf).select("doc_id", "text")
+    model = _model(spark, sf)
+    tokens = encode.encode_by_dictionary(docs, ["doc_id"], "text", model, boundaries=False)
+    decoded = F.decode(encode.decode_tokens(F.col("tokens"), model), "UTF-8")
+    return tokens.select("doc_id", F.md5(decoded).alias("digest"), F.length(decoded).cast("bigint").alias("chars"))
+
+
 @query
 def bpe_roundtrip(spark, sf):
-    model = _trained(spark, sf)
-    encoded = encode.encode_documents(frames.spread_documents(spark, sf), "text", model, boundaries=False)
+    model = _model(spark, sf)
+    docs = frames.spread_documents(spark, sf)
+    encoded = encode.encode_documents(docs, "text", model, boundaries=False)
     checked = encode.roundtrip(encoded, "text", "tokens", model)
-    return checked.groupBy("source").agg(
-        F.count("*").alias("documents"),
-        F.sum("unknown_tokens").cast("bigint").alias("unknown_tokens"),
-        F.count_if(~F.col("roundtrip_ok")).alias("failures"),
+    decoded = F.decode(encode.decode_tokens(F.col("tokens"), model), "UTF-8")
+    return checked.select(
+        "doc_id", F.md5(decoded).alias("digest"), "unknown_tokens", F.col("roundtrip_ok").alias("same")
     )
 
 
