@@ -598,6 +598,20 @@ SELECT conv_id, turn, round(0.0 - (least(1.0, 5.0 * ((len(g) - len(list_distinct
 ORACLES["content_fingerprint"] = """
 SELECT doc_id, sha256(text) AS sha256, substr(sha256(source || '/' || doc_id), 1, 10) AS file_key FROM documents"""
 ORACLES["stream_prepare"] = f"""
-SELECT {SPLIT} AS split, source, count(*) AS documents, sum(doc_id)::BIGINT AS id_sum
+SELECT {SPLIT} AS split, source AS shard, count(*) AS documents,
+  sum(octet_length(encode(nfc_normalize(text))) + 2)::BIGINT AS tokens
 FROM documents WHERE {USABLE} GROUP BY 1, 2"""
+ORACLES["prepare_incremental"] = f"""
+WITH numbered AS (
+  SELECT *, {NUM} % 3 AS third, doc_id // 20 % 2 = 0 AS again,
+    {NUM} % 3 = 0 AND bool_or(doc_id // 20 % 2 = 0) OVER (PARTITION BY source) AS changed FROM documents),
+landed AS (
+  SELECT source, CASE WHEN third = 2 OR changed THEN 2 ELSE 1 END::INT AS wave, {USABLE} AS usable, {SPLIT} AS split,
+    octet_length(encode(nfc_normalize(text))) + 2 AS tokens
+  FROM numbered WHERE again OR NOT changed)
+SELECT source, wave, count(*) FILTER (usable) AS documents, count(*) FILTER (NOT usable) AS skipped_documents,
+  coalesce(sum(tokens) FILTER (usable AND split = 'train'), 0)::BIGINT AS train_tokens,
+  coalesce(sum(tokens) FILTER (usable AND split = 'validation'), 0)::BIGINT AS validation_tokens,
+  true AS passed, true AS unchanged_run_kept
+FROM landed GROUP BY source, wave"""
 ORACLES["stream_interval_rollup"] = ORACLES["interval_rollup"]

@@ -23,14 +23,14 @@ from textloom.operators import (
     sampling,
     split,
 )
-from textloom.plans import posttrain, prepare, tokenizer
+from textloom.plans import incremental, posttrain, prepare, tokenizer
 from textloom.registry import frames
 from textloom.registry.frames import BLOCK, DOMAINS, FRACTION, documents
 from textloom.session import materialize, scratch_path, shared_dir
 from textloom.sources import corpus, sinks
 from textloom.sources import preference as preference_source
-from textloom.streaming.prepare import prepared_stream, run_available
-from textloom.streaming.rollup import stream_interval_rollup as rolled_stream
+from textloom.streaming.prepare import prepare_available, prepared_stream, stream_counts
+from textloom.streaming.rollup import rolled_windows, rollup_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -760,25 +760,64 @@ def content_fingerprint(spark, sf):
 @query
 def stream_prepare(spark, sf):
     schema = "doc_id long, text string, source string"
-    stream = prepared_stream(spark, sf, schema, FRACTION, method="md5", pattern="documents*.parquet")
-    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
-    for _ in range(2):  # the second run finds nothing new
-        run_available(stream, out, checkpoint)
-    written = spark.read.schema(schema + ", split string").parquet(out)
-    return written.groupBy("split", "source").agg(
-        F.count("*").alias("documents"), F.sum("doc_id").cast("bigint").alias("id_sum")
+    docs = documents(spark, sf).select("doc_id", "text", "source")
+    landing, out, checkpoint = (scratch_path(spark, n) for n in ("landing", "stream", "stream-checkpoint"))
+    even = F.col("doc_id") % 2 == 0
+    # Files arrive in two waves; the run between them and the last one find nothing new.
+    for wave in (even, None, ~even, None):
+        if wave is not None:
+            docs.filter(wave).write.mode("append").parquet(landing)
+        stream = prepared_stream(
+            spark, landing, schema, FRACTION, BpeModel(), method="md5", files_per_batch=2
+        )
+        prepare_available(stream, out, checkpoint, "source", "doc_id")
+    return stream_counts(spark, out)
+
+
+@query
+def prepare_incremental(spark, sf):
+    root, out = scratch_path(spark, "raw"), scratch_path(spark, "incremental")
+    docs, n = documents(spark, sf).select("doc_id", "text", "source"), frames.source_number()
+
+    def land(part: DataFrame) -> incremental.Snapshot:
+        """One file for each source, in place of the one it had."""
+        writer = part.repartition("source").write.mode("overwrite").partitionBy("source")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(root)
+        return incremental.prepare_incremental(spark, root, BpeModel(), out, FRACTION, method="md5")
+
+    first = land(docs.filter(n % 3 != 2))
+    same = incremental.prepare_incremental(spark, root, BpeModel(), out, FRACTION, method="md5")
+    # A third of the files changes, a third is new.
+    land(docs.filter((n % 3 == 2) | ((n % 3 == 0) & F.expr("doc_id div 20 % 2 = 0"))))
+    last = incremental.compact(spark, out, dead_share=0.0)
+    audit = incremental.audit_snapshot(spark, out, BpeModel().sha256(), last.version)
+    passed = audit.agg(F.min(F.col("passed").cast("int"))).scalar()
+    # Files of the first build that did not change since have the same fingerprint there.
+    kept = first.builds.select("source", "source_bytes", "source_mtime").withColumn("_first", F.lit(True))
+    builds = last.builds.join(kept, ["source", "source_bytes", "source_mtime"], "left")
+    return builds.select(
+        F.regexp_extract("source", "source=([^/]*)/", 1).alias("source"),
+        F.when(F.col("_first"), 1).otherwise(2).alias("wave"),
+        "documents",
+        "skipped_documents",
+        "train_tokens",
+        "validation_tokens",
+        (passed == 1).alias("passed"),
+        F.lit(same.version == first.version).alias("unchanged_run_kept"),
     )
 
 
 @query
 def stream_interval_rollup(spark, sf):
-    log = (
-        spark.readStream.schema(frames.table(spark, sf, "events").select("event_id", "value", "ts").schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .parquet(sf)
-        .withColumn("step", F.col("event_id") + 1)
-    )
-    rolled = rolled_stream(log, "step", "value", "ts", 10, 65_536).select(
+    events = frames.table(spark, sf, "events").select("event_id", "value", "ts")
+    landing = scratch_path(spark, "log")
+    # The log in files without any order, a few of them a batch.
+    events.repartition(8).write.parquet(landing)
+    log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(landing)
+    log = log.withColumn("step", F.col("event_id") + 1)
+    out, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
+    rollup_available(log, out, checkpoint, "step", "value", "ts", 10)
+    return rolled_windows(spark, out, 10, 65_536).select(
         "step",
         "tokens",
         "steps",
@@ -786,6 +825,3 @@ def stream_interval_rollup(spark, sf):
         F.round("elapsed_seconds", 3).alias("elapsed_seconds"),
         F.round("tokens_per_second", 3).alias("tokens_per_second"),
     )
-    out, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
-    run_available(rolled, out, checkpoint, partition=None)
-    return spark.read.schema(rolled.schema).parquet(out)

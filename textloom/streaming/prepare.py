@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions.text import has_min_chars
+from textloom.functions.tokens import token_count
 from textloom.functions.vocabulary import BpeModel
 from textloom.operators.encode import encode_documents
 from textloom.operators.split import hash_split
+from textloom.streaming.sinks import read_batches, run_batches
+
+COUNTS = "shard string, split string, documents long, tokens long"
 
 
 def prepared_stream(
@@ -52,3 +56,47 @@ def run_available(
     query = (writer.partitionBy(partition) if partition else writer).start()
     query.awaitTermination()
     return query
+
+
+def prepare_available(
+    stream: DataFrame, output: str, checkpoint: str, shard: str, row: str
+) -> StreamingQuery:
+    """Process what has arrived: token rows and their manifest, a folder each for every micro-batch.
+
+    ``stream`` is a :func:`prepared_stream` with a model. A batch writes its tokens, counts what is
+    stored, and then writes its part of the manifest. Run again after a failure, it replaces both by
+    the same, so nothing is counted twice, and tokens without a manifest part are not counted at all.
+    """
+
+    def write(batch: DataFrame, name: str) -> None:
+        rows = batch.select(
+            F.col(shard).alias("shard"),
+            F.col(row).cast("bigint").alias("row"),
+            "split",
+            token_count(F.col("tokens")).alias("n_tokens"),
+            "tokens",
+        )
+        rows.write.mode("overwrite").parquet(f"{output}/tokens/batch={name}")
+        stored = batch.sparkSession.read.schema(rows.schema).parquet(f"{output}/tokens/batch={name}")
+        counts = stored.groupBy("shard", "split").agg(
+            F.count("*").alias("documents"), F.sum("n_tokens").cast("bigint").alias("tokens")
+        )
+        counts.write.mode("overwrite").parquet(f"{output}/manifest/batch={name}")
+
+    return run_batches(stream, checkpoint, write)
+
+
+def stream_counts(spark: SparkSession, output: str) -> DataFrame:
+    """``shard, split, documents, tokens`` over all batches that are done."""
+    parts = read_batches(spark, f"{output}/manifest", COUNTS)
+    return parts.groupBy("shard", "split").agg(
+        F.sum("documents").cast("bigint").alias("documents"),
+        F.sum("tokens").cast("bigint").alias("tokens"),
+    )
+
+
+def stream_tokens(spark: SparkSession, output: str) -> DataFrame:
+    """Token rows of all batches that are done."""
+    schema = "shard string, row long, split string, n_tokens long, tokens binary"
+    done = read_batches(spark, f"{output}/manifest", COUNTS).select("batch").distinct()
+    return read_batches(spark, f"{output}/tokens", schema).join(done, "batch", "left_semi")
