@@ -37,7 +37,8 @@ from textloom.llm.common import WordHashes, components, lower_words, slices
 from textloom.session import materialize
 
 TEXT_BYTES = 4 << 20
-DOCS_PER_FRAGMENT = 4096
+# A task holds one fragment: this many for each core, more where a fragment would have too many documents.
+FRAGMENTS_PER_CORE, DOCS_PER_FRAGMENT = 8, 8192
 BATCH_TOKENS = 2_000_000
 TOLD_KEYS = 1_000_000
 BLOCK = 256
@@ -335,7 +336,8 @@ def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 def _segments(docs: DataFrame, width: int) -> DataFrame:
     """Documents and their shared tokens, by fragment; written once."""
-    fragments = max(8, -(-docs.count() // DOCS_PER_FRAGMENT))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    fragments = max(FRAGMENTS_PER_CORE * cores, -(-docs.count() // DOCS_PER_FRAGMENT))
     pieces = docs.mapInArrow(_cut(width, fragments), PIECES)
     return materialize(pieces.groupBy("frag").applyInArrow(_fragment, SEGMENTS), "segments")
 
