@@ -24,6 +24,7 @@ table do not matter.
 from __future__ import annotations
 
 from itertools import accumulate
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -239,6 +240,79 @@ def audit(
 
 def lowered(docs: DataFrame) -> DataFrame:
     """:func:`audit` where texts lose their capitals A-Z in every fifth row by the CRC-32 of its id."""
-    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return audit(docs, {"text": F.translate("text", capitals, capitals.lower())}, fifth)
+    return audit(docs, {"text": F.translate("text", ascii_uppercase, ascii_lowercase)}, fifth)
+
+
+def _sql_tree(name: str, leaves: str, fan: int) -> str:
+    """Nodes of all trees over ``leaves`` (tree, pos, n, digest), and their runs as lists."""
+    return f"""
+{name}_nodes AS (
+  SELECT 0 AS level, tree, pos, n, digest FROM {leaves}
+  UNION ALL
+  SELECT level + 1, tree, pos // {fan}, (any_value(n) + {fan - 1}) // {fan}, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name}_nodes WHERE n > 1 GROUP BY level, tree, pos // {fan}
+),
+{name}_runs AS (
+  SELECT level, tree, pos // {fan} AS run, list(digest ORDER BY pos) AS digests
+  FROM {name}_nodes WHERE n > 1 GROUP BY ALL
+),
+{name}_roots AS (SELECT tree, digest FROM {name}_nodes WHERE n = 1)"""
+
+
+def _sql_folds(name: str, start: str, fan: int) -> str:
+    """Folds ``start`` (row, tree, pos, digest, proof) up to the root of its tree."""
+    return f"""
+{name}_steps AS (
+  SELECT row, 0 AS level, tree, pos, digest, proof FROM {start}
+  UNION ALL
+  SELECT row, level + 1, tree, pos // {fan}, sha256(before || digest || after), proof || before || after
+  FROM (SELECT s.*, array_to_string(digests[:pos % {fan}], '') AS before,
+               array_to_string(digests[pos % {fan} + 2:], '') AS after
+        FROM {name}_steps AS s JOIN {name}_runs AS r
+          ON r.level = s.level AND r.tree = s.tree AND r.run = s.pos // {fan})
+),
+{name}_folded AS (
+  SELECT row, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM {name}_steps GROUP BY row
+)"""
+
+
+def sql(fan: int = FAN) -> str:
+    """:func:`lowered` in SQL, with the CRC-32 spelled out."""
+
+    def leaf(text: str) -> str:
+        parts = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in parts) + ")"
+
+    lower = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    return f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+),
+rows AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce('1' || source, '0') AS tree, {leaf("text")} AS leaf, {leaf(lower)} AS low,
+    xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS tampered
+  FROM documents, crc_table
+),
+leaves AS (
+  SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM rows
+),{_sql_tree("low", "leaves", fan)},
+tops AS (
+  SELECT 0 AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest
+  FROM low_roots
+),{_sql_tree("top", "tops", fan)},
+first AS (
+  SELECT row, tree, pos, CASE WHEN tampered THEN low ELSE leaf END AS digest, '' AS proof FROM leaves
+),{_sql_folds("low", "first", fan)},
+second AS (
+  SELECT row, tops.tree, tops.pos, low_folded.digest, proof
+  FROM low_folded JOIN leaves USING (row) JOIN tops ON tops.source = leaves.tree
+),{_sql_folds("top", "second", fan)}
+SELECT doc_id, leaf, tops.digest AS subroot, top_roots.digest AS root, sha256(proof) AS proof_sha256,
+  top_folded.digest AS folded_root, top_folded.digest = top_roots.digest AS verified
+FROM leaves JOIN tops ON tops.source = leaves.tree JOIN top_folded USING (row), top_roots"""

@@ -99,4 +99,5 @@ QUERIES["op9_bpe"] = op9_bpe_query
 QUERIES["op11_sharded_lloyd"] = op11_sharded_lloyd_query
 ORACLES["op11_sharded_lloyd"] = op11_sharded_lloyd.sql()
 QUERIES["op12_merkle_manifest"] = op12_merkle_manifest_query
+ORACLES["op12_merkle_manifest"] = op12_merkle_manifest.sql()
 QUERIES["op13_html_extract"] = op13_html_extract_query
