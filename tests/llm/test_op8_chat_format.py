@@ -1,5 +1,7 @@
 """Chat formatting: exact round trip of hard texts, and its SQL."""
 
+import time
+
 import hashlib
 
 import duckdb
@@ -56,3 +58,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert op.formatted(empty).count() == 0
     assert [r["conv_id"] for r in op.digests(spark, empty).collect()] == [-1]
+
+
+def test_long_roles_and_many_turns(spark):
+    role = "r\n\\<|im_line|>\n" * 20_000
+    rows = [(1, 0, role, "a"), (1, 1, role, "b"), (1, 2, "assistant", "c")]
+    rows += [(2, i, ["user", "assistant", "assistant"][i % 3], f"t{i}") for i in range(16_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    start = time.perf_counter()
+    back = {r.conv_id: r for r in op.read_back(op.formatted(frame)).collect()}
+    assert time.perf_counter() - start < 60
+    assert [(t.role, t.text) for t in back[1].turns] == [(role, "a"), (role, "b"), ("assistant", "c")]
+    assert [(t.role, t.text) for t in back[2].turns] == [(r[2], r[3]) for r in rows[3:]]
+    assert back[2].loss_text == "".join(r[3] for r in rows[3:] if r[2] == "assistant")

@@ -46,3 +46,19 @@ def test_whole_run(spark, sf):
     assert set(r["doc_id"] for r in after.collect()) <= set(r["doc_id"] for r in before.collect())
     assert seen["bpe"][1].count() == after.count()
     assert "text" not in seen["bpe"][1].columns
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark, sf):
+    extra = "_score double, _id long, _spans string, _size long, _row long, _copies long, `column 3` string"
+    rows = [(*r, 0.5, 7, "s", 3, 9, 2, "c") for r in rows_of([(i, t, ) for i, t in enumerate(
+        ["plain words here", None, "", "user: alice Zm9vYmFyYmF6cXV4MTIzNDU2", "word " * 30_000]
+    )])]
+    docs = spark.createDataFrame(rows, f"{COLUMNS}, {extra}")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.collect() == []
+        out = stage(spark, docs, sf)
+        found = out.collect()
+        assert found and {tuple(r[c] for c in docs.columns[5:]) for r in found} == {(0.5, 7, "s", 3, 9, 2, "c")}
+        if name != "bpe":
+            assert out.columns == docs.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,11 @@ class WordHashes(dict):
         return value
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slices(rows: list, weight, most: int) -> Iterator[tuple[int, int]]:
     """Cuts a list into runs whose summed weight is about ``most`` (one heavy row stands alone)."""
     start, held = 0, 0

@@ -21,16 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import bound
 from textloom.session import materialize
 
-# The base kinds, in the order of the digest.
+# The base kinds, in the order of the digest. Runs that are too short are no matches at
+# all, which leaves the same spans as dropping them afterwards.
 ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
 BASE = {
     "assign": (ASSIGN, 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
+    "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 # A text without these has no span of the kind.
 HINTS = {
@@ -59,7 +61,7 @@ HINTS |= {
     "endpoint": r"://",
 }
 KINDS = [*BASE, *WEAK]
-SCOPE, BUCKET, RUN = 200, 512, 256
+SCOPE, BUCKET, RUN, CHUNK = 200, 512, 256, 512
 SPAN = "struct<start:int,nth:int,kind:string,end:int>"
 SPANS = f"array<{SPAN}>"
 
@@ -205,8 +207,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _of_kind(spans: str, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def _count(spans: str, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    return F.size(_of_kind(spans, kind)).cast("bigint")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -222,71 +228,66 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every reported span overwritten by asterisks, length unchanged."""
-    links = linked(_found_for_mask(docs, id_col, text_col)).select(
+    """``docs`` with every reported span overwritten by asterisks, length unchanged.
+
+    Spans are those of the original text, kind by kind, so what one kind covers hides no other.
+    """
+    names = [c if c in (id_col, text_col) else f"column {i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names).withColumn("_row", F.xxhash64(id_col, text_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = rows.select(
+        F.col(id_col).alias("id"),
+        F.col("_row").alias("rid"),
+        F.concat(*[kind_spans(text, k) for k in BASE]).alias("base"),
+        F.concat(*[kind_spans(text, k) for k in WEAK]).alias("weak"),
+    )
+    found = found.withColumn("weak", _without_overlap(F.col("weak"), F.col("base")))
+    links = linked(materialize(found.filter(F.size("weak") > 0), "secrets")).select(
         F.col("rid").alias("_rid"), F.col("id").alias("_id"), F.col("spans").alias("_spans")
     )
-    rows = docs.withColumn("_row", F.xxhash64(id_col, text_col))
     same = (F.col("_row") == F.col("_rid")) & F.col(id_col).eqNullSafe(F.col("_id"))
     joined = rows.join(links, same, "left")
-    # Lengths stay, so the offsets of the other kinds hold after each step.
-    for kind in WEAK:
-        joined = joined.withColumn(text_col, _masked_kind(F.col(text_col), kind, F.col("_spans")))
-    for kind in BASE:
-        joined = joined.withColumn(text_col, _masked_kind(F.col(text_col), kind, None))
-    return joined.select(*docs.columns)
-
-
-def _found_for_mask(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rid"), text.alias("text")
-    )
-    base = rows.select(
-        "id", "rid",
-        F.concat(*[kind_spans(F.col("text"), k) for k in BASE]).alias("base"),
-        F.concat(*[kind_spans(F.col("text"), k) for k in WEAK]).alias("weak"),
-    )
-    base = base.withColumn("weak", _without_overlap(F.col("weak"), F.col("base")))
-    return materialize(base.filter(F.size("weak") > 0), "secrets")
+    spans = {f"_{kind}": kind_spans(F.col(text_col), kind) for kind in BASE}
+    spans |= {f"_{kind}": _of_kind("_spans", kind) for kind in WEAK}
+    joined = joined.withColumns(spans)
+    # A step at a time: each one names the text it works on more than once.
+    for name in spans:
+        joined = joined.withColumn(text_col, _overwritten(F.col(text_col), F.col(name)))
+    return joined.select(*[F.col(f"`{c}`") for c in names]).toDF(*docs.columns)
+
+
+def _overwritten(text: Column, spans: Column) -> Column:
+    """The text with spans that do not overlap each other, in order, as asterisks.
+
+    Code points are counted in chunks: a piece between two spans is the end of a chunk, whole chunks,
+    and the beginning of a chunk, so the work is in proportion to the text and the number of spans.
+    """
+
+    def within(chunks: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            first, last = F.floor(begin / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+            cut = lambda nth, lo, size: F.coalesce(
+                F.get(chunks, nth).substr(lo + 1, size), F.lit("")
+            )
+            lo = begin - first * CHUNK
+            inner = F.when(
+                last > first + 1, F.array_join(F.slice(chunks, first + 2, last - first - 1), "")
+            ).otherwise("")
+            apart = F.concat(cut(first, lo, F.lit(CHUNK)), inner, cut(last, F.lit(0), end - last * CHUNK))
+            return F.when(first == last, cut(first, lo, end - begin)).otherwise(apart)
+
+        def masked_pieces(own: Column) -> Column:
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(own, i - 1)["end"])
+            parts = F.transform(
+                own,
+                lambda s, i: F.concat(
+                    piece(before(i), s["start"]), F.repeat(F.lit("*"), s["end"] - s["start"])
+                ),
+            )
+            return F.concat(F.array_join(parts, ""), piece(before(F.size(own)), F.length(text)))
 
+        return bound(spans, masked_pieces)
 
-def _masked_kind(text: Column, kind: str, only: Column | None) -> Column:
-    """Pieces between the matches, joined again with the matches overwritten; linear in the text."""
-    pattern, group, least = _rule(kind)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("value"))
-    if only is None:
-        wanted = lambda p, i: F.length(p["value"]) >= least
-        have = text.rlike(HINTS[kind])
-    else:
-        spans = kind_spans(text, kind)
-        kept = F.array_intersect(spans, only)
-        starts = F.transform(
-            F.filter(kept, lambda s: s["kind"] == kind), lambda s: s["start"]
-        )
-        have = F.size(F.coalesce(starts, F.array().cast("array<int>"))) > 0
-        allowed = F.filter(F.transform(spans, lambda s: s["start"]), lambda s: s.isNotNull())
-        wanted = lambda p, i: (F.length(p["value"]) >= least) & F.array_contains(
-            starts,
-            F.get(
-                allowed,
-                F.size(
-                    F.filter(F.slice(values, 1, i), lambda v: F.length(v) >= least)
-                ),
-            ),
-        )
-    out = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.concat(
-                p["gap"],
-                F.when(p["hit"].isNull(), F.lit("")).otherwise(
-                    F.when(wanted(p, i), F.repeat(F.lit("*"), F.length(p["hit"]))).otherwise(p["hit"])
-                ),
-            ),
-        ),
-        "",
-    )
-    return F.when(text.isNotNull() & have, out).otherwise(text)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    any_ = F.coalesce(F.size(spans) > 0, F.lit(False))
+    return F.when(text.isNotNull() & any_, bound(chunks, within)).otherwise(text)

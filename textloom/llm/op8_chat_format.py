@@ -1,10 +1,10 @@
 """Chat formatting in Spark expressions only.
 
-Turns of a conversation are collected as structs, sorted by turn, and folded by an array aggregation
-that opens a block at each change of role, so adjacent turns of one role share a block, in which a
-separator keeps the turns apart. ``<|im_start|>role\\n text <|im_end|>\\n`` marks a block. Inside roles
+Turns of a conversation are collected as structs and sorted by turn; a block opens at each change of
+role, so adjacent turns of one role are merged in a block, in which a separator keeps the turns apart.
+Array aggregations over runs of turns sum the lengths that place the loss mask. ``<|im_start|>role\\n text <|im_end|>\\n`` marks a block. Inside roles
 and texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no control string can occur there, and
-one replacement undoes it. The loss mask is the list of spans of assistant texts in the output.
+one replacement undoes it; a line break in a role is a control string of its own. The loss mask is the list of spans of assistant texts in the output.
 
 A conversation becomes one string, so the rows of one conversation must meet; only its own rows do.
 
@@ -15,12 +15,19 @@ only (in the query) or nothing (in ``formatted``); further columns do not matter
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.common import bound
+
 START, END, SEPARATOR = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
+# A line break in a role; the first one of a block ends the role.
+LINE = "<|im_line|>"
+# Lengths are summed over so many turns at a time, so that long conversations take linear time.
+RUN = 256
 LEARNED = "assistant"
-PIECES = "array<string>"
 SPANS = "array<struct<from:int,to:int>>"
 
 
@@ -29,7 +36,7 @@ def escaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    return F.replace(escaped(role), F.lit("\n"), F.lit("\\\n"))
+    return F.replace(escaped(role), F.lit("\n"), F.lit(LINE))
 
 
 def unescaped(text: Column) -> Column:
@@ -50,40 +57,71 @@ def formatted(rows: DataFrame) -> DataFrame:
             )
         ).alias("turns")
     )
-    start = F.struct(
-        F.lit(None).cast("string").alias("role"),
-        F.lit(0).alias("at"),
-        F.array().cast(PIECES).alias("pieces"),
-        F.array().cast(SPANS).alias("loss"),
-    )
 
-    def add(held: Column, turn: Column) -> Column:
-        same = held["role"].eqNullSafe(turn["role"])
-        opening = F.concat(
-            F.when(held["role"].isNull(), blank).otherwise(F.lit(END)),
-            F.lit(START),
-            escaped_role(turn["role"]),
-            F.lit("\n"),
-        )
-        lead = F.when(same, F.lit(SEPARATOR)).otherwise(opening)
-        text = escaped(turn["text"])
-        begin = held["at"] + F.length(lead)
-        span = F.struct(begin.alias("from"), (begin + F.length(text)).alias("to"))
-        return F.struct(
-            turn["role"].alias("role"),
-            (begin + F.length(text)).alias("at"),
-            F.concat(held["pieces"], F.array(lead, text)).alias("pieces"),
-            F.when(turn["role"] == LEARNED, F.concat(held["loss"], F.array(span)))
-            .otherwise(held["loss"])
-            .alias("loss"),
-        )
-
-    folded = turns.select("conv_id", F.aggregate("turns", start, add).alias("out"))
-    return folded.select(
+    def lead(turn: Column, nth: Column) -> Column:
+        opening = F.concat(F.lit(START), escaped_role(turn["role"]), F.lit("\n"))
+        before = F.get("turns", nth - 1)["role"]
+        merged = F.when(before == turn["role"], F.lit(SEPARATOR)).otherwise(F.concat(F.lit(END), opening))
+        return F.when(nth == 0, opening).otherwise(merged)
+
+    placed = F.transform(
+        "turns",
+        lambda t, i: F.struct(
+            lead(t, i).alias("lead"),
+            escaped(t["text"]).alias("text"),
+            (t["role"] == LEARNED).alias("learned"),
+        ),
+    )
+    return turns.select(
         "conv_id",
-        F.concat(F.array_join("out.pieces", ""), F.lit(END)).alias("formatted"),
-        F.col("out.loss").alias("loss"),
+        bound(
+            placed,
+            lambda pieces: F.struct(
+                F.concat(
+                    F.array_join(F.transform(pieces, lambda p: F.concat(p["lead"], p["text"])), ""),
+                    F.lit(END),
+                ).alias("formatted"),
+                _loss(pieces).alias("loss"),
+            ),
+        ).alias("out"),
+    ).select("conv_id", "out.formatted", "out.loss")
+
+
+def _loss(pieces: Column) -> Column:
+    """Spans of the learned texts: sums over whole runs of pieces, then inside each run."""
+
+    def total(sizes: Column) -> Column:
+        return F.aggregate(sizes, F.lit(0), lambda held, p: held + p["lead"] + p["text"])
+
+    def placed(sizes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int"))
+        runs = F.transform(starts, lambda r: F.slice(sizes, r * RUN + 1, RUN))
+
+        def in_run(sums: Column) -> Column:
+            def of(run: Column, nth: Column) -> Column:
+                base = F.aggregate(F.slice(sums, 1, nth), F.lit(0), lambda held, n: held + n)
+                return bound(
+                    base,
+                    lambda first: F.transform(
+                        run,
+                        lambda p, i: F.struct(
+                            (first + total(F.slice(run, 1, i)) + p["lead"]).alias("from"),
+                            (first + total(F.slice(run, 1, i)) + p["lead"] + p["text"]).alias("to"),
+                            p["learned"].alias("learned"),
+                        ),
+                    ),
+                )
+
+            return F.flatten(F.transform(runs, of))
+
+        return bound(F.transform(runs, total), in_run)
+
+    sizes = F.transform(
+        pieces,
+        lambda p: F.struct(F.length(p["lead"]).alias("lead"), F.length(p["text"]).alias("text"), p["learned"]),
     )
+    spans = F.filter(bound(sizes, placed), lambda s: s["learned"])
+    return F.transform(spans, lambda s: F.struct(s["from"], s["to"])).cast(SPANS)
 
 
 def read_back(rows: DataFrame) -> DataFrame:
@@ -91,11 +129,12 @@ def read_back(rows: DataFrame) -> DataFrame:
     under the loss mask, unescaped."""
     blocks = F.split("formatted", r"<\|im_end\|>\n", -1)
     blocks = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-    head = rf"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
 
     def turns(block: Column) -> Column:
-        role = unescaped(F.regexp_extract(block, head, 1))
-        texts = F.split(F.regexp_extract(block, head, 2), r"<\|im_sep\|>", -1)
+        head = F.substring_index(block, "\n", 1)
+        lines = F.split(F.substring(head, len(START) + 1, 2**31 - 1), re.escape(LINE), -1)
+        role = F.array_join(F.transform(lines, unescaped), "\n")
+        texts = F.split(block.substr(F.length(head) + 2, F.length(block)), re.escape(SEPARATOR), -1)
         return F.transform(texts, lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
 
     loss = F.transform("loss", lambda s: unescaped(F.substring("formatted", s["from"] + 1, s["to"] - s["from"])))
@@ -140,7 +179,7 @@ WITH rows AS (
   SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
          length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars,
-         length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) AS role_chars
+         length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|im_line|>')) AS role_chars
   FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
