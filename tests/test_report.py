@@ -1,11 +1,13 @@
+import bisect
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import pack_ids
-from textloom.operators import logs, report
+from textloom.functions.tokens import pack_ids, token_count
+from textloom.operators import logs, report, sketches
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 5001])
@@ -103,3 +105,26 @@ def test_rollup(spark, every, start):
             assert row.loss == pytest.approx(want[3])
             assert row.elapsed_seconds == pytest.approx(want[4])
             assert row.tokens_per_second == (None if want[5] is None else pytest.approx(want[5]))
+
+
+def test_sketches_merge_within_their_bounds(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(6000):
+        chars = rnd.randint(50, 400)
+        tokens = [rnd.randrange(5000) for _ in range(rnd.randint(1, 40))]
+        rows.append((f"d{i % 2}", None if i % 3 == 0 else f"s{i % 5}", chars, struct.pack(f"<{len(tokens)}H", *tokens)))
+    df = spark.createDataFrame(rows, "domain string, shard string, chars int, tokens binary").repartition(6)
+    n = token_count(F.col("tokens"))
+    stored = sketches.shard_sketches(df, "domain", "shard", n, F.col("chars"), "tokens")
+    assert stored.count() == len({r[:2] for r in rows})
+    for domain, *rolled in sketches.rolled_up(stored, "domain").collect():
+        own = [r for r in rows if r[0] == domain]
+        values = sorted(len(r[3]) / 2 * 100 / r[2] for r in own)
+        ids = {i for r in own for i in struct.unpack(f"<{len(r[3]) // 2}H", r[3])}
+        documents, *quantiles, estimate = rolled
+        assert documents == len(own)
+        for q, value in zip(report.FERTILITY.values(), quantiles):
+            assert bisect.bisect_left(values, value) / len(own) <= q + 2 * sketches.KLL_RANK_ERROR
+            assert bisect.bisect_right(values, value) / len(own) >= q - 2 * sketches.KLL_RANK_ERROR
+        assert abs(estimate - len(ids)) <= 4 * sketches.HLL_ERROR * len(ids)

@@ -193,3 +193,25 @@ def test_spread(spark):
     assert corpus.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= 2
     wide = spark.range(10).repartition(64)
     assert corpus.spread(wide) is wide
+
+
+def test_published_collections_are_versions(spark, tmp_path):
+    path = str(tmp_path / "collections")
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, path)
+    one = spark.createDataFrame([(1, "train", "x"), (2, "validation", "y")], "id int, split string, a string")
+    two = spark.createDataFrame([(3, "train")], "id int, split string")
+    first = sinks.publish_collections({"one": one, "two": two}, path, {"seed": 4, "rows": None})
+    rows = lambda **at: sorted((r.collection, r.split, r.id) for r in sinks.published(spark, path, **at).collect())
+    want = [("one", "train", 1), ("one", "validation", 2), ("two", "train", 3)]
+    assert rows() == want
+    entry = sinks.manifest_rows(spark, path).first()
+    assert json.loads(entry.details) == {"seed": 4, "rows": None}
+    assert [tuple(c) for c in entry.counts] == [("one", "train", 1), ("one", "validation", 1), ("two", "train", 1)]
+    # A run that breaks off while writing leaves the version before it.
+    broken = two.withColumn("id", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish_collections({"two": broken}, path, {})
+    assert rows() == want
+    second = sinks.publish_collections({"two": two}, path, {"seed": 5})
+    assert rows() == want[2:] and rows(version=first) == want and second > first

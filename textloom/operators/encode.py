@@ -88,12 +88,17 @@ def encode_text(
     special token in the text becomes its id when ``specials`` is set. ``boundaries`` adds the
     begin and end ids of a document.
     """
-    packed = _piece_encoder(model, specials)(words_of(text, specials, chunk_chars))
+    packed = encode_words(words_of(text, specials, chunk_chars), model, specials)
     if not boundaries:
         return packed
     return F.concat(_id_bytes(BOS_ID), packed, _id_bytes(EOS_ID))
 
 
+def encode_words(words: Column | str, model: BpeModel, specials: bool = True) -> Column:
+    """Packed ids of a list of words."""
+    return _piece_encoder(model, specials)(words)
+
+
 def words_of(text: Column, specials: bool = True, chunk_chars: int = MAX_CHUNK_CHARS) -> Column:
     """Words of the normalized text in order; words do not reach over slices of a long text."""
 

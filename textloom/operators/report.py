@@ -163,6 +163,12 @@ def paired_compare(
     both = a.select(key, domain, chars, F.col(tokens).alias("_a")).join(
         b.select(key, F.col(tokens).alias("_b")), key
     )
+    return compared_counts(both, domain, "_a", "_b", chars)
+
+
+def compared_counts(both: DataFrame, domain: str, a: str, b: str, chars: str = "chars") -> DataFrame:
+    """:func:`paired_compare` of documents that have both token counts in one row."""
+    both = both.select(domain, chars, F.col(a).alias("_a"), F.col(b).alias("_b"))
     sums = both.groupBy(domain).agg(
         F.count_if(F.col("_a") < F.col("_b")).alias("a_wins"),
         F.count_if(F.col("_b") < F.col("_a")).alias("b_wins"),

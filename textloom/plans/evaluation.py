@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions.tokens import token_count
 from textloom.functions.vocabulary import BpeModel
-from textloom.operators.encode import encode_documents, roundtrip
+from textloom.operators.encode import encode_words, roundtrip, words_of
 from textloom.operators.report import (
+    compared_counts,
     domain_summary,
     fertility_percentiles,
-    paired_compare,
     vocab_coverage,
 )
 from textloom.operators.sampling import (
@@ -22,16 +22,31 @@ from textloom.operators.sampling import (
 from textloom.session import materialize
 
 
-def measured(sample: DataFrame, key: str, domain: str, text: str, model: BpeModel) -> DataFrame:
-    """The sample encoded and checked, written once; every statistic reads this table."""
-    encoded = encode_documents(sample.select(key, domain, text), text, model, boundaries=False)
-    checked = roundtrip(encoded, text, "tokens", model)
-    return materialize(
-        checked.withColumn("n_tokens", token_count(F.col("tokens"))).withColumn(
-            "chars", F.length(text)
-        ),
-        "measured",
-    )
+def measured_pair(
+    sample: DataFrame, key: str, domain: str, text: str, a: BpeModel, b: BpeModel
+) -> DataFrame:
+    """The sample encoded with both models and checked, written once; every statistic reads this table.
+
+    Both encoders take the words of a text from the same Arrow batch, so a text is split into words and
+    sent to Python once.
+    """
+    rows = sample.select(key, domain, text, F.length(text).cast("bigint").alias("chars"))
+    rows = rows.withColumn("_words", words_of(F.col(text)))
+    tokens = {f"{side}_tokens": encode_words("_words", model) for side, model in (("a", a), ("b", b))}
+    checked = rows.withColumns(tokens).drop("_words")
+    for side, model in (("a", a), ("b", b)):
+        checked = roundtrip(checked, text, f"{side}_tokens", model).withColumnsRenamed(
+            {"unknown_tokens": f"{side}_unknown", "roundtrip_ok": f"{side}_ok"}
+        )
+        checked = checked.withColumn(f"{side}_n", token_count(F.col(f"{side}_tokens")))
+    return materialize(checked, "measured")
+
+
+def side_of(pair: DataFrame, side: str) -> DataFrame:
+    """One model's columns of :func:`measured_pair`, under the names that reports use."""
+    names = {"tokens": "tokens", "unknown": "unknown_tokens", "ok": "roundtrip_ok", "n": "n_tokens"}
+    other = [f"{'b' if side == 'a' else 'a'}_{n}" for n in names]
+    return pair.drop(*other).withColumnsRenamed({f"{side}_{n}": to for n, to in names.items()})
 
 
 def tokenizer_report(rows: DataFrame, domain: str, text: str, model: BpeModel) -> DataFrame:
@@ -50,14 +65,15 @@ def compare_tokenizers(
     sample: DataFrame, key: str, domain: str, text: str, a: BpeModel, b: BpeModel
 ) -> tuple[DataFrame, DataFrame]:
     """Both reports (column ``tokenizer``) and the paired comparison per domain."""
-    left = measured(sample, key, domain, text, a)
-    right = measured(sample, key, domain, text, b)
+    pair = measured_pair(sample, key, domain, text, a, b)
     report = (
-        tokenizer_report(left, domain, text, a)
+        tokenizer_report(side_of(pair, "a"), domain, text, a)
         .withColumn("tokenizer", F.lit("a"))
-        .unionByName(tokenizer_report(right, domain, text, b).withColumn("tokenizer", F.lit("b")))
+        .unionByName(
+            tokenizer_report(side_of(pair, "b"), domain, text, b).withColumn("tokenizer", F.lit("b"))
+        )
     )
-    return report, paired_compare(left, right, key, domain, tokens="n_tokens")
+    return report, compared_counts(pair, domain, "a_n", "b_n")
 
 
 def heldout_comparison(
@@ -73,12 +89,14 @@ def heldout_comparison(
     max_chars: int = 16_384,
     seed: int = 120,
     domains: dict[str, tuple[str, ...]] | None = None,
+    fraction: float = 0.001,
+    method: str = "blake2b",
 ) -> tuple[DataFrame, DataFrame]:
     """Draw the held-out sample, insist on full quotas, and compare both tokenizers on it."""
     sample = materialize(
         tail_sample(
             docs, shard, row, text, source, samples_per_domain, tail_start, seed, max_chars,
-            domains=domains,
+            fraction=fraction, method=method, domains=domains,
         ).withColumn("key", F.concat_ws(":", shard, F.col(row).cast("string"))),
         "heldout",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.messages import MESSAGES_TYPE
 from textloom.operators.manifest import collection_counts
 from textloom.operators.preference import (
+    SYSTEM_PROMPT,
     explicit_pairs,
     normalize_scored,
     scored_filter,
@@ -24,7 +25,7 @@ from textloom.sources.corpus import (
     split_by_filename,
 )
 from textloom.sources.preference import preference_file, preference_scan, require_fields
-from textloom.sources.sinks import normalized_sink
+from textloom.sources.sinks import publish_collections, published
 
 
 def sft_collection(
@@ -130,7 +131,10 @@ def prepare_posttrain(
     validation_rows: int = 2_000,
     on_no_prompt: str = "fail",
 ) -> DataFrame:
-    """Read the three inputs, normalize them, write one data set; returns its row counts."""
+    """Read the three inputs, normalize them, publish one data set; returns its row counts.
+
+    The manifest of the version keeps seed, requested validation rows, system prompt and counts.
+    """
     made = collections(
         load_conversations(spark, conversations),
         load_pairs(spark, pairs),
@@ -140,5 +144,16 @@ def prepare_posttrain(
         validation_rows,
         on_no_prompt,
     )
-    normalized_sink(made, output)
-    return collection_counts(spark.read.parquet(output))
+    details = published_details(seed, validation_rows, on_no_prompt)
+    version = publish_collections(made, output, details)
+    return collection_counts(published(spark, output, version))
+
+
+def published_details(seed: int, validation_rows: int, on_no_prompt: str) -> dict[str, object]:
+    """What a manifest says of a run besides its counts."""
+    return {
+        "seed": seed,
+        "validation_rows": validation_rows,
+        "on_no_prompt": on_no_prompt,
+        "system_prompt": SYSTEM_PROMPT,
+    }

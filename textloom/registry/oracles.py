@@ -288,6 +288,13 @@ ORACLES["normalized_sink"] = (
     + "SELECT collection, split, count(*) AS rows, min(conv_id) AS first_id, sum(conv_id)::BIGINT AS id_sum FROM all_rows GROUP BY 1, 2"
 )
 
+ORACLES["normalized_manifest"] = (
+    SIDES
+    + """SELECT collection, split, count(*) AS rows, 42::INT AS seed, 2000::INT AS validation_rows,
+  'drop' AS on_no_prompt, 'You are a helpful, honest, and concise AI assistant.' AS system_prompt
+FROM all_rows GROUP BY 1, 2"""
+)
+
 # ---- projections and filters -----------------------------------------------------------------
 
 ORACLES["min_chars_filter"] = f"SELECT doc_id, source FROM documents WHERE {USABLE}"
@@ -432,6 +439,17 @@ WITH rows AS (
 SELECT domain, round(quantile_cont(f, 0.5), 6) AS fertility_p50,
   round(quantile_cont(f, 0.9), 6) AS fertility_p90, round(quantile_cont(f, 0.99), 6) AS fertility_p99
 FROM rows GROUP BY domain"""
+ORACLES["sketched_report"] = f"""
+WITH bytes AS (
+  SELECT domain, doc_id, unnest(regexp_extract_all(hex(encode(nfc_normalize(text))), '..')) AS b FROM ({DOCS_IN_DOMAIN})),
+ids AS (SELECT domain, count(DISTINCT b) AS observed_ids FROM bytes GROUP BY domain)
+SELECT domain, documents, observed_ids, true AS ids_hold, true AS fertility_p50_holds,
+  true AS fertility_p90_holds, true AS fertility_p99_holds
+FROM (SELECT domain, count(*) AS documents FROM ({DOCS_IN_DOMAIN}) GROUP BY domain) JOIN ids USING (domain)"""
+ORACLES["heldout_comparison"] = f"""
+SELECT DISTINCT domain, 16::BIGINT AS documents, 16::BIGINT AS decided, 0::BIGINT AS b_wins,
+  0::BIGINT AS roundtrip_failures, 0::BIGINT AS unknown_tokens, true AS shorter, true AS uses_merges
+FROM ({DOCS_IN_DOMAIN})"""
 ORACLES["vocab_coverage"] = f"""
 WITH seen AS (
   SELECT DISTINCT domain, unnest(list_distinct(regexp_extract_all(hex(encode(nfc_normalize(text))), '..'))) AS h

@@ -21,9 +21,10 @@ from textloom.operators import (
     preference,
     report,
     sampling,
+    sketches,
     split,
 )
-from textloom.plans import incremental, posttrain, prepare, tokenizer
+from textloom.plans import evaluation, incremental, posttrain, prepare, tokenizer
 from textloom.registry import frames
 from textloom.registry.frames import BLOCK, DOMAINS, FRACTION, documents
 from textloom.session import materialize, scratch_path, shared_dir
@@ -155,17 +156,30 @@ def _collections(spark, sf):
     )
 
 
+def _published(spark, sf) -> tuple[str, str]:
+    path = scratch_path(spark, "normalized")
+    details = posttrain.published_details(SEED, 2_000, "drop")
+    return path, sinks.publish_collections(_collections(spark, sf), path, details)
+
+
 @query
 def normalized_sink(spark, sf):
-    path = scratch_path(spark, "normalized")
-    sinks.normalized_sink(_collections(spark, sf), path)
-    return spark.read.parquet(path).groupBy("collection", "split").agg(
+    path, _ = _published(spark, sf)
+    return sinks.published(spark, path).groupBy("collection", "split").agg(
         F.count("*").alias("rows"),
         F.min("conv_id").alias("first_id"),
         F.sum("conv_id").cast("bigint").alias("id_sum"),
     )
 
 
+@query
+def normalized_manifest(spark, sf):
+    path, version = _published(spark, sf)
+    entry = sinks.manifest_rows(spark, path).filter(F.col("version") == version)
+    said = F.from_json("details", "seed int, validation_rows int, on_no_prompt string, system_prompt string")
+    return entry.select(said.alias("d"), F.inline("counts")).select("collection", "split", "rows", "d.*")
+
+
 # ---- projections and filters -----------------------------------------------------------------
 
 
@@ -433,6 +447,14 @@ def bpe_prefix(spark, sf):
     return _merges(spark, _model(spark, sf).prefix(PREFIX))
 
 
+def _domain_tokens(spark, sf):
+    """Documents of the known domains with byte ids, written once."""
+    docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
+    docs = docs.filter("domain is not null")
+    encoded = encode.encode_documents(docs, "text", BpeModel(), boundaries=False)
+    return encoded.withColumn("n_tokens", token_count(F.col("tokens")))
+
+
 @query
 def domain_summary(spark, sf):
     docs = frames.spread_documents(spark, sf).withColumn("domain", sampling.domain(F.col("source"), DOMAINS))
@@ -464,6 +486,34 @@ def fertility_percentiles(spark, sf):
     return found.select("domain", *[F.round(c, 6).alias(c) for c in report.FERTILITY])
 
 
+@query
+def sketched_report(spark, sf):
+    rows = materialize(_domain_tokens(spark, sf).withColumn("chars", F.length("text")), "domain-tokens")
+    n, chars = F.col("n_tokens"), F.col("chars")
+    stored = materialize(sketches.shard_sketches(rows, "domain", "source", n, chars, "tokens"), "sketches")
+    rolled = sketches.rolled_up(stored, "domain").withColumnRenamed("observed_ids", "estimated_ids")
+    exact = report.vocab_coverage(rows, "domain", "tokens", BpeModel().vocab_size())
+    # The share of documents at or below a quantile, against the share it stands for.
+    value = report.fertility(n, chars)
+    ranked = rows.join(rolled, "domain").groupBy("domain", "documents", "estimated_ids").agg(
+        *[
+            (
+                (F.count_if(value <= F.col(name)) / F.count("*") >= q - sketches.KLL_RANK_ERROR)
+                & (F.count_if(value < F.col(name)) / F.count("*") <= q + sketches.KLL_RANK_ERROR)
+            ).alias(f"{name}_holds")
+            for name, q in report.FERTILITY.items()
+        ]
+    )
+    error = F.abs(F.col("estimated_ids") - F.col("observed_ids")) / F.col("observed_ids")
+    return ranked.join(exact, "domain").select(
+        "domain",
+        "documents",
+        "observed_ids",
+        (error <= 3 * sketches.HLL_ERROR).alias("ids_hold"),
+        *[f"{name}_holds" for name in report.FERTILITY],
+    )
+
+
 @query
 def vocab_coverage(spark, sf):
     seen = report.vocab_coverage(
@@ -559,6 +609,38 @@ def tail_sample(spark, sf):
     return sample.select("shard", "domain", "doc_id", F.md5("text").alias("digest"))
 
 
+@query
+def heldout_comparison(spark, sf):
+    docs = documents(spark, sf).select(
+        F.concat(F.lit("part-"), (F.col("doc_id") % 8).cast("string")).alias("shard"),
+        F.expr("doc_id div 8").alias("row_index"),
+        "text",
+        "source",
+    )
+    full = _model(spark, sf)
+    reports, compared = evaluation.heldout_comparison(
+        docs, "shard", "row_index", "text", "source", full, full.prefix(4_096),
+        16, 10, domains=DOMAINS, fraction=FRACTION, method="md5",
+    )
+    sides = reports.groupBy("domain").agg(
+        F.min("documents").alias("documents"),
+        F.sum("roundtrip_failures").cast("bigint").alias("roundtrip_failures"),
+        F.sum("unknown_tokens").cast("bigint").alias("unknown_tokens"),
+        F.min(F.when(F.col("tokenizer") == "a", F.col("observed_ids"))).alias("a_ids"),
+    )
+    # More merges never make a text longer.
+    return compared.join(sides, "domain").select(
+        "domain",
+        "documents",
+        (F.col("a_wins") + F.col("b_wins") + F.col("ties")).alias("decided"),
+        "b_wins",
+        "roundtrip_failures",
+        "unknown_tokens",
+        (F.col("token_reduction_percent") < 0).alias("shorter"),
+        (F.col("a_ids") > 256).alias("uses_merges"),
+    )
+
+
 @query
 def pack_blocks(spark, sf):
     tokens = frames.byte_tokens(spark, sf).select(

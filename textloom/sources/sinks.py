@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.arith import whole_div
@@ -10,6 +15,7 @@ from textloom.functions.tokens import token_count
 
 # Rows of one shard that go to one output task, so that a hot shard is written by many.
 ROWS_PER_TASK = 100_000
+PUBLISHED = "version string, details string, counts array<struct<collection:string,split:string,rows:bigint>>"
 
 
 def token_sink(
@@ -47,3 +53,46 @@ def normalized_sink(collections: dict[str, DataFrame], path: str) -> None:
         named = frame.withColumn("collection", F.lit(name))
         union = named if union is None else union.unionByName(named, allowMissingColumns=True)
     union.write.mode("overwrite").partitionBy("collection", "split").parquet(path)
+
+
+def publish_collections(
+    collections: dict[str, DataFrame], path: str, details: dict[str, object]
+) -> str:
+    """Write all collections as a new version below ``path``; returns its name.
+
+    The data go to a folder of their own. One manifest row (``details`` such as seed and requested
+    rows, and the rows of each collection and split, counted in what was written) is the last write and
+    makes the version the current one, so a run that breaks off leaves the previous version as it was.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    data = f"{path}/versions/{version}"
+    normalized_sink(collections, data)
+    spark = next(iter(collections.values())).sparkSession
+    rows = spark.read.parquet(data).groupBy("collection", "split").agg(F.count("*").alias("rows"))
+    # One row for each collection and split.
+    entry = rows.agg(F.sort_array(F.collect_list(F.struct("collection", "split", "rows"))).alias("counts"))
+    entry.select(
+        F.lit(version).alias("version"), F.lit(json.dumps(details, sort_keys=True)).alias("details"), "counts"
+    ).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def manifest_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest of every version, or None where nothing was published."""
+    try:
+        return spark.read.schema(PUBLISHED).parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def published(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The collections of a version, the last one by default."""
+    if version is None:
+        log = manifest_rows(spark, path)
+        last = log.agg(F.max("version").alias("v")).first().v if log is not None else None
+        if last is None:
+            raise FileNotFoundError(f"nothing was published below {path}")
+        version = last
+    return spark.read.parquet(f"{path}/versions/{version}")
