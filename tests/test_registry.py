@@ -22,7 +22,9 @@ def duck(sf):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"hash_split_blake2b"}
+    # SQL has no such hash, and cannot follow 32,505 merges: test_split.py and test_bpe.py hold these
+    # against Python and the public library; the first merges have SQL (bpe_prefix).
+    assert set(QUERIES) - set(ORACLES) == {"hash_split_blake2b", "bpe_train", "bpe_encode"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

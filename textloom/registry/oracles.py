@@ -447,7 +447,7 @@ SELECT domain, documents, observed_ids, true AS ids_hold, true AS fertility_p50_
   true AS fertility_p90_holds, true AS fertility_p99_holds
 FROM (SELECT domain, count(*) AS documents FROM ({DOCS_IN_DOMAIN}) GROUP BY domain) JOIN ids USING (domain)"""
 ORACLES["heldout_comparison"] = f"""
-SELECT DISTINCT domain, 16::BIGINT AS documents, 16::BIGINT AS decided, 0::BIGINT AS b_wins,
+SELECT DISTINCT domain, 8::BIGINT AS documents, 8::BIGINT AS decided, 0::BIGINT AS b_wins,
   0::BIGINT AS roundtrip_failures, 0::BIGINT AS unknown_tokens, true AS shorter, true AS uses_merges
 FROM ({DOCS_IN_DOMAIN})"""
 ORACLES["vocab_coverage"] = f"""

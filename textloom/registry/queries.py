@@ -620,7 +620,7 @@ def heldout_comparison(spark, sf):
     full = _model(spark, sf)
     reports, compared = evaluation.heldout_comparison(
         docs, "shard", "row_index", "text", "source", full, full.prefix(4_096),
-        16, 10, domains=DOMAINS, fraction=FRACTION, method="md5",
+        8, 5, domains=DOMAINS, fraction=FRACTION, method="md5",
     )
     sides = reports.groupBy("domain").agg(
         F.min("documents").alias("documents"),
