@@ -38,7 +38,7 @@ from textloom.session import materialize
 
 TEXT_BYTES = 4 << 20
 # A task holds one fragment: this many for each core, more where a fragment would have too many documents.
-FRAGMENTS_PER_CORE, DOCS_PER_FRAGMENT = 8, 8192
+FRAGMENTS_PER_CORE, DOCS_PER_FRAGMENT = 16, 4096
 BATCH_TOKENS = 2_000_000
 TOLD_KEYS = 1_000_000
 BLOCK = 256
