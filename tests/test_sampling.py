@@ -111,3 +111,11 @@ def test_tail_sample_is_the_same_from_near_rows(spark, monkeypatch, rows, extra)
             fit = [d for d in data if d[0] == shard and d[3] == source and d[1] >= 100 and len(d[2]) > 9]
             want |= {d[:2] for d in sorted(fit, key=order)[:9]}
     assert {(r.shard, r.row) for r in sample.collect()} == want
+
+
+def test_matching_files(spark):
+    files = spark.createDataFrame([("a/1.parquet",), ("a/2.json",), ("b/3.parquet",)], "path string")
+    assert [r.path for r in sampling.matching(files, "path", "a/").collect()] == ["a/1.parquet"]
+    assert sampling.matching(files, "path", suffix="").count() == 3
+    with pytest.raises(FileNotFoundError, match="begins with 'c/'"):
+        sampling.matching(files, "path", "c/")

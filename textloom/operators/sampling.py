@@ -42,6 +42,14 @@ def domain(source: Column, domains: dict[str, tuple[str, ...]] | None = None) ->
     return result
 
 
+def matching(listing: DataFrame, path: str, prefix: str = "", suffix: str = ".parquet") -> DataFrame:
+    """Files of a listing by the beginning and end of their paths; raises where none matches."""
+    found = listing.filter(F.col(path).startswith(prefix) & F.col(path).endswith(suffix))
+    if found.isEmpty():
+        raise FileNotFoundError(f"no file begins with {prefix!r} and ends with {suffix!r}")
+    return found
+
+
 def evenly_spaced(listing: DataFrame, path: str, count: int | Column | None) -> DataFrame:
     """An evenly spaced subset of the sorted listing, both ends included.
 
