@@ -1,7 +1,9 @@
 """Jaccard join on word shingles by vertical partitioning.
 
-The global order of all shingles (that of their 48-bit hashes) is cut into fragments of equal width;
-every document is thereby cut into segments, one for each fragment it touches.
+The global order of all shingles (that of their 64-bit hashes) is cut into fragments of equal width;
+every document is thereby cut into segments, one for each fragment it touches. A segment names its
+document by the number of the batch that cut it and a number in that batch, so what travels is
+about the shingles themselves, however many fragments there are.
 
 1. In each fragment, only shingles that some other document has can count in an overlap. They are
    found there, segments are cut down to them, and a document whose shared shingles cannot reach the
@@ -20,7 +22,8 @@ every document is thereby cut into segments, one for each fragment it touches.
 Documents with equal sets are one node throughout. Results: documents without words (null and empty
 texts too) have size 0 and stay alone; a null id is allowed and never names a component; repeated
 rows are returned as often as they come; an empty table gives an empty result. Further columns of
-the input do not matter.
+the input do not matter. Numbers of batches come from the partitions of ``docs``, so a task
+that runs again must find its rows in the same order: ``docs`` should come from files.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import WordHashes, components, lower_words, slices
@@ -38,18 +42,20 @@ from textloom.session import materialize
 
 TEXT_BYTES = 4 << 20
 # A task holds one fragment: this many for each core, more where a fragment would have too many documents.
-FRAGMENTS_PER_CORE, DOCS_PER_FRAGMENT = 16, 4096
+FRAGMENTS_PER_CORE, DOCS_PER_FRAGMENT = 16, 8192
 BATCH_TOKENS = 2_000_000
 TOLD_KEYS = 1_000_000
 BLOCK = 256
 SHORT_LIST = 64
 BITMAP_WORDS = 8
 VERIFY_FRAGMENTS = 8
-TOKEN_BITS = 48
+# Numbers of sets: those of the task, of its batch, and of the set in the batch.
+BATCH_BITS, SET_BITS = 24, 16
 
-PIECES = "frag int, kind int, ids array<bigint>, keys array<binary>, sizes array<int>, at binary, toks binary"
-SEGMENTS = "is_doc boolean, id bigint, key binary, n int, toks array<bigint>"
+PIECES = "frag int, kind int, batch bigint, at binary, toks binary, ids array<bigint>, keys array<binary>, sizes array<int>"
+SEGMENTS = "is_doc boolean, id bigint, key binary, n int, set bigint, toks array<bigint>"
 OPEN, SEEN, SHARED, DOCS = range(4)
+NO_SET = 65_535
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,7 +65,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], width: int, words: WordHashes) -> list[np.ndarray]:
-    """Sorted distinct 48-bit shingle hashes of each text."""
+    """Sorted distinct 64-bit shingle hashes of each text."""
     runs = [lower_words(t) for t in texts]
     sizes = [len(r) for r in runs]
     flat = np.fromiter(
@@ -69,15 +75,14 @@ def shingle_sets(texts: list[str | None], width: int, words: WordHashes) -> list
     for i in range(width if len(rolled) else 0):
         rolled = _mix(rolled + flat[i : i + len(rolled)])
     sets, start = [], 0
-    shift = np.uint64(64 - TOKEN_BITS)
     for size in sizes:
         if size >= width:
-            sets.append(np.unique(rolled[start : start + size - width + 1] >> shift))
+            sets.append(np.unique(rolled[start : start + size - width + 1]))
         elif size:
             whole = np.full(1, size, dtype=np.uint64)
             for i in range(size):
                 whole = _mix(whole + flat[start + i : start + i + 1])
-            sets.append(whole >> shift)
+            sets.append(whole)
         else:
             sets.append(flat[:0])
         start += size
@@ -85,24 +90,31 @@ def shingle_sets(texts: list[str | None], width: int, words: WordHashes) -> list
 
 
 def _pack(tokens: np.ndarray) -> bytes:
-    """The first token in eight bytes, then the steps between neighbours: in four bytes each where
-    they fit, which they do in a full batch of sorted tokens; otherwise all in eight bytes."""
-    steps = np.diff(tokens)
-    if len(steps) and steps.max() < 1 << 32 and (tokens[1:] >= tokens[:-1]).all():
-        return b"d" + tokens[:1].astype("<u8").tobytes() + steps.astype("<u4").tobytes()
-    return b"r" + tokens.astype("<u8").tobytes()
+    """The first token in eight bytes, then the steps between neighbours in four or six bytes each
+    where they fit, which they do in a full batch of sorted tokens; otherwise all in eight bytes."""
+    if len(tokens) > 1 and (tokens[1:] >= tokens[:-1]).all():
+        steps = np.diff(tokens).astype("<u8")
+        for width in (4, 6):
+            if steps.max() < 1 << 8 * width:
+                low = steps.view(np.uint8).reshape(-1, 8)[:, :width]
+                return bytes([width]) + tokens[:1].astype("<u8").tobytes() + low.tobytes()
+    return bytes([8]) + tokens.astype("<u8").tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    if packed[:1] == b"r":
+    width = packed[0]
+    if width == 8:
         return np.frombuffer(packed, dtype="<u8", offset=1)
-    steps = np.frombuffer(packed, dtype="<u4", offset=9).astype(np.uint64)
-    return np.cumsum(np.r_[np.frombuffer(packed, dtype="<u8", offset=1, count=1), steps])
+    low = np.frombuffer(packed, dtype=np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(low), 8), dtype=np.uint8)
+    steps[:, :width] = low
+    first = np.frombuffer(packed, dtype="<u8", offset=1, count=1)
+    return np.cumsum(np.r_[first, steps.reshape(-1).view("<u8")], dtype=np.uint64)
 
 
 def _fragment_of(tokens: np.ndarray, fragments: int) -> np.ndarray:
     """Equal ranges of the token order."""
-    return ((tokens >> np.uint64(TOKEN_BITS - 24)) * np.uint64(fragments)) >> np.uint64(24)
+    return ((tokens >> np.uint64(40)) * np.uint64(fragments)) >> np.uint64(24)
 
 
 def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -113,15 +125,16 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         [
             ("frag", pa.int32()),
             ("kind", pa.int32()),
+            ("batch", pa.int64()),
+            ("at", pa.binary()),
+            ("toks", pa.binary()),
             ("ids", pa.list_(pa.int64())),
             ("keys", pa.list_(pa.binary())),
             ("sizes", pa.list_(pa.int32())),
-            ("at", pa.binary()),
-            ("toks", pa.binary()),
         ]
     )
 
-    def rows_of(kind, token, at, keys, lengths, frag) -> list[dict]:
+    def rows_of(kind, batch, token, at, frag) -> list[dict]:
         """A row for each run of equal ``frag`` (ascending)."""
         out = []
         cuts = np.flatnonzero(np.diff(frag)) + 1
@@ -130,53 +143,55 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 continue
             row = {"frag": int(frag[lo]), "kind": kind, "toks": _pack(token[lo:hi])}
             if at is not None:
-                used, local = np.unique(at[lo:hi], return_inverse=True)
-                row["keys"] = [keys[i] for i in used]
-                row["sizes"] = [lengths[i] for i in used]
-                row["at"] = local.astype("<u2").tobytes()
+                row |= {"batch": batch, "at": at[lo:hi].astype("<u2").tobytes()}
             out.append(row)
         return out
 
-    def flush(ids, keys, sizes, sets, told) -> pa.RecordBatch:
+    def flush(batch, ids, keys, sizes, sets, told) -> pa.RecordBatch:
         salt = int.from_bytes(keys[0][:6], "little") % fragments
+        # Sets that an earlier batch of this task has cut stand for these too.
+        distinct = [i for k, i in {k: i for i, k in enumerate(keys)}.items() if k not in told]
+        number = np.full(len(keys), NO_SET)
+        number[distinct] = np.arange(len(distinct))
         out = [
             {
                 "frag": (salt + i) % fragments,
                 "kind": DOCS,
+                "batch": batch,
+                "at": number[i : i + 1024].astype("<u2").tobytes(),
                 "ids": ids[i : i + 1024],
                 "keys": keys[i : i + 1024],
                 "sizes": sizes[i : i + 1024],
             }
             for i in range(0, len(ids), 1024)
         ]
-        # Sets that an earlier batch of this task has cut stand for these too.
-        distinct = [i for k, i in {k: i for i, k in enumerate(keys)}.items() if k not in told]
-        names = [keys[i] for i in distinct]
-        lengths = [len(sets[i]) for i in distinct]
-        token = np.concatenate([np.empty(0, np.uint64), *[sets[i] for i in distinct]])
-        if len(told) + len(names) > TOLD_KEYS:
+        if len(told) + len(distinct) > TOLD_KEYS:
             told.clear()
-        told.update(names)
-        at = np.repeat(np.arange(len(distinct), dtype=np.int64), lengths)
+        told.update(keys[i] for i in distinct)
+        token = np.concatenate([np.empty(0, np.uint64), *[sets[i] for i in distinct]])
+        at = np.repeat(
+            np.arange(len(distinct), dtype=np.int64), [len(sets[i]) for i in distinct]
+        )
         order = np.argsort(token, kind="stable")
         token, at = token[order], at[order]
         if len(token):
             first = np.r_[True, token[1:] != token[:-1]]
             alone = first & np.r_[first[1:], True]
             frag = _fragment_of(token, fragments).astype(np.int64)
-            out += rows_of(OPEN, token[alone], at[alone], names, lengths, frag[alone])
+            out += rows_of(OPEN, batch, token[alone], at[alone], frag[alone])
             seen = first & ~alone
-            out += rows_of(SEEN, token[seen], None, names, lengths, frag[seen])
+            out += rows_of(SEEN, batch, token[seen], None, frag[seen])
             shared = np.flatnonzero(~alone)
             shared = shared[np.argsort(at[shared], kind="stable")]
             lot = (salt + at[shared] // 1024) % fragments
             back = np.argsort(lot, kind="stable")
             shared, lot = shared[back], lot[back]
-            out += rows_of(SHARED, token[shared], at[shared], names, lengths, lot)
+            out += rows_of(SHARED, batch, token[shared], at[shared], lot)
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, told = WordHashes(), set()
+        batch_number = TaskContext.get().partitionId() << BATCH_BITS
         ids, keys, sizes, sets, held = [], [], [], [], 0
         for batch in batches:
             batch_ids = batch.column(0).to_pylist()
@@ -190,55 +205,49 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     sizes.append(len(tokens))
                     sets.append(tokens)
                     held += len(tokens)
-                    if held >= BATCH_TOKENS or len(ids) >= 60_000:
-                        yield flush(ids, keys, sizes, sets, told)
+                    if held >= BATCH_TOKENS or len(ids) >= NO_SET:
+                        yield flush(batch_number, ids, keys, sizes, sets, told)
+                        batch_number += 1
                         ids, keys, sizes, sets, held = [], [], [], [], 0
         if ids:
-            yield flush(ids, keys, sizes, sets, told)
+            yield flush(batch_number, ids, keys, sizes, sets, told)
 
     return cut
 
 
-def _by_key(
-    tokens: np.ndarray, codes: np.ndarray, names: pa.Array, sizes: np.ndarray
-) -> list[pa.Table]:
-    """One row for each key with its tokens and the size of its set."""
+def _by_set(tokens: np.ndarray, sets: np.ndarray) -> list[pa.Table]:
+    """One row for each set with its tokens."""
     if not len(tokens):
         return []
-    order = np.argsort(codes, kind="stable")
-    tokens, codes = tokens[order], codes[order]
-    cuts = np.r_[0, np.flatnonzero(np.diff(codes)) + 1]
+    order = np.argsort(sets, kind="stable")
+    tokens, sets = tokens[order], sets[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(sets)) + 1]
     rows = len(cuts)
     return [
         pa.table(
             {
                 "is_doc": pa.array(np.zeros(rows, dtype=bool)),
                 "id": pa.nulls(rows, pa.int64()),
-                "key": names.take(pa.array(codes[cuts])),
-                "n": pa.array(sizes[codes[cuts]], pa.int32()),
+                "key": pa.nulls(rows, pa.binary()),
+                "n": pa.nulls(rows, pa.int32()),
+                "set": pa.array(sets[cuts]),
                 "toks": pa.ListArray.from_arrays(
-                    pa.array(np.r_[cuts, len(tokens)], pa.int32()),
-                    pa.array(tokens.astype(np.int64)),
+                    pa.array(np.r_[cuts, len(tokens)], pa.int32()), pa.array(tokens.view(np.int64))
                 ),
             }
         )
     ]
 
 
-def _gathered(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Tokens, codes of their documents, names of the codes and sizes of their sets."""
-    keys = part.column("keys").combine_chunks()
-    names = keys.flatten().dictionary_encode()
-    code = names.indices.to_numpy(zero_copy_only=False)
-    sizes = np.zeros(len(names.dictionary), dtype=np.int32)
-    sizes[code] = part.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    offsets = np.r_[0, np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False))]
-    tokens = [_unpack(t) for t in part.column("toks").to_pylist()]
-    codes = [
-        code[offsets[i] + np.frombuffer(at, dtype="<u2")]
-        for i, at in enumerate(part.column("at").to_pylist())
-    ]
-    return np.concatenate(tokens), np.concatenate(codes), names.dictionary, sizes
+def _set_numbers(part: pa.Table) -> np.ndarray:
+    """Numbers of the sets that ``at`` names, ``NO_SET`` included, row after row."""
+    at = [np.frombuffer(a, dtype="<u2").astype(np.int64) for a in part.column("at").to_pylist()]
+    batch = np.repeat(part.column("batch").to_numpy(), [len(a) for a in at])
+    return (batch << SET_BITS) + np.concatenate(at)
+
+
+def _tokens(part: pa.Table) -> np.ndarray:
+    return np.concatenate([_unpack(t) for t in part.column("toks").to_pylist()])
 
 
 def _fragment(table: pa.Table) -> pa.Table:
@@ -247,23 +256,24 @@ def _fragment(table: pa.Table) -> pa.Table:
     out = []
     part = table.filter(pa.array(kinds == OPEN))
     if part.num_rows:
-        tokens, codes, names, sizes = _gathered(part)
-        seen = table.filter(pa.array(kinds == SEEN)).column("toks").to_pylist()
+        tokens, sets = _tokens(part), _set_numbers(part)
+        seen = table.filter(pa.array(kinds == SEEN))
         order = np.argsort(tokens, kind="stable")
-        tokens, codes = tokens[order], codes[order]
+        tokens, sets = tokens[order], sets[order]
         first = np.r_[True, tokens[1:] != tokens[:-1]]
         shared = ~(first & np.r_[first[1:], True])
-        if seen:
-            known = np.unique(np.concatenate([_unpack(t) for t in seen]))
+        if seen.num_rows:
+            known = np.unique(_tokens(seen))
             at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
             shared |= known[at] == tokens
-        out += _by_key(tokens[shared], codes[shared], names, sizes)
+        out += _by_set(tokens[shared], sets[shared])
     part = table.filter(pa.array(kinds == SHARED))
     if part.num_rows:
-        out += _by_key(*_gathered(part))
+        out += _by_set(_tokens(part), _set_numbers(part))
     part = table.filter(pa.array(kinds == DOCS))
     if part.num_rows:
         ids = part.column("ids").combine_chunks().flatten()
+        sets = _set_numbers(part)
         out.append(
             pa.table(
                 {
@@ -271,6 +281,7 @@ def _fragment(table: pa.Table) -> pa.Table:
                     "id": ids,
                     "key": part.column("keys").combine_chunks().flatten(),
                     "n": part.column("sizes").combine_chunks().flatten(),
+                    "set": pa.array(sets, mask=(sets & NO_SET) == NO_SET),
                     "toks": pa.nulls(len(ids), pa.list_(pa.int64())),
                 }
             )
@@ -282,6 +293,7 @@ def _fragment(table: pa.Table) -> pa.Table:
                 "id": pa.array([], pa.int64()),
                 "key": pa.array([], pa.binary()),
                 "n": pa.array([], pa.int32()),
+                "set": pa.array([], pa.int64()),
                 "toks": pa.array([], pa.list_(pa.int64())),
             }
         )
@@ -329,7 +341,7 @@ def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
                     told.add(comps[cols[j]])
                     a.append(keys[rows[i]])
                     b.append(keys[cols[j]])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return link
 
@@ -342,17 +354,24 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     return materialize(pieces.groupBy("frag").applyInArrow(_fragment, SEGMENTS), "segments")
 
 
-def _candidates(segments: DataFrame, percent: int) -> DataFrame:
-    """``key, n, c, centre, toks``: sets that can have a partner, with their shared tokens from the
-    rarest to the most common, and how common they are on average."""
-    # The pieces of a set meet once; there is at most one from each fragment.
-    whole = Window.partitionBy("key")
-    pieces = segments.filter("NOT is_doc").select(
-        "key", "n", "toks", F.sum(F.size("toks")).over(whole).alias("c")
+def _sets(segments: DataFrame) -> DataFrame:
+    """``key, rep, n, node``: equal sets by the digest of the set, with their smallest document and one
+    of the numbers they were cut under."""
+    listed = segments.filter("is_doc AND n > 0").groupBy("key")
+    sets = listed.agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("set").alias("node"))
+    return materialize(sets, "sets")
+
+
+def _candidates(segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``key, n, c, centre, toks``: sets (by ``node``) that can have a partner, with their shared tokens
+    from the rarest to the most common, and how common they are on average."""
+    # All tokens of a set with copies are shared, so one of the copies tells everything.
+    pieces = segments.filter("NOT is_doc").groupBy(F.col("set").alias("key"))
+    whole = pieces.agg(F.flatten(F.collect_list("toks")).alias("toks"))
+    alive = whole.join(sets.select(F.col("node").alias("key"), "n"), "key").filter(
+        F.size("toks") * 100 >= F.col("n") * percent
     )
-    alive = pieces.filter(F.col("c") * 100 >= F.col("n") * percent)
-    tokens = alive.select("key", "n", F.explode("toks").alias("tok")).distinct()
-    tokens = materialize(tokens, "tokens")
+    tokens = materialize(alive.select("key", "n", F.explode("toks").alias("tok")), "tokens")
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(df, "tok").groupBy("key").agg(
         F.max("n").alias("n"),
@@ -397,10 +416,10 @@ def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that reach the threshold: overlaps by fragment, then summed."""
-    span = 1 << (TOKEN_BITS - VERIFY_FRAGMENTS.bit_length() + 1)
+    low_bits = 64 - (VERIFY_FRAGMENTS.bit_length() - 1)
     pieces = (
         kept.select("key", "n", F.explode("toks").alias("tok"))
-        .groupBy("key", "n", F.floor(F.col("tok") / span).alias("frag"))
+        .groupBy("key", "n", F.shiftright("tok", low_bits).alias("frag"))
         .agg(F.collect_list("tok").alias("toks"))
     )
     left = pieces.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "frag", "toks")
@@ -506,7 +525,7 @@ def _mixed(
     both = both.join(kept.select("key", "n", "toks"), "key")
     return materialize(
         both.groupBy("group", "lot", "block")
-        .applyInArrow(_block_links(percent), "a binary, b binary")
+        .applyInArrow(_block_links(percent), "a bigint, b bigint")
         .distinct()
         .union(by_pair),
         "links",
@@ -540,13 +559,11 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     segments = _segments(rows, width)
     listed = segments.filter("is_doc").select("id", "key", "n")
-    sets = listed.filter("n > 0").groupBy("key").agg(
-        F.min("id").alias("rep"), F.max("n").alias("n")
-    )
-    kept = _candidates(segments, percent)
+    sets = _sets(segments)
+    kept = _candidates(segments, sets, percent)
     found = components(_links(kept, percent, rounds))
-    merged = sets.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left")
-    merged = merged.withColumn("root", F.coalesce("root", "key"))
+    merged = sets.select("key", "rep", "node").join(found, "node", "left")
+    merged = merged.withColumn("root", F.coalesce("root", "node"))
     lowest = merged.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = merged.join(lowest, "root").select("key", "component_id")
     keyed = listed.withColumn("key", F.when(F.col("n") > 0, F.col("key")))
