@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
-Distinct vectors are dealt to shards of about ``SHARD_ROWS`` by their hash. In each shard a graph is
-built in rounds: greedy searches from a central node propose neighbours for a batch of nodes, robust
-pruning keeps those that no kept neighbour covers (distance times ``ALPHA``), and reverse edges are
-added and pruned alike. Largest inner product becomes smallest distance by one more coordinate that
-gives all vectors of a shard the same length. Graphs are rows of a written table.
+Distinct vectors are dealt to shards by their hash: of ``SHARD_ROWS`` where there are many, smaller ones
+(down to ``LEAST_ROWS``) as long as cores would be idle. In each shard a graph is built in rounds: greedy
+searches from a central node propose neighbours for a batch of nodes, robust pruning keeps those that
+no kept neighbour covers (distance times ``ALPHA``), and reverse edges are added and pruned alike.
+Largest inner product becomes smallest distance by one more coordinate that gives all vectors of a
+shard the same length. Graphs are rows of a written table.
 
-Query vectors travel in blocks. Each block meets each shard once, in a row that holds the block and
-the shard's graph, and is answered by a beam search for all queries of the block in step. Scores are
-computed again in double precision on the original vectors; a window per query keeps the best.
+Queries go to the shards: each graph moves once, is followed by the queries for its shard, and answers
+them in blocks by a beam search for all queries of a block in step. A task holds one graph and
+one block, however many queries there are. Scores are computed again in double precision on the
+original vectors; a window per query keeps the best.
 
 Equal vectors are one node with its ``k + 1`` smallest ids (a top-k needs no more of them), so
 copies cannot crowd a graph. Vectors of different lengths do not meet.
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from textloom.llm.vectors import as_doubles, usable
 from textloom.session import materialize
 
-SHARD_ROWS, BLOCK_ROWS = 4096, 512
+SHARD_ROWS, LEAST_ROWS, BLOCK_ROWS = 65_536, 4096, 512
+PARTS_PER_SHARD, MOST_PARTS = 4, 20_000  # few shards meet in a partition
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH = 24, 48, 80, 1.2, 256
 INDEX = "dim int, shard int, entry int, vectors binary, graph binary, ids array<array<bigint>>"
 
@@ -154,35 +157,56 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _search(k: int, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers queries by the graph that came last before them."""
+
+    def answers(shard: dict, query_ids: list[int], asked: np.ndarray) -> pa.RecordBatch:
+        vectors = shard["vectors"]
+        scale = np.abs(asked).max(1, keepdims=True)
+        found, _ = beam_search(
+            shard["scaled"], shard["graph"], shard["entry"], (asked / scale).astype(np.float32),
+            min(max(beam, k + 1), len(vectors)),
+        )
+        out: list[tuple] = []
+        for query, own, nodes in zip(query_ids, asked, found):
+            nodes = nodes[nodes >= 0]
+            score = (vectors[nodes] * own).sum(1)
+            hits = [
+                (-s, i) for s, node in zip(score.tolist(), nodes) for i in shard["ids"][node] if i != query
+            ]
+            out += [(query, i, -s) for s, i in sorted(hits)[:k]]
+        return pa.RecordBatch.from_pydict(
+            {
+                "query_id": pa.array([o[0] for o in out], pa.int64()),
+                "vec_id": pa.array([o[1] for o in out], pa.int64()),
+                "score": pa.array([o[2] for o in out], pa.float64()),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: dict = {}
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                dim = row["dim"]
-                vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
-                graph = np.frombuffer(row["graph"], "<i4").reshape(len(vectors), -1).astype(np.int64)
-                asked = np.array(row["asked"], dtype=np.float64).reshape(-1, dim)
-                largest = np.abs(vectors).max()
-                scale = np.abs(asked).max(1, keepdims=True)
-                found, _ = beam_search(
-                    (vectors / largest).astype(np.float32), graph, row["entry"],
-                    (asked / scale).astype(np.float32), min(max(beam, k + 1), len(vectors)),
-                )
-                out: list[tuple] = []
-                for query, own, nodes in zip(row["query_ids"], asked, found):
-                    nodes = nodes[nodes >= 0]
-                    score = (vectors[nodes] * own).sum(1)
-                    hits = [
-                        (-s, i) for s, node in zip(score.tolist(), nodes) for i in row["ids"][node] if i != query
-                    ]
-                    out += [(query, i, -s) for s, i in sorted(hits)[:k]]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": pa.array([o[0] for o in out], pa.int64()),
-                        "vec_id": pa.array([o[1] for o in out], pa.int64()),
-                        "score": pa.array([o[2] for o in out], pa.float64()),
+            graphs = np.flatnonzero(batch.column("id").is_null().to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.r_[0, graphs, graphs + 1, batch.num_rows])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(lo, hi - lo)
+                if lo in graphs:
+                    row = part.to_pylist()[0]
+                    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                    graph = np.frombuffer(row["graph"], "<i4").reshape(len(vectors), -1)
+                    shard = {
+                        "vectors": vectors,
+                        "scaled": (vectors / np.abs(vectors).max()).astype(np.float32),
+                        "graph": graph.astype(np.int64),
+                        "entry": row["entry"],
+                        "ids": row["ids"],
                     }
-                )
+                    continue
+                for at in range(0, hi - lo, BLOCK_ROWS):
+                    block = part.slice(at, BLOCK_ROWS)
+                    asked = block.column("vector").flatten().to_numpy(zero_copy_only=False)
+                    yield answers(
+                        shard, block.column("id").to_pylist(), asked.reshape(block.num_rows, -1)
+                    )
 
     return run
 
@@ -193,14 +217,21 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFr
     firsts = rows.withColumn("nth", F.row_number().over(window)).filter(F.col("nth") <= k + 1)
     nodes = firsts.groupBy("dim", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = materialize(nodes, "nodes")
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    spread = F.least(F.lit(cores), F.ceil(F.count("*") / LEAST_ROWS))
+    shards = F.greatest(F.ceil(F.count("*") / shard_rows), spread).cast("int")
+    sizes = nodes.groupBy("dim").agg(shards.alias("shards"))
     dealt = nodes.join(sizes, "dim").withColumn(
         "shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int")
     )
-    columns = ["dim", "shard", "vector", "ids"]
-    return materialize(
-        dealt.select(*columns).groupBy("dim", "shard").applyInArrow(_build, INDEX), "index"
-    )
+    # A number of its own keeps Spark from putting small shards into one task.
+    total = sizes.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.select("dim", "shard", "vector", "ids").repartition(_parts(total), "dim", "shard")
+    return materialize(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX), "index")
+
+
+def _parts(shards: int) -> int:
+    return max(1, min(PARTS_PER_SHARD * shards, MOST_PARTS))
 
 
 def search(
@@ -220,15 +251,10 @@ def search(
     rows = rows.withColumn("dim", F.size("vector")).distinct()
     index = build_index(rows.select("id", "dim", "vector"), k)
     queries = rows.filter("asked").select("id", "dim", "vector")
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    blocked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    blocked = blocked.groupBy("dim", "block").agg(
-        F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("asked")
-    )
-    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
-    left = blocked.join(shards, "dim").withColumn("shard", F.explode("shards")).drop("shards")
-    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = left.join(right, ["dim", "block", "shard"])
+    sent = queries.join(index.select("dim", "shard"), "dim")
+    met = sent.unionByName(index, allowMissingColumns=True)
+    met = met.repartition(_parts(index.count()), "dim", "shard")
+    met = met.sortWithinPartitions("dim", "shard", F.col("id").isNotNull())
     hits = met.mapInArrow(_search(k, beam), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
