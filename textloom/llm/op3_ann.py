@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from textloom.llm.vectors import as_doubles, usable
 from textloom.session import materialize
 
-SHARD_ROWS, LEAST_ROWS, BLOCK_ROWS = 65_536, 4096, 512
+SHARD_ROWS, LEAST_ROWS, BLOCK_ROWS = 16_384, 4096, 512
 PARTS_PER_SHARD, MOST_PARTS = 4, 20_000  # few shards meet in a partition
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH = 24, 48, 80, 1.2, 256
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH = 24, 48, 160, 1.2, 256
 INDEX = "dim int, shard int, entry int, vectors binary, graph binary, ids array<array<bigint>>"
 
 
