@@ -215,3 +215,15 @@ def test_published_collections_are_versions(spark, tmp_path):
     assert rows() == want
     second = sinks.publish_collections({"two": two}, path, {"seed": 5})
     assert rows() == want[2:] and rows(version=first) == want and second > first
+
+
+def test_scan_of_a_table_that_is_a_folder(spark, tmp_path):
+    from textloom.registry.queries import QUERIES
+
+    for part, texts in (("a", ["one", "two"]), ("b", ["three", None])):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        rows.write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["corpus_scan"](spark, str(tmp_path)).collect()
+    assert {r.chars for r in found} == {3, 5, None} and len(found) == 4
+    assert len({(r.file, r.row_index) for r in found}) == 4
+    assert all(r.file.startswith("documents.parquet/part-") for r in found)
