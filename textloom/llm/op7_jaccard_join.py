@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import WordHashes, components, lower_words, slices
-from textloom.session import materialize
+from textloom.session import materialize, small_batches
 
 TEXT_BYTES = 4 << 20
 # A task holds one fragment: this many for each core, more where a fragment would have too many documents.
 FRAGMENTS_PER_CORE, DOCS_PER_FRAGMENT = 16, 8192
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
+# Words whose hash a task remembers.
+KNOWN_WORDS = 250_000
 TOLD_KEYS = 1_000_000
 BLOCK = 256
 SHORT_LIST = 64
@@ -190,7 +192,7 @@ def _cut(width: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, told = WordHashes(), set()
+        words, told = WordHashes(KNOWN_WORDS), set()
         batch_number = TaskContext.get().partitionId() << BATCH_BITS
         ids, keys, sizes, sets, held = [], [], [], [], 0
         for batch in batches:
@@ -348,6 +350,7 @@ def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 def _segments(docs: DataFrame, width: int) -> DataFrame:
     """Documents and their shared tokens, by fragment; written once."""
+    small_batches(docs.sparkSession)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     fragments = max(FRAGMENTS_PER_CORE * cores, -(-docs.count() // DOCS_PER_FRAGMENT))
     pieces = docs.mapInArrow(_cut(width, fragments), PIECES)

@@ -19,7 +19,7 @@ from textloom.operators.sampling import (
     tail_sample,
     tail_shortages,
 )
-from textloom.session import materialize
+from textloom.session import materialize, small_batches
 
 
 def measured_pair(
@@ -30,6 +30,7 @@ def measured_pair(
     Both encoders take the words of a text from the same Arrow batch, so a text is split into words and
     sent to Python once.
     """
+    small_batches(sample.sparkSession)
     rows = sample.select(key, domain, text, F.length(text).cast("bigint").alias("chars"))
     rows = rows.withColumn("_words", words_of(F.col(text)))
     tokens = {f"{side}_tokens": encode_words("_words", model) for side, model in (("a", a), ("b", b))}
