@@ -276,3 +276,20 @@ def test_compare_tokenizers_plan(spark, corpus, trained):
 def test_counts_of_packed_tokens(spark):
     df = spark.createDataFrame([(b"\x00\x00\x01\x00",), (b"",)], "p binary")
     assert [r.n for r in df.select(token_count(F.col("p")).alias("n")).collect()] == [2, 0]
+
+
+def test_prefix_queries_train_the_prefix_alone(spark, tmp_path, monkeypatch):
+    from textloom.registry import queries
+
+    rows = [(i, f"some words come again and again, {i % 7} times") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sizes, train = [], queries.bpe.train_bpe
+    monkeypatch.setattr(queries.bpe, "train_bpe", lambda counts, size: sizes.append(size) or train(counts, size))
+    small = [tuple(r) for r in queries.QUERIES["bpe_prefix"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert sizes == [queries.PREFIX] and len(small) == 64
+    # Where the full vocabulary is stored, its first merges are the same.
+    full = queries._model(spark, str(tmp_path))
+    assert [(i, *m) for i, m in enumerate(full.prefix(queries.PREFIX).merges)] == small
+    assert [tuple(r) for r in queries.QUERIES["bpe_prefix"](spark, str(tmp_path)).orderBy("rank").collect()] == small
+    assert sizes == [queries.PREFIX, queries.VOCABULARY]
