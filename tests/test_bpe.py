@@ -281,7 +281,8 @@ def test_counts_of_packed_tokens(spark):
 def test_prefix_queries_train_the_prefix_alone(spark, tmp_path, monkeypatch):
     from textloom.registry import queries
 
-    rows = [(i, f"some words come again and again, {i % 7} times") for i in range(40)]
+    rnd = random.Random(4)
+    rows = [(i, " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(60))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     sizes, train = [], queries.bpe.train_bpe
