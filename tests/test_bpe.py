@@ -1,6 +1,9 @@
 import random
+import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, normalizers, pre_tokenizers, trainers
@@ -294,3 +297,41 @@ def test_prefix_queries_train_the_prefix_alone(spark, tmp_path, monkeypatch):
     assert [(i, *m) for i, m in enumerate(full.prefix(queries.PREFIX).merges)] == small
     assert [tuple(r) for r in queries.QUERIES["bpe_prefix"](spark, str(tmp_path)).orderBy("rank").collect()] == small
     assert sizes == [queries.PREFIX, queries.VOCABULARY]
+
+
+def test_words_are_merged_together_as_one_by_one():
+    rng = random.Random(3)
+    merges, ranks = [], {}
+    for rank in range(40):
+        left, right = rng.randrange(6 + rank // 2), rng.randrange(6 + rank // 2)
+        merges.append((left, right, 6 + rank, 1))
+        ranks.setdefault((left, right), (rank, 6 + rank))
+    words = [[rng.randrange(3) for _ in range(rng.choice([0, 1, 2, 7, 40]))] for _ in range(200)]
+    ends = np.r_[0, np.cumsum([len(w) for w in words])]
+    ids, at = bpe.MergeTable(merges).merged(np.array(sum(words, []), dtype=np.uint16), ends)
+    assert [ids[lo:hi].tolist() for lo, hi in zip(at, at[1:])] == [bpe.merge_ids(w, ranks) for w in words]
+
+
+def test_new_words_are_merged_once_a_batch(spark, trained, monkeypatch):
+    calls = []
+    merged = bpe.MergeTable.merged
+    monkeypatch.setattr(bpe.MergeTable, "merged", lambda *a: calls.append(len(a[2]) - 1) or merged(*a))
+    pieces = pa.array([["river", " stone", "river"], None, [], ["<|user|>", " stone", "é"]])
+    got = encode._piece_encoder(trained, True).func(pieces).to_pylist()
+    assert calls == [4]
+    assert got[1] is None and got[2] == b"" and got[3][:2] == (5).to_bytes(2, "little")
+
+
+def test_word_counts_move_once_a_batch(spark):
+    docs = spark.createDataFrame([("a b a",), (None,), ("",), ("b a",)] * 500, "text string").coalesce(1)
+    counts = bpe.pretoken_counts(docs, "text")
+    assert {r.word: r.n for r in counts.collect()} == {"a": 500, " b": 500, " a": 1000, "b": 500}
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_round_trip_decodes_once(spark, corpus, trained):
+    encoded = encode.encode_documents(corpus[0], "text", trained, boundaries=False)
+    checked = encode.roundtrip(encoded, "text", "tokens", trained, "decoded")
+    plan = checked.select("decoded", "roundtrip_ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?<!\.)\bdecode\(", plan)) == 1
+    assert checked.filter("NOT roundtrip_ok OR decoded IS NULL").count() == 0
