@@ -335,3 +335,25 @@ def test_round_trip_decodes_once(spark, corpus, trained):
     plan = checked.select("decoded", "roundtrip_ok")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"(?<!\.)\bdecode\(", plan)) == 1
     assert checked.filter("NOT roundtrip_ok OR decoded IS NULL").count() == 0
+
+
+def test_dictionary_joins_words_of_bundles(spark, trained, monkeypatch):
+    rows = [(i, "a stone in the river " * 50) for i in range(20)] + [(20, None), (21, ""), (None, "x y")]
+    rows += [(22, "one two"), (22, "one 2 three")]
+    asked = []
+    inner = encode.word_dictionary
+    monkeypatch.setattr(encode, "word_dictionary", lambda w, *a: asked.append(w.count()) or inner(w, *a))
+    monkeypatch.setattr(encode, "BUNDLE_CHARS", 5_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.tokens for r in encode.encode_by_dictionary(docs, ["doc_id"], "text", trained).collect()}
+    want = {r.doc_id: r.tokens for r in encode.encode_documents(docs, "text", trained).collect()}
+    assert asked[0] <= 5 * 7 + 8  # of about 5,000 words
+    assert len(got) == 24 and got[20] is None and len(got[21]) == 4
+    assert {k: v for k, v in got.items() if k != 22} == {k: v for k, v in want.items() if k != 22}
+    bare = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
+    bare = encode.encode_by_dictionary(bare, ["doc_id"], "text", trained, boundaries=False)
+    assert {r.doc_id: r.tokens for r in bare.collect()} == {1: b"", 2: None}
+    # Repeated keys come once, as before: words by position, then by ids.
+    ids = {w: encode._piece_encoder(trained, True).func(pa.array([[w]]))[0].as_py() for w in ("one", " two", " 2", " three")}
+    parts = [*[ids["one"]] * 2, *sorted([ids[" two"], ids[" 2"]]), ids[" three"]]
+    assert got[22][2:-2] == b"".join(parts)
