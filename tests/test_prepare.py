@@ -167,3 +167,12 @@ def test_log_in_any_order_equals_batch(spark, tmp_path):
         assert rounded(got) == rounded(tuple(r) for r in batch.collect())
         late = rolled.agg(F.sum("late_steps")).first()[0]
         assert 0 < late < len(log)
+
+
+def test_stream_spreads_a_batch_before_encoding(spark, tmp_path):
+    spark.createDataFrame([("a",)], "text string").write.parquet(str(tmp_path / "in"))
+    plans = [
+        prepared_stream(spark, str(tmp_path / "in"), "text string", 0.09, model)._jdf.queryExecution().analyzed().toString()
+        for model in (None, BpeModel())
+    ]
+    assert ["Repartition" in p for p in plans] == [False, True]
